@@ -1,8 +1,8 @@
 """All registered queries and oracles."""
 
-from contract import marts
+from contract import landing, marts, refine
 
-_PARTS = [marts]
+_PARTS = [landing, refine, marts]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -110,21 +110,27 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _spark_select(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+def select_from(spark: SparkSession, text: str, table: str, df: DataFrame) -> DataFrame:
+    """Run ``text`` with ``df`` as its table; other braces in it are plain text."""
+    escaped = text.replace("{", "{{").replace("}", "}}")
+    return spark.sql(escaped.replace(f"FROM {table}", "FROM {source}"), source=df)
+
+
+def events_as(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     for name, expression in SPARK.items():
         text = text.replace("{%s}" % name, expression)
-    return spark.sql(text.replace("FROM events", "FROM {events}"), events=_events(spark, sf_dir))
+    return select_from(spark, text, "events", _events(spark, sf_dir))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The play table, with calendar fields and country name by the library's rules."""
-    plays = _spark_select(spark, sf_dir, HISTORY)
+    plays = events_as(spark, sf_dir, HISTORY)
     fields = calendar_fields(F.col("ts").cast("timestamp"), ZONE)
     return plays.withColumns(fields | {"country_name": labels.country_name(F.col("conn_country"))})
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spark_select(spark, sf_dir, RAW)
+    return events_as(spark, sf_dir, RAW)
 
 
 def raw_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +141,14 @@ def raw_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("copy", "event_id")
 
 
-def _duckdb(text: str) -> str:
+def for_duckdb(text: str) -> str:
     for name, expression in DUCKDB.items():
         text = text.replace("{%s}" % name, expression)
     return text
 
 
 HISTORY_CTE = f"""
-plain_history AS ({_duckdb(HISTORY)}),
+plain_history AS ({for_duckdb(HISTORY)}),
 history AS (
   SELECT *, {LOCAL_FIELDS.format(t="ts")},
   {country_case("conn_country")} AS country_name
@@ -151,7 +157,7 @@ history AS (
 """
 
 RAW_CTE = f"""
-raw AS ({_duckdb(RAW)}),
+raw AS ({for_duckdb(RAW)}),
 raw_with_copies AS (
   SELECT * EXCLUDE (event_id, platform, copy), concat(platform, '_', CAST(copy AS VARCHAR)) AS platform
   FROM (SELECT *, unnest(generate_series(0, event_id % 3)) AS copy FROM raw)

@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 
 from hearlog.sources.export_format import FIELDS, FILE_GLOB, NUMBERED_FILE, TYPE_LABELS
 
-LANDING_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
 
 def landing(spark: SparkSession, path: str | list[str], glob: str = FILE_GLOB) -> DataFrame:
     """Export files under ``path`` with their bytes; an error when there are none."""
@@ -147,14 +145,17 @@ def _is_record() -> Column:
 
 
 def read_history(
-    spark: SparkSession, path: str | list[str], listener_pattern: str | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    glob: str = FILE_GLOB,
+    listener_pattern: str | None = None,
 ) -> DataFrame:
     """Plays of all export files under ``path``, wrapped files included.
 
     ``listener_pattern`` is a regular expression whose first group, found in the file
     path, names the listener; without it all files belong to one listener.
     """
-    plays = history_from_records(records(landing(spark, path)))
+    plays = history_from_records(records(landing(spark, path, glob)))
     if listener_pattern:
         plays = plays.withColumn("listener_id", F.regexp_extract("path", listener_pattern, 1))
     return plays
