@@ -68,7 +68,7 @@ def rejects(files: DataFrame) -> DataFrame:
 
 def manifest(files: DataFrame, landed_as: str | None = None) -> DataFrame:
     """Name, place, digest, size and record count of every landed file."""
-    count = F.size(payload(F.col("content"))).cast("bigint")
+    count = F.array_size(payload(F.col("content"))).cast("bigint")
     name = F.element_at(F.split("path", "/"), -1)
     landed = F.lit(landed_as) if landed_as else F.col("path")
     return files.select(
@@ -76,7 +76,7 @@ def manifest(files: DataFrame, landed_as: str | None = None) -> DataFrame:
         F.col("path").alias("source_path"),
         landed.alias("landing_path"),
         F.sha2("content", 256).alias("sha256"),
-        F.when(F.isnotnull(payload(F.col("content"))), count).alias("record_count"),
+        count.alias("record_count"),
         F.current_timestamp().alias("ingested_at"),
         F.length("content").cast("bigint").alias("size_bytes"),
     )
