@@ -4,13 +4,10 @@ The relational tables have oracles. Fitted models are registered with few trees,
 and starts; their results depend on the random draws of the fitting, so they have none.
 """
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from contract.marts import MUSIC_CONTEXT
 from contract.tables import half_even, history, on_history
-from hearlog.functions.rounding import half_even as rounded
 from hearlog.operators import evaluate, fatigue, origin, sequence, weekly
 from hearlog.params import Params
 from hearlog.plans.layers import model_summary, run_models
@@ -22,7 +19,6 @@ LIGHT = Params(
     listener_keys=("listener_id",), forest_trees=10, boost_rounds=4, boost_depth=3, folds=3,
     search_starts=2, final_starts=2, max_clusters=4,
 )
-ONE_LISTENER = replace(LIGHT, listener_keys=())
 
 
 def plays(spark, sf):
@@ -55,12 +51,6 @@ def ruled_named_weeks(spark, sf):
     return weekly.named_weeks(grouped, weekly.cluster_profiles(grouped))
 
 
-def part_sizes(rows):
-    return rows.groupBy("label", "part", "fold").agg(
-        F.count("*").alias("plays"), rounded(F.sum("weight"), 6).alias("weight")
-    )
-
-
 def split_sizes(spark, sf):
     """Class sizes of the train and test part."""
     rows = origin.training_rows(plays(spark, sf), LIGHT)
@@ -171,10 +161,9 @@ QUERIES = {
         lambda s, sf: weekly.profiles_by_month(ruled_named_weeks(s, sf), history(s, sf), LIGHT),
     "m2_9_week_result": week_outputs,
     "j2_named_weeks": lambda s, sf: ruled_named_weeks(s, sf).select("listener_id", "year", "week", "cluster", "profile"),
-    "j3_weeks_by_month": lambda s, sf: weeks(s, sf).join(
-        weekly.dated_plays(history(s, sf)).select("listener_id", "year", "week", "month").distinct(),
-        ["listener_id", "year", "week"], "left",
-    ).select("listener_id", "year", "week", "month", "week_plays"),
+    "j3_weeks_by_month": lambda s, sf: weekly.weeks_by_month(weeks(s, sf), history(s, sf), LIGHT).select(
+        "listener_id", "year", "week", "month", "week_plays"
+    ),
     "m3_1_skip_context": lambda s, sf: context(s, sf).select(
         "play_id", "session_id", "position", "minutes_before", "skips_before", "skip", "shuffle_on", "active",
         "hour", "weekday", "month",

@@ -1,8 +1,8 @@
 """All registered queries and oracles."""
 
-from contract import landing, marts, models, refine
+from contract import landing, marts, models, refine, views
 
-_PARTS = [landing, refine, marts, models]
+_PARTS = [landing, refine, marts, models, views]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -202,12 +202,17 @@ def profiles_by_year(weeks: DataFrame) -> DataFrame:
     )
 
 
-def profiles_by_month(weeks: DataFrame, fact: DataFrame, params: Params = Params()) -> DataFrame:
-    """Weeks per month and profile; a week that spans two months counts in both."""
+def weeks_by_month(weeks: DataFrame, fact: DataFrame, params: Params = Params()) -> DataFrame:
+    """Weeks with their month, twice for a week that spans two."""
     keys = [*params.listener_keys, "year", "week"]
     months = dated_plays(fact).select(*keys, "month").distinct()
+    return weeks.join(months, keys, "left")
+
+
+def profiles_by_month(weeks: DataFrame, fact: DataFrame, params: Params = Params()) -> DataFrame:
+    """Weeks per month and profile; a week that spans two months counts in both."""
     return (
-        weeks.join(months, keys, "left")
+        weeks_by_month(weeks, fact, params)
         .filter(F.col("month").isNotNull())
         .groupBy("month", "cluster", "profile")
         .agg(F.count("*").alias("weeks"))
