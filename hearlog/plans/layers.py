@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hearlog.operators import fatigue, marts, origin, refine, weekly
 from hearlog.params import Params
 from hearlog.plans.published import publish, published_name
-from hearlog.session import pin_utc
+from hearlog.session import durable, pin_utc
 from hearlog.sources import landing, tables
 
 FACT = "fact_plays"
@@ -31,9 +31,10 @@ def _store(name: str, df: DataFrame, root: str, published: bool, partitions: tup
 def land(spark: SparkSession, source: str, root: str) -> dict[str, DataFrame]:
     """Land export files as they are, with manifest, field profile, rejects and summary.
 
-    The files are read from the source once; all else reads the landed copy.
+    The files are read and parsed once: the landed copy holds their bytes and, beside
+    them, their records, and all else reads that.
     """
-    tables.write_table(landing.landing(spark, source), f"{root}/files")
+    tables.write_table(landing.with_payload(landing.landing(spark, source)), f"{root}/files")
     files = tables.read_table(spark, f"{root}/files")
     tables.write_table(landing.manifest(files, f"{root}/files"), f"{root}/manifest")
     tables.write_table(landing.field_profile(landing.records(files)), f"{root}/field_profile")
@@ -71,10 +72,10 @@ def build_plays(
 
 
 def build_marts(fact: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
-    """All marts. Those that only count and sum share two pre-aggregates of the plays;
-    persist ``calendar_cube`` and ``catalogue_cube`` to compute each of them once."""
-    calendar = marts.calendar_cube(fact)
-    catalogue = marts.catalogue_cube(fact, params)
+    """All marts. Those that only count and sum read two pre-aggregates of the plays,
+    which are computed here once and kept in the shared folder."""
+    calendar = durable(marts.calendar_cube(fact))
+    catalogue = durable(marts.catalogue_cube(fact, params))
     detail = marts.session_detail(fact, params)
     return {
         "calendar_cube": calendar,
@@ -114,20 +115,13 @@ def write_marts(
     locations: DataFrame | None = None,
     published: bool = False,
 ) -> list[str]:
-    """Compute and store all marts with two scans of the plays for the cubes and one for
-    the sessions. The cubes are stored tables too, so a lost executor costs no rescan."""
+    """Compute and store all marts: one scan of the plays for each pre-aggregate and one
+    for the sessions."""
     spark = fact.sparkSession
     if locations is not None:
         fact = refine.enrich_country(fact, locations)
-    tables.write_table(marts.calendar_cube(fact), f"{root}/calendar_cube")
-    tables.write_table(marts.catalogue_cube(fact, params), f"{root}/catalogue_cube")
-    calendar = tables.read_table(spark, f"{root}/calendar_cube")
-    catalogue = tables.read_table(spark, f"{root}/catalogue_cube")
-    detail = marts.session_detail(fact, params)
-    results = marts_from_cubes(calendar, catalogue, params) | {
-        "session_detail": detail,
-        "session_stats": marts.session_stats(detail),
-    }
+    results = build_marts(fact, params)
+    calendar, _ = results.pop("calendar_cube"), results.pop("catalogue_cube")
     names = [_store(name, df, root, published) for name, df in results.items()]
     total = calendar.agg(F.coalesce(F.sum("plays"), F.lit(0))).first()[0]
     tables.write_document(

@@ -1,6 +1,7 @@
 """What the library needs from the caller's Spark session."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the shared folder and go on from there.
+
+    Cuts the lineage, survives lost executors, and later steps read only the columns
+    they need. The cluster's retention rule for that folder removes the table.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/hearlog-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

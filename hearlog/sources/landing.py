@@ -35,50 +35,54 @@ def prefer_numbered(files: DataFrame) -> DataFrame:
     )
 
 
-def payload(content: Column) -> Column:
-    """Array of the records in a file: the file itself, or the first value of its object.
+def with_payload(files: DataFrame) -> DataFrame:
+    """Add ``payload``, the array of records in a file: the file itself, or the first
+    value of its object. Null when that is not an array.
 
-    Null when that is not an array.
+    Everything below parses the content unless this column is there already; store it
+    to parse every file once.
     """
-    text = content.cast("string")
+    if "payload" in files.columns:
+        return files
+    text = F.col("content").cast("string")
     wrapped = F.get(F.map_values(F.from_json(text, "map<string,variant>")), F.lit(0))
-    return F.coalesce(
+    parsed = F.coalesce(
         F.from_json(text, "array<variant>"),
         F.try_variant_get(wrapped, "$", "array<variant>"),
     )
+    return files.withColumn("payload", parsed)
 
 
 def records(files: DataFrame, on_bad_file: str = "skip") -> DataFrame:
     """One row per record. Bad files are skipped (see ``rejects``) or fail the query."""
-    items = payload(F.col("content"))
+    items = F.col("payload")
     if on_bad_file == "fail":
         message = F.concat(F.lit("Unexpected JSON structure in "), F.col("path"))
         items = F.coalesce(items, F.raise_error(message).cast("array<variant>"))
     elif on_bad_file != "skip":
         raise ValueError("on_bad_file is 'skip' or 'fail'")
-    return files.select("path", F.posexplode(items).alias("position", "record"))
+    return with_payload(files).select("path", F.posexplode(items).alias("position", "record"))
 
 
 def rejects(files: DataFrame) -> DataFrame:
     """Files that hold no array of records."""
-    return files.filter(payload(F.col("content")).isNull()).select(
-        "path", F.length("content").cast("bigint").alias("size_bytes")
+    return (
+        with_payload(files)
+        .filter(F.col("payload").isNull())
+        .select("path", F.col("length").alias("size_bytes"))
     )
 
 
 def manifest(files: DataFrame, landed_as: str | None = None) -> DataFrame:
     """Name, place, digest, size and record count of every landed file."""
-    count = F.array_size(payload(F.col("content"))).cast("bigint")
-    name = F.element_at(F.split("path", "/"), -1)
-    landed = F.lit(landed_as) if landed_as else F.col("path")
-    return files.select(
-        name.alias("file_name"),
+    return with_payload(files).select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("path").alias("source_path"),
-        landed.alias("landing_path"),
+        (F.lit(landed_as) if landed_as else F.col("path")).alias("landing_path"),
         F.sha2("content", 256).alias("sha256"),
-        count.alias("record_count"),
+        F.array_size("payload").cast("bigint").alias("record_count"),
         F.current_timestamp().alias("ingested_at"),
-        F.length("content").cast("bigint").alias("size_bytes"),
+        F.col("length").alias("size_bytes"),
     )
 
 
