@@ -7,6 +7,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearlog.params import Params
+from hearlog.session import at_once
+
 HASH_BUCKETS = 1 << 14
 
 
@@ -78,12 +81,19 @@ def accuracy_and_f1(predicted: DataFrame) -> tuple[float, float]:
     )
 
 
-def cross_validated_f1(estimator: Estimator, rows: DataFrame, folds: int) -> tuple[float, float]:
+def cross_validated_f1(
+    estimator: Estimator, rows: DataFrame, folds: int, parallel_fits: int = 1
+) -> tuple[float, float]:
     """Mean and deviation of the weighted F1 when each fold is held out in turn."""
-    scores = []
-    for fold in range(folds):
-        model = estimator.fit(rows.filter(F.col("fold") != fold))
-        scores.append(accuracy_and_f1(model.transform(rows.filter(F.col("fold") == fold)))[1])
+
+    def score(fold: int):
+        def run() -> float:
+            model = estimator.fit(rows.filter(F.col("fold") != fold))
+            return accuracy_and_f1(model.transform(rows.filter(F.col("fold") == fold)))[1]
+
+        return run
+
+    scores = at_once(rows.sparkSession, [score(fold) for fold in range(folds)], parallel_fits)
     mean = sum(scores) / folds
     return mean, (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
 
@@ -121,7 +131,7 @@ def importances(model: Model, features: list[str], spark) -> DataFrame:
 
 
 def train_and_score(
-    estimator: Estimator, rows: DataFrame, folds: int
+    estimator: Estimator, rows: DataFrame, params: Params
 ) -> tuple[Model, DataFrame, dict[str, float]]:
     """Fit on part 0, score on part 1, cross-validate on everything.
 
@@ -130,7 +140,7 @@ def train_and_score(
     model = estimator.fit(rows.filter(F.col("part") == 0))
     predicted = model.transform(rows.filter(F.col("part") == 1))
     accuracy, f1 = accuracy_and_f1(predicted)
-    cv_mean, cv_std = cross_validated_f1(estimator, rows, folds)
+    cv_mean, cv_std = cross_validated_f1(estimator, rows, params.folds, params.parallel_fits)
     counts = [(r["actual"], r["predicted"], r["plays"]) for r in confusion(predicted).collect()]
     cells = rows.sparkSession.createDataFrame(counts, "actual int, predicted int, plays bigint")
     scores = {"accuracy": accuracy, "f1_weighted": f1, "cv_f1_mean": cv_mean, "cv_f1_std": cv_std}

@@ -15,6 +15,7 @@ from hearlog.operators.evaluate import (
 )
 from hearlog.operators.sequence import skip_context
 from hearlog.params import Params
+from hearlog.session import durable, sized
 from hearlog.vocabulary import (
     ORIGIN_NAMES,
     SHUFFLE_NAMES,
@@ -116,10 +117,11 @@ def fit_skip_model(
 ) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Importances, confusion cells and scores of the boosted trees; None with too little data."""
     counts = context.groupBy("skip").agg(F.count("*").alias("n")).collect()  # two rows at most
-    if len(counts) < 2 or sum(r["n"] for r in counts) < params.min_model_rows:
+    size = sum(r["n"] for r in counts)
+    if len(counts) < 2 or size < params.min_model_rows:
         return None
-    rows = training_rows(context, params).persist()
-    model, cells, scores = train_and_score(boosting(params), rows, params.folds)
+    rows = sized(durable(training_rows(context, params)), size).persist()
+    model, cells, scores = train_and_score(boosting(params), rows, params)
     rows.unpersist()
     spark = context.sparkSession
     score_row = spark.createDataFrame(

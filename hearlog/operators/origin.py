@@ -17,6 +17,7 @@ from hearlog.operators.evaluate import (
     train_and_score,
 )
 from hearlog.params import Params
+from hearlog.session import durable, sized
 from hearlog.vocabulary import (
     ALIKE_BELOW_ACCURACY,
     ORIGIN_MODEL,
@@ -161,10 +162,11 @@ def fit_origin_model(
 ) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Importances, confusion cells and scores of the forest; None with too little data."""
     counts = plays.groupBy("origin").agg(F.count("*").alias("n")).collect()  # two rows at most
-    if len(counts) < 2 or sum(r["n"] for r in counts) < params.min_model_rows:
+    size = sum(r["n"] for r in counts)
+    if len(counts) < 2 or size < params.min_model_rows:
         return None
-    rows = training_rows(plays, params).persist()
-    model, cells, scores = train_and_score(forest(params), rows, params.folds)
+    rows = sized(durable(training_rows(plays, params)), size).persist()
+    model, cells, scores = train_and_score(forest(params), rows, params)
     rows.unpersist()
     spark = plays.sparkSession
     score_row = spark.createDataFrame(

@@ -11,7 +11,7 @@ from hearlog.functions import labels
 from hearlog.functions.calendar import week_label
 from hearlog.functions.rounding import MS_PER_HOUR, half_even
 from hearlog.params import Params
-from hearlog.session import durable
+from hearlog.session import at_once, durable, sized
 from hearlog.vocabulary import (
     PODCAST_WEEK_ABOVE,
     WEEK_MODEL,
@@ -75,10 +75,21 @@ def _vectors(weeks: DataFrame) -> DataFrame:
     return assembler.transform(scaled_weeks(weeks)).drop(*[f"z_{f}" for f in FEATURES])
 
 
-def _best_of(vectors: DataFrame, k: int, starts: int, seed: int) -> KMeansModel:
-    """The fit with the smallest within-cluster cost over several seeded starts."""
-    fits = (KMeans(k=k, seed=seed + i, predictionCol="cluster").fit(vectors) for i in range(starts))
-    return min(fits, key=lambda model: model.summary.trainingCost)
+def _best_fits(
+    vectors: DataFrame, ks: list[int], starts: int, params: Params
+) -> dict[int, KMeansModel]:
+    """Per k, the fit with the smallest within-cluster cost over several seeded starts."""
+
+    def fit(k: int, start: int):
+        kmeans = KMeans(k=k, seed=params.seed + start, predictionCol="cluster")
+        return lambda: (k, kmeans.fit(vectors))
+
+    tasks = [fit(k, start) for k in ks for start in range(starts)]
+    fits = at_once(vectors.sparkSession, tasks, params.parallel_fits)
+    return {
+        k: min((m for fitted, m in fits if fitted == k), key=lambda m: m.summary.trainingCost)
+        for k in ks
+    }
 
 
 def euclidean_silhouette(clustered: DataFrame) -> DataFrame:
@@ -133,19 +144,19 @@ def cluster_weeks(
 
     k is the one with the best silhouette, the smaller one on a tie.
     """
-    vectors = _vectors(weeks).persist()
-    size = vectors.count()
+    weeks = durable(weeks)
+    size = weeks.count()
     ks = range(2, min(params.max_clusters + 1, size // 3))
     if size < params.min_weeks or not ks:
-        vectors.unpersist()
         return None
+    vectors = sized(_vectors(weeks), size).persist()
     exact = size <= params.euclidean_silhouette_rows
-    scores = []
-    for k in ks:
-        model = _best_of(vectors, k, params.search_starts, params.seed)
-        scores.append((k, float(silhouette(model.transform(vectors), exact))))
+    models = _best_fits(vectors, list(ks), params.search_starts, params)
+    scores = [
+        (k, float(silhouette(model.transform(vectors), exact))) for k, model in models.items()
+    ]
     best_k = max(scores, key=lambda s: (s[1], -s[0]))[0]
-    model = _best_of(vectors, best_k, params.final_starts, params.seed)
+    model = _best_fits(vectors, [best_k], params.final_starts, params)[best_k]
     # Every table below reads the same assignment, so it is written down once.
     clustered = durable(model.transform(vectors).drop("features"))
     vectors.unpersist()

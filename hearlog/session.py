@@ -2,7 +2,10 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +47,15 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/hearlog-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, rows: int, rows_per_task: int = 10_000) -> DataFrame:
+    """``df`` without needless tasks, for data that many small jobs will go over."""
+    return df.coalesce(max(1, rows // rows_per_task))
+
+
+def at_once(spark: SparkSession, tasks: list[Callable], width: int) -> list:
+    """Run driver-side tasks that each start Spark jobs, ``width`` at a time, in order."""
+    wrap = inheritable_thread_target(spark)
+    with ThreadPool(max(1, min(width, len(tasks)))) as pool:
+        return pool.map(lambda task: task(), [wrap(task) for task in tasks])
