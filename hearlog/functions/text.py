@@ -19,6 +19,11 @@ TRIMMED = (
 
 
 def clean_text(text: Column) -> Column:
-    """Text without symbols and emoji, trimmed; null when nothing is left."""
-    kept = F.regexp_replace(text, F.lit(REMOVED), F.lit(""))
+    """Text without symbols and emoji, trimmed; null when nothing is left.
+
+    Text with as many bytes as characters is ASCII, which has no such symbols, so the
+    expression search is left to the rest.
+    """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    kept = F.when(ascii_only, text).otherwise(F.regexp_replace(text, F.lit(REMOVED), F.lit("")))
     return F.nullif(F.btrim(kept, F.lit(TRIMMED)), F.lit(""))

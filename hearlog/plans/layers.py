@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hearlog.operators import fatigue, marts, origin, refine, weekly
 from hearlog.params import Params
 from hearlog.plans.published import publish, published_name
-from hearlog.session import durable, pin_utc
+from hearlog.session import durable, pin_utc, temporary_tables
 from hearlog.sources import landing, tables
 
 FACT = "fact_plays"
@@ -120,10 +120,11 @@ def write_marts(
     spark = fact.sparkSession
     if locations is not None:
         fact = refine.enrich_country(fact, locations)
-    results = build_marts(fact, params)
-    calendar, _ = results.pop("calendar_cube"), results.pop("catalogue_cube")
-    names = [_store(name, df, root, published) for name, df in results.items()]
-    total = calendar.agg(F.coalesce(F.sum("plays"), F.lit(0))).first()[0]
+    with temporary_tables(spark):
+        results = build_marts(fact, params)
+        calendar, _ = results.pop("calendar_cube"), results.pop("catalogue_cube")
+        names = [_store(name, df, root, published) for name, df in results.items()]
+        total = calendar.agg(F.coalesce(F.sum("plays"), F.lit(0))).first()[0]
     tables.write_document(
         tables.layer_document(spark, "marts", root, total, names), f"{root}/_document"
     )
@@ -153,14 +154,17 @@ def model_summary(results: dict[str, DataFrame], spark: SparkSession) -> DataFra
 def write_models(
     fact: DataFrame, root: str, params: Params = Params(), published: bool = False
 ) -> list[str]:
-    results = run_models(fact, params)
-    documents = {n: df for n, df in results.items() if n.endswith("_result")}
-    for name, df in documents.items():
-        shown = publish(name, df) if published else df
-        shown_name = published_name(name) if published else name
-        tables.write_document(shown, f"{root}/{shown_name}")
-    names = [_store(n, df, root, published) for n, df in results.items() if n not in documents]
-    tables.write_document(model_summary(results, fact.sparkSession), f"{root}/summary")
+    spark, names = fact.sparkSession, []
+    with temporary_tables(spark):
+        results = run_models(fact, params)
+        for name, df in results.items():
+            if name.endswith("_result"):
+                shown = publish(name, df) if published else df
+                shown_name = published_name(name) if published else name
+                tables.write_document(shown, f"{root}/{shown_name}")
+            else:
+                names.append(_store(name, df, root, published))
+        tables.write_document(model_summary(results, spark), f"{root}/summary")
     return names
 
 

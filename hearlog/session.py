@@ -2,7 +2,8 @@
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -37,18 +38,37 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_collecting: list[list[str]] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and go on from there.
 
     Cuts the lineage, survives lost executors, and later steps read only the columns
-    they need. The cluster's retention rule for that folder removes the table.
+    they need. ``temporary_tables`` removes such tables again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hearlog-{uuid.uuid4().hex}"
+    for paths in _collecting[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the tables that ``durable`` wrote inside it."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield
+    finally:
+        _collecting.remove(paths)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sized(df: DataFrame, rows: int, rows_per_task: int = 10_000) -> DataFrame:
     """``df`` without needless tasks, for data that many small jobs will go over."""
     return df.coalesce(max(1, rows // rows_per_task))
