@@ -18,7 +18,7 @@ from hearlog.functions import calendar, labels, rounding
 from hearlog.functions.text import REMOVED, TRIMMED, clean_text
 from hearlog.operators import refine
 from hearlog.params import Params
-from hearlog.session import pin_utc
+from hearlog.session import prepare_session
 from hearlog.sources.export_format import PLAY_KEY, TEXT_COLUMNS
 from hearlog.vocabulary import MONTH_LABELS, WEEKDAY_NAMES
 
@@ -89,7 +89,7 @@ def _dimension(extract):
 
 
 def _text(spark, sf, table, identity):
-    rows = pin_utc(spark).read.parquet(f"{sf}/{table}.parquet")
+    rows = prepare_session(spark).read.parquet(f"{sf}/{table}.parquet")
     return rows.select(*identity, clean_text(F.col("text")).alias("clean"))
 
 

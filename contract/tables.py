@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearlog.functions import labels
 from hearlog.functions.calendar import calendar_fields
-from hearlog.session import pin_utc
+from hearlog.session import prepare_session
 
 ZONE = "America/Mexico_City"
 
@@ -107,7 +107,7 @@ def country_case(column: str) -> str:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
+    return prepare_session(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
 def select_from(spark: SparkSession, text: str, table: str, df: DataFrame) -> DataFrame:

@@ -18,12 +18,18 @@ TRIMMED = (
 )
 
 
+ASCII_TRIMMED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+
+
 def clean_text(text: Column) -> Column:
     """Text without symbols and emoji, trimmed; null when nothing is left.
 
-    Text with as many bytes as characters is ASCII, which has no such symbols, so the
-    expression search is left to the rest.
+    Text with as many bytes as characters is ASCII, which has no such symbols and few
+    characters to trim, so the search and the long trim list are left to the rest.
     """
     ascii_only = F.octet_length(text) == F.char_length(text)
-    kept = F.when(ascii_only, text).otherwise(F.regexp_replace(text, F.lit(REMOVED), F.lit("")))
-    return F.nullif(F.btrim(kept, F.lit(TRIMMED)), F.lit(""))
+    searched = F.regexp_replace(text, F.lit(REMOVED), F.lit(""))
+    kept = F.when(ascii_only, F.btrim(text, F.lit(ASCII_TRIMMED))).otherwise(
+        F.btrim(searched, F.lit(TRIMMED))
+    )
+    return F.nullif(kept, F.lit(""))

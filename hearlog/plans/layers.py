@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hearlog.operators import fatigue, marts, origin, refine, weekly
 from hearlog.params import Params
 from hearlog.plans.published import publish, published_name
-from hearlog.session import durable, pin_utc, temporary_tables
+from hearlog.session import durable, prepare_session, temporary_tables
 from hearlog.sources import landing, tables
 
 FACT = "fact_plays"
@@ -57,7 +57,7 @@ def build_plays(
 
     Dimensions read the stored table, so the JSON is parsed once.
     """
-    spark = pin_utc(files.sparkSession)
+    spark = prepare_session(files.sparkSession)
     raw = landing.history_from_records(landing.records(files))
     if listener_pattern:
         raw = raw.withColumn("listener_id", F.regexp_extract("path", listener_pattern, 1))
@@ -178,7 +178,7 @@ def run_all(
     published: bool = False,
 ) -> None:
     """Landing, plays, marts and models, each under its own folder of ``root``."""
-    pin_utc(spark)
+    prepare_session(spark)
     files = land(spark, source, f"{root}/landing")["files"]
     fact = build_plays(files, f"{root}/plays", params, listener_pattern, published)
     write_marts(fact, f"{root}/marts", params, published=published)
