@@ -12,7 +12,7 @@ from hearlog.operators import evaluate, fatigue, origin, sequence, weekly
 from hearlog.params import Params
 from hearlog.plans.layers import model_summary, run_models
 from hearlog.sources.tables import model_input
-from hearlog.vocabulary import ORIGIN_NAMES, ORIGIN_NAMES_SHORT, SHUFFLE_NAMES, WEEK_PROFILES
+from hearlog.vocabulary import ORIGIN_NAMES, ORIGIN_NAMES_SHORT, SHUFFLE_NAMES, SKIP_VERDICTS, WEEK_PROFILES
 
 P = Params()
 LIGHT = Params(
@@ -131,6 +131,41 @@ def skip_verdict(spark, sf):
     return fatigue.skip_result(rows, fatigue.fit_skip_model(rows, LIGHT))
 
 
+def ruled_silhouette(spark, sf):
+    """Silhouette of the four groups by rule, with the distance the library would use."""
+    grouped = weekly.assembled_weeks(ruled_weeks(spark, sf))
+    exact = grouped.count() <= LIGHT.euclidean_silhouette_rows
+    score = weekly.silhouette(grouped.select("cluster", "features"), exact)
+    return spark.range(1).select(F.round(F.lit(score), 6).alias("silhouette"))
+
+
+def clustered_totals(spark, sf):
+    """Weeks, plays and years the fitted clusters cover together."""
+    grouped, _ = clustered(spark, sf)
+    return grouped.agg(F.count("*").alias("weeks"), F.sum("week_plays").alias("plays"))
+
+
+def _test_rows(fit):
+    """Test plays by actual class, from the confusion cells of the fitted model."""
+
+    def query(spark, sf):
+        cells = fit(spark, sf)[1]
+        return cells.groupBy(F.col("actual").alias("label")).agg(F.sum("plays").alias("plays"))
+
+    return query
+
+
+def skip_split_sizes(spark, sf):
+    rows = fatigue.training_rows(context(spark, sf), LIGHT)
+    return rows.groupBy("label", "part").agg(F.count("*").alias("plays"))
+
+
+def skip_verdict_rule(spark, sf):
+    """The verdict if the features' means were their importances."""
+    means = context(spark, sf).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in fatigue.FEATURES])
+    return fatigue.top_feature_verdict(means.unpivot([], fatigue.FEATURES, "feature", "importance"))
+
+
 def all_models(spark, sf):
     results = run_models(history(spark, sf), LIGHT)
     return model_summary(results, spark)
@@ -145,6 +180,7 @@ QUERIES = {
     "m1_5_class_weights": class_weights,
     "m1_6_fold_sizes": fold_sizes,
     "m1_6_confusion_cells": confusion_cells,
+    "m1_6_test_rows": _test_rows(origin_fit),
     "m1_6_evaluation": origin_evaluation,
     "m1_7_importance": lambda s, sf: origin_fit(s, sf)[0],
     "m1_8_verdict_rule": verdict_rule,
@@ -153,12 +189,14 @@ QUERIES = {
     "m2_1_week_vectors": weeks,
     "m2_2_scaled_weeks": scaled,
     "m2_3_silhouette_by_k": lambda s, sf: clustered(s, sf)[1],
+    "m2_4_clustered_totals": clustered_totals,
     "m2_4_clustered_weeks": lambda s, sf: clustered(s, sf)[0],
     "m2_5_profile_rules": lambda s, sf: weekly.rounded_profiles(weekly.cluster_profiles(ruled_weeks(s, sf))),
     "m2_5_profiles": clustered_profiles,
     "m2_6_profiles_by_year": lambda s, sf: weekly.profiles_by_year(ruled_named_weeks(s, sf)),
     "m2_7_profiles_by_month":
         lambda s, sf: weekly.profiles_by_month(ruled_named_weeks(s, sf), history(s, sf), LIGHT),
+    "m2_8_silhouette_of_rules": ruled_silhouette,
     "m2_9_week_result": week_outputs,
     "j2_named_weeks": lambda s, sf: ruled_named_weeks(s, sf).select("listener_id", "year", "week", "cluster", "profile"),
     "j3_weeks_by_month": lambda s, sf: weekly.weeks_by_month(weeks(s, sf), history(s, sf), LIGHT).select(
@@ -168,8 +206,11 @@ QUERIES = {
         "play_id", "session_id", "position", "minutes_before", "skips_before", "skip", "shuffle_on", "active",
         "hour", "weekday", "month",
     ),
+    "m3_2_split_sizes": skip_split_sizes,
+    "m3_3_test_rows": _test_rows(skip_fit),
     "m3_3_evaluation": skip_evaluation,
     "m3_4_importance": lambda s, sf: skip_fit(s, sf)[0],
+    "m3_4_verdict_rule": skip_verdict_rule,
     "m3_4_verdict": skip_verdict,
     "m3_5_skip_by_position": _on_context(fatigue.skip_by_position),
     "m3_6_skip_by_minutes": _on_context(fatigue.skip_by_minutes),
@@ -265,6 +306,34 @@ def _z(feature: str) -> str:
             f"/ stddev_pop({feature}) OVER () END, 6), 0) AS z_{feature}")
 
 
+def split_sql(source: str, label: str) -> str:
+    """Class sizes of a split. Row i of n (from 1) is in the train part when (i - 0.5) / n
+    does not exceed its share."""
+    return (
+        f"SELECT * FROM (SELECT {label} AS label, CAST(CASE WHEN (i - 0.5) / n <= 0.8 THEN 0 ELSE 1 END AS INTEGER) AS part, "
+        f"count(*) AS plays FROM (SELECT {label}, row_number() OVER (PARTITION BY {label}) AS i, "
+        f"count(*) OVER (PARTITION BY {label}) AS n FROM {source}) GROUP BY 1, 2)"
+    )
+
+
+TEST_ROWS = "SELECT label, plays FROM ({}) WHERE part = 1"
+Z = [f"CASE WHEN stddev_pop({f}) OVER () > 0 THEN ({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () ELSE 0 END"
+     for f in weekly.FEATURES]
+SILHOUETTE = f"""
+, points AS (SELECT row_number() OVER () AS id, cluster, [{", ".join(Z)}] AS v, count(*) OVER () AS n FROM weeks),
+reach AS (
+  SELECT a.id, a.cluster AS own, b.cluster AS other, count(*) AS size,
+    sum(CASE WHEN a.n <= 2000 THEN list_distance(a.v, b.v) ELSE list_distance(a.v, b.v) ** 2 END) AS total
+  FROM points a, points b GROUP BY ALL
+),
+sides AS (
+  SELECT id, max(size) FILTER (own = other) AS size, max(total) FILTER (own = other) AS total,
+    min(total / size) FILTER (own <> other) AS b FROM reach GROUP BY id
+)
+SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - total / (size - 1)) / greatest(b, total / (size - 1)) END), 6) AS silhouette
+FROM sides
+"""
+
 ORACLES = {
     "m1_1_comparison": on_plays(
         f"SELECT origin, count(ms_played) AS plays, {half_even(mean('complete'), 3)} AS complete_rate, "
@@ -286,15 +355,22 @@ ORACLES = {
         "FROM plays WHERE artist_name IS NOT NULL GROUP BY artist_name HAVING count(*) >= 5 "
         "ORDER BY recommender_share DESC, plays DESC, artist_name LIMIT 30"
     ),
-    # Row i of n (from 1) is in the first part when (i - 0.5) / n does not exceed its share.
-    "m1_5_split_sizes": on_plays(
-        "SELECT origin AS label, CAST(CASE WHEN (i - 0.5) / n <= 0.8 THEN 0 ELSE 1 END AS INTEGER) AS part, count(*) AS plays "
-        "FROM (SELECT origin, row_number() OVER (PARTITION BY origin) AS i, count(*) OVER (PARTITION BY origin) AS n FROM plays) "
-        "GROUP BY 1, 2"
-    ),
+    "m1_5_split_sizes": on_plays(split_sql("plays", "origin")),
     "m1_5_class_weights": on_plays(
         "SELECT origin AS label, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM plays GROUP BY origin"
     ),
+    "m1_6_test_rows": on_plays(TEST_ROWS.format(split_sql("plays", "origin"))),
+    "m2_4_clustered_totals": on_weeks("SELECT count(*) AS weeks, CAST(sum(week_plays) AS BIGINT) AS plays FROM weeks"),
+    "m2_8_silhouette_of_rules": on_weeks(SILHOUETTE),
+    "m3_2_split_sizes": on_history(split_sql("skip_context", "skip"), MUSIC_CONTEXT),
+    "m3_3_test_rows": on_history(TEST_ROWS.format(split_sql("skip_context", "skip")), MUSIC_CONTEXT),
+    "m3_4_verdict_rule": on_history(
+        "SELECT feature AS top_feature, CASE feature"
+        + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in SKIP_VERDICTS.items())
+        + " END AS verdict FROM ("
+        + " UNION ALL ".join(f"SELECT '{f}' AS feature, avg(CAST({f} AS DOUBLE)) AS m FROM skip_context" for f in fatigue.FEATURES)
+        + ") ORDER BY m DESC, feature LIMIT 1", MUSIC_CONTEXT
+    ),
     "m1_6_fold_sizes": on_plays(
         "SELECT origin AS label, CAST(CASE WHEN (i - 0.5) / n <= 1 / 3 THEN 0 WHEN (i - 0.5) / n <= 2 / 3 THEN 1 ELSE 2 END AS INTEGER) "
         "AS fold, count(*) AS plays "

@@ -70,7 +70,8 @@ def scaled_weeks(weeks: DataFrame) -> DataFrame:
     )
 
 
-def _vectors(weeks: DataFrame) -> DataFrame:
+def assembled_weeks(weeks: DataFrame) -> DataFrame:
+    """Weeks with their scaled features as one vector."""
     assembler = VectorAssembler(inputCols=[f"z_{f}" for f in FEATURES], outputCol="features")
     return assembler.transform(scaled_weeks(weeks)).drop(*[f"z_{f}" for f in FEATURES])
 
@@ -149,7 +150,7 @@ def cluster_weeks(
     ks = range(2, min(params.max_clusters + 1, size // 3))
     if size < params.min_weeks or not ks:
         return None
-    vectors = sized(_vectors(weeks), size).persist()
+    vectors = sized(assembled_weeks(weeks), size).persist()
     exact = size <= params.euclidean_silhouette_rows
     models = _best_fits(vectors, list(ks), params.search_starts, params)
     scores = [

@@ -6,7 +6,6 @@ files; the export tool itself bounds the size of a file.
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hearlog.sources.export_format import FIELDS, FILE_GLOB, NUMBERED_FILE, TYPE_LABELS
 
@@ -163,8 +162,3 @@ def read_history(
     if listener_pattern:
         plays = plays.withColumn("listener_id", F.regexp_extract("path", listener_pattern, 1))
     return plays
-
-
-def export_struct() -> T.StructType:
-    """Schema of one export record, for readers of flat files and for writers of samples."""
-    return T._parse_datatype_string(", ".join(f"`{f}` {kind}" for f, kind, _ in FIELDS))
