@@ -4,6 +4,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -44,35 +45,49 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-_collecting: list[list[str]] = []
+_collecting: ContextVar[list[str] | None] = ContextVar("tables of the innermost block", default=None)
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and go on from there.
 
     Cuts the lineage, survives lost executors, and later steps read only the columns
-    they need. ``temporary_tables`` removes such tables again.
+    they need. The innermost ``temporary_tables`` block around the call removes the table
+    again; outside such blocks it is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hearlog-{uuid.uuid4().hex}"
-    for paths in _collecting[-1:]:
+    paths = _collecting.get()
+    if paths is None:
+        folder, files = _on_storage(spark, path)
+        files.deleteOnExit(folder)
+    else:
         paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _on_storage(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Delete, at the end of the block, the tables that ``durable`` wrote inside it."""
+    """Delete, at the end of the block, the tables that ``durable`` wrote inside it.
+
+    Blocks nest, and threads do not see each other's blocks; ``at_once`` hands the
+    caller's block on to its tasks.
+    """
     paths: list[str] = []
-    _collecting.append(paths)
+    outer = _collecting.set(paths)
     try:
         yield
     finally:
-        _collecting.remove(paths)
+        _collecting.reset(outer)
         for path in paths:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            folder, files = _on_storage(spark, path)
+            files.delete(folder, True)
 
 
 def sized(df: DataFrame, rows: int, rows_per_task: int = 10_000) -> DataFrame:
@@ -83,5 +98,6 @@ def sized(df: DataFrame, rows: int, rows_per_task: int = 10_000) -> DataFrame:
 def at_once(spark: SparkSession, tasks: list[Callable], width: int) -> list:
     """Run driver-side tasks that each start Spark jobs, ``width`` at a time, in order."""
     wrap = inheritable_thread_target(spark)
+    wrapped = [(copy_context(), wrap(task)) for task in tasks]
     with ThreadPool(max(1, min(width, len(tasks)))) as pool:
-        return pool.map(lambda task: task(), [wrap(task) for task in tasks])
+        return pool.map(lambda pair: pair[0].run(pair[1]), wrapped)
