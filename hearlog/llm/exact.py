@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from hearlog.session import durable
 
+#: Bytes of a text that a sampled splitter holds; texts that open alike are split by digest.
+SPLITTER_BYTES = 32
+
 #: Pieces that one text's copies are cut into, so that no task gets them all.
 PIECES = 64
 
@@ -30,8 +33,10 @@ def content_sort(
     as the smallest and is kept only if the whole group has no other. Other columns of
     ``docs`` are not read. An empty table gives no rows.
 
-    The ranges are cut on (text, piece), a piece being a share of one text's copies, so a
-    text that a third of all rows hold is spread over tasks. Every piece ends in one row
+    The ranges are cut on (opening bytes, digest, piece), so that the sample of splitters,
+    which passes through the driver, holds no whole texts. A piece is a share of one text's
+    copies, so a text that a third of all rows hold is spread over tasks. Within a range
+    the whole texts are sorted and compared. Every piece ends in one row
     that knows the piece's size and its kept candidate; only these rows, which have a
     digest in place of the text, are aggregated over the pieces and joined back. The text
     moves once.
@@ -46,14 +51,17 @@ def content_sort(
         F.col(id_col).alias("doc"),
         text.alias("content"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(PIECES)).cast("int").alias("piece"),
-    ).repartitionByRange("content", "piece")
-    run = Window.partitionBy("content", "piece").orderBy(best_first)
+    ).withColumns({
+        "opening": F.substring(F.col("content").cast("binary"), 1, SPLITTER_BYTES),
+        "text_sha256": F.sha2(F.col("content").cast("binary"), 256),
+    }).repartitionByRange("opening", "text_sha256", "piece")
+    run = Window.partitionBy("opening", "text_sha256", "piece", "content").orderBy(best_first)
     sorted_rows = durable(
         ranged.select(
             "doc", "piece",
             F.row_number().over(run).alias("place"),
             F.lead(F.lit(False), 1, True).over(run).alias("last"),
-            F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"),
+            "text_sha256",
         )
     )
     candidate = F.struct(

@@ -4,8 +4,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearlog.llm.decontaminate import contaminated
 from hearlog.llm.exact import content_sort
 from hearlog.llm.mixing import pareto_mix
+from hearlog.llm.quality import judge
 from hearlog.llm.simhash import near_duplicates
 
 
@@ -24,6 +26,21 @@ def with_shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="hearlog-text-"))
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that are labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
+    return judge(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_shared_folder(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -40,6 +57,8 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pareto_mix": op10_pareto_mix,
