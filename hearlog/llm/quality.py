@@ -433,7 +433,7 @@ def judge(
     length_power: float = 0.25,
     fence: float = 6.0,
 ) -> DataFrame:
-    """One row per document: ``lang``, ``bytes``, ``perplexity``, ``low``, ``high``, ``kept``.
+    """One row per document: ``lang``, ``bytes``, ``perplexity``, ``high``, ``kept``.
 
     ``trusted_ids`` has one column, the ids of trusted documents. Of these, one in
     ``held_out`` (by a digest of the id) is kept from training and sets the thresholds.
@@ -441,10 +441,10 @@ def judge(
     had ``shrink_bytes`` more bytes of average text, so that a few words are not judged by
     chance. Log perplexities of long documents lie closer together; their distance from
     the mean is multiplied by (bytes + ``shrink_bytes``) ** ``length_power`` to make it
-    comparable. With the quartiles of this distance among a language's held-out documents,
-    its thresholds lie ``fence`` interquartile ranges beyond the quartiles (a range of at
-    least 5 % of the mean is taken): above is text unlike the trusted, below is
-    repetition. ``low`` and ``high`` give them for the document's length.
+    comparable. A language's threshold for it lies ``fence`` interquartile ranges above the
+    third quartile of its held-out documents (and at least 5 % of the mean above it, at the
+    shortest length); what is beyond is unlike the trusted text and goes. ``high`` is that
+    threshold as a perplexity, for the document's length.
 
     Documents without bytes, and those of a language without trusted text (null is a
     language of its own), are kept; their perplexity is null where there is no model.
@@ -479,14 +479,13 @@ def judge(
         with_table(held, means).groupBy("lang", "mean")
         .agg(F.percentile_approx(distance, [0.25, 0.75], 10_000).alias("q"))
         .withColumn("reach", F.greatest(fence * (F.col("q")[1] - F.col("q")[0]), least))
-        .select("lang", "mean", (F.col("q")[0] - F.col("reach")).alias("l"), (F.col("q")[1] + F.col("reach")).alias("h"))
+        .select("lang", "mean", (F.col("q")[1] + F.col("reach")).alias("most"))
     )
     return with_table(scored, bounds).select(
         F.col("doc").alias(id_col),
         F.col("lang").alias(lang_col),
         "bytes",
         F.exp(drawn).alias("perplexity"),
-        F.exp(F.col("mean") + F.col("l") / stretch).alias("low"),
-        F.exp(F.col("mean") + F.col("h") / stretch).alias("high"),
-        F.coalesce(distance.between(F.col("l"), F.col("h")), F.lit(True)).alias("kept"),
+        F.exp(F.col("mean") + F.col("most") / stretch).alias("high"),
+        F.coalesce(distance <= F.col("most"), F.lit(True)).alias("kept"),
     )
