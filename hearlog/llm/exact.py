@@ -68,10 +68,11 @@ def content_sort(
         F.col("doc").isNull().alias("no_id"),
         (-F.col("doc") if keep == "largest" else F.col("doc")).alias("rank"),
     )
-    pieces = sorted_rows.groupBy("text_sha256").agg(
+    # A table of its own, so that the join below can split the rows of a hot text.
+    pieces = durable(sorted_rows.groupBy("text_sha256").agg(
         F.sum(F.when(F.col("last"), F.col("place"))).cast("long").alias("group_size"),
         F.min(F.when(F.col("place") == 1, F.struct(candidate.alias("order"), "doc", "piece"))).alias("best"),
-    )
+    ))
     return sorted_rows.join(pieces, "text_sha256").select(
         F.col("doc").alias(id_col),
         F.col("best.doc").alias("keep_id"),

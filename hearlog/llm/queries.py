@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hearlog.llm.decontaminate import contaminated
 from hearlog.llm.exact import content_sort
+from hearlog.llm.html import extract
+from hearlog.llm.language import identify
 from hearlog.llm.mixing import pareto_mix
+from hearlog.llm.pii import find
 from hearlog.llm.quality import judge
 from hearlog.llm.simhash import near_duplicates
 
@@ -36,11 +39,25 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_shared_folder(spark)
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_shared_folder(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -58,7 +75,10 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op5_decontaminate": op5_decontaminate,
+    "op6_pii": op6_pii,
+    "op7_html": op7_html,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pareto_mix": op10_pareto_mix,
