@@ -12,6 +12,7 @@ from hearlog.llm.mixing import pareto_mix
 from hearlog.llm.pii import find
 from hearlog.llm.quality import judge
 from hearlog.llm.simhash import near_duplicates
+from hearlog.llm.substrings import without_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_shared_folder(spark)
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -76,6 +82,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
     "op7_html": op7_html,
