@@ -1,25 +1,57 @@
-"""A training-data pipeline over ``documents``: STAGES, run() and its SQL, where SQL can say it."""
+"""A training-data pipeline over ``documents``: STAGES, run() and its SQL, where SQL can say it.
 
-from pyspark.sql import DataFrame, SparkSession
+Every stage takes the documents its predecessor kept. Documents are matched with an
+operator's result by id, null ids included; what the result says of the text (digest,
+length) is compared as well, so that rows which share an id are told apart.
+"""
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearlog.llm import queries
+from hearlog.llm.decontaminate import contaminated
 from hearlog.llm.exact import content_sort
 from hearlog.llm.mixing import pareto_mix
+from hearlog.llm.quality import judge
 from hearlog.llm.simhash import near_duplicates
 from hearlog.session import durable
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model of trusted text rejects go."""
+    judged = judge(docs, queries.trusted(spark, sf_dir))
+    rejected = judged.where("NOT kept").select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), "bytes").distinct()
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("d")) & F.col("lang").eqNullSafe(F.col("l"))
+        & (F.octet_length(F.coalesce("text", F.lit(""))) == F.col("bytes"))
+    )
+    return docs.join(rejected, same, "left_anti").select(docs.columns)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    found = content_sort(docs, keep="largest")
-    return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of equal texts stays: the largest id, repeated rows once."""
+    kept = content_sort(docs, keep="largest").where("kept").select(F.col("doc_id").alias("d"), "text_sha256")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    repeats = Window.partitionBy("digest", "doc_id").orderBy("lang", "source", "n_chars")
+    return (
+        docs.withColumn("digest", digest)
+        .join(kept, (F.col("digest") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+        .withColumn("repeat", F.row_number().over(repeats)).where("repeat = 1")
+        .select(docs.columns)
+    )
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that SimHash links, directly or over others, the smallest id stays."""
-    found = near_duplicates(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    extra = near_duplicates(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("d")).distinct()
+    return docs.join(extra, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    found = contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+    leaked = found.where("contaminated").select(F.col("doc_id").alias("d")).distinct()
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +60,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", quality),
     ("exact dedup", exact_dedup),
     ("simhash near-dedup", near_dedup),
-    ("mixing", mix),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix),
 ]
 
 #: The quality model and the fingerprints cannot be stated in SQL.

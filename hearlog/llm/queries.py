@@ -11,6 +11,7 @@ from hearlog.llm.language import identify
 from hearlog.llm.mixing import pareto_mix
 from hearlog.llm.pii import find
 from hearlog.llm.quality import judge
+from hearlog.llm.quotes import link_quotes
 from hearlog.llm.simhash import near_duplicates
 from hearlog.llm.substrings import without_repeats
 
@@ -45,6 +46,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_shared_folder(spark)
     return without_repeats(table(spark, sf_dir, "documents"))
@@ -82,6 +88,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op3_quotes": op3_quotes,
     "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
