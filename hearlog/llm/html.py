@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from hearlog.llm.common import record_batches
 
+#: Possessive, so that odd quotes are not tried in all ways; a tag with an unclosed quote
+#: ends at the next >.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?:(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|(?P<loose>[^>]*+)>)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:@][-\w:.@]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -45,6 +47,12 @@ ASIDE_WORDS = frozenset(
     "social related recommended recommendations trending popular widget widgets comment comments commentlist "
     "disqus replies respond reply form search skip hidden tags taglist byline".split()
 )
+#: Of these, the words that also name a whole layout (as in has-sidebar): an element is
+#: only left out for them if it does not hold the page's text.
+LAYOUT_WORDS = frozenset(
+    "nav navbar navigation menu menubar sidebar sidenav aside rail header masthead topbar toolbar footer bottombar "
+    "banner form search overlay widget widgets notice alert share sharing social tags related hidden".split()
+)
 CONTAINERS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -56,12 +64,15 @@ _CLOSES = {
 _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",)}
 
 
+NO, LAYOUT, YES = range(3)
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
     parent: int
     path: str
-    aside: bool
+    aside: int  # whether it is left out: NO, by LAYOUT words only, or YES
     inside: bool  # in an article or main element, or one itself
 
 
@@ -81,22 +92,50 @@ def _words(attributes: dict[str, str]) -> set[str]:
     return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
 
 
-def _is_aside(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in ("html", "body", "article", "main"):
-        return False
-    return (
+def _is_aside(tag: str, attributes: dict[str, str]) -> int:
+    if tag in ("html", "body", "main"):
+        return NO
+    words = _words(attributes) & ASIDE_WORDS
+    if (
         tag in ASIDE_TAGS
         or attributes.get("role", "").lower() in ASIDE_ROLES
         or "hidden" in attributes
         or attributes.get("aria-hidden", "").lower() == "true"
         or re.search(r"display\s*:\s*none", attributes.get("style", "")) is not None
-        or not ASIDE_WORDS.isdisjoint(_words(attributes))
-    )
+        or words - LAYOUT_WORDS
+    ):
+        return YES
+    return LAYOUT if words and tag != "article" else NO
+
+
+def settle(elements: list[Element], leaves: list[Leaf], share: float = 0.8) -> None:
+    """Decides on elements with layout words, then hands each decision on to what is inside.
+
+    They stay in if they hold a main element, or ``share`` of the text that is not left
+    out for other reasons.
+    """
+    out = [element.aside == YES for element in elements]
+    holds_main = [element.tag == "main" for element in elements]
+    for number in range(1, len(elements)):  # children follow their parents
+        out[number] |= out[elements[number].parent]
+    size = [0] * len(elements)
+    for leaf in leaves:
+        if not out[leaf.element]:
+            size[leaf.element] += len(leaf.text)
+    for number in range(len(elements) - 1, 0, -1):
+        above = elements[number].parent
+        size[above] += size[number]
+        holds_main[above] |= holds_main[number]
+    for number, element in enumerate(elements):
+        if element.aside == LAYOUT and (holds_main[number] or size[number] >= share * size[0]):
+            element.aside = NO
+        if number and elements[element.parent].aside:
+            element.aside = YES
 
 
 def parse(page: str) -> tuple[list[Element], list[Leaf]]:
     """The block elements of a page and its text leaves, in page order."""
-    elements = [Element("", -1, "", False, False)]
+    elements = [Element("", -1, "", NO, False)]
     leaves: list[Leaf] = []
     stack = [0]
     links = 0  # open links
@@ -119,6 +158,9 @@ def parse(page: str) -> tuple[list[Element], list[Leaf]]:
             if links:
                 linked += len(text)
 
+    last = page.rfind(">") + 1  # no tag ends behind it
+    tail = page[last:].split("<!", 1)[0]
+    page = page[:last]
     while at < len(page):
         token = _TOKEN.search(page, at)
         if token is None:
@@ -128,7 +170,10 @@ def parse(page: str) -> tuple[list[Element], list[Leaf]]:
         at = token.end()
         tag = (token["tag"] or "").lower()
         if not tag:
+            if at == len(page) and token[0].startswith("<!--") and not token[0].endswith("-->"):
+                tail = ""
             continue
+        attributes_text = token["attributes"] if token["attributes"] is not None else token["loose"]
         if token["close"]:
             if tag in INLINE:
                 if tag == "a":
@@ -146,13 +191,15 @@ def parse(page: str) -> tuple[list[Element], list[Leaf]]:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>|\Z", re.IGNORECASE).search(page, at)
             at = end.end()
+            if not end[0]:
+                tail = ""
             continue
         if tag in INLINE:
             if tag == "br":
                 add(" ")
             elif tag == "a":
                 links += 1
-            elif tag not in VOID and (inline_aside or _is_aside(tag, _attributes(token["attributes"]))):
+            elif tag not in VOID and (inline_aside or _is_aside(tag, _attributes(attributes_text))):
                 inline_aside.append(tag)
             continue
         flush()
@@ -170,17 +217,19 @@ def parse(page: str) -> tuple[list[Element], list[Leaf]]:
                 if elements[stack[place]].tag in _CLOSES[tag]:
                     del stack[place:]
                     break
-        attributes = _attributes(token["attributes"])
+        attributes = _attributes(attributes_text)
         above = elements[stack[-1]]
         own = _is_aside(tag, attributes)
-        if tag == "header" and above.inside and not above.aside:
-            own = False  # an article's own header: only its headings count, see below
+        if tag == "header" and above.inside and above.aside == NO:
+            own = NO  # an article's own header: only its headings count, see below
         name = ".".join([tag, *sorted(_words(attributes))])
         elements.append(Element(
-            tag, stack[-1], f"{above.path}/{name}", above.aside or own, above.inside or tag in CONTAINERS
+            tag, stack[-1], f"{above.path}/{name}", own, above.inside or tag in CONTAINERS
         ))
         stack.append(len(elements) - 1)
+    add(tail)
     flush()
+    settle(elements, leaves)
     return elements, leaves
 
 
@@ -212,9 +261,10 @@ def main_text(page: str | None, threshold: float = 0.5, share: float = 0.7) -> s
     """The blocks of the article, joined by line feeds; empty if there is none.
 
     Leaves of other parts (by tag, role, class or id) are left out first. Content leaves
-    are those whose path score reaches ``threshold`` times the mean. From the root down,
-    the element that holds at least ``share`` of the content is followed, as far as an
-    article or main element. Then come back headings that stand right above it.
+    are those whose path score reaches ``threshold`` times the mean. The text is in the
+    page's only article (or main) element, if it has one with at least a tenth of the text.
+    Otherwise, from the root down, the element that holds at least ``share`` of the content
+    is followed, as far as an article or main element; headings right above it come back.
     """
     if not page:
         return ""
@@ -244,7 +294,7 @@ def main_text(page: str | None, threshold: float = 0.5, share: float = 0.7) -> s
     children = defaultdict(list)
     for number, element in enumerate(elements[1:], 1):
         children[element.parent].append(number)
-    top = 0
+    top = _only_container(elements, leaves)
     while elements[top].tag not in CONTAINERS and children[top]:
         best = max(children[top], key=lambda e: held[e])
         if held[best] < share * held[top] or not held[best] or elements[best].tag in ("p", *HEADINGS):
@@ -270,6 +320,31 @@ def main_text(page: str | None, threshold: float = 0.5, share: float = 0.7) -> s
     )
 
 
+def _only_container(elements: list[Element], leaves: list[Leaf]) -> int:
+    """The one article or main element that holds text; 0 if there is none, or several.
+
+    A main element is left for an article that is alone in it.
+    """
+    size = [0] * len(elements)
+    for leaf in leaves:
+        size[leaf.element] += len(leaf.text)
+    for number in range(len(elements) - 1, 0, -1):
+        size[elements[number].parent] += size[number]
+    for tag in ("article", "main"):
+        found = [number for number, element in enumerate(elements) if element.tag == tag and size[number]]
+        outer = [number for number in found if not any(_holds(elements, other, number) for other in found)]
+        if len(outer) == 1 and size[outer[0]] * 10 >= size[0]:
+            return outer[0]
+    return 0
+
+
+def _holds(elements: list[Element], outer: int, inner: int) -> bool:
+    at = elements[inner].parent
+    while at > outer:
+        at = elements[at].parent
+    return at == outer
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: the page's id and url, ``text`` and ``n_chars`` (its code points).
 

@@ -88,14 +88,14 @@ def pareto_mix(
     ))
     targets = source_targets(sized, "source", weights, max_repeats).join(
         sized.groupBy(F.col("source").alias("s")).agg(
-            (F.sum(F.col("preference") * F.col("size")) / F.sum("size")).alias("mean_preference")
+            F.try_divide(F.sum(F.col("preference") * F.col("size")), F.sum("size")).alias("mean_preference")
         ),
         F.col("source").eqNullSafe(F.col("s")),
     ).drop("s").withColumnRenamed("source", "s")
     expected = F.least(
         F.lit(float(max_repeats)),
         F.coalesce(
-            F.col("target") / F.col("source_size") * F.col("preference") / F.col("mean_preference"), F.lit(0.0)
+            F.try_divide(F.col("target"), F.col("source_size")) * F.col("preference") / F.col("mean_preference"), F.lit(0.0)
         ),
     )
     draw = unit_hash(seed, F.col("doc"), F.coalesce("source", F.lit("")))

@@ -147,9 +147,9 @@ def _ends(texts: list[bytes]) -> np.ndarray:
     return np.cumsum([len(text) for text in texts], dtype=np.int64)
 
 
-def _first_round(q: int, shards: int):
+def _first_round(q: int, shards: int, block_bytes: int):
     def rows(batches):
-        for block in blocks_of(batches, BLOCK):
+        for block in blocks_of(batches, block_bytes):
             data = np.frombuffer(b"".join(block.texts), np.uint8)
             _, _, anchors, wholes = runs(data, _ends(block.texts), q)
             yield from _asked("anchor", block.name, anchors, shards)
@@ -209,14 +209,14 @@ _TEXTS = pa.schema([
 _TEXTS_DDL = "block string, ids binary, no_id binary, texts binary, lengths binary"
 
 
-def _texts(batches):
-    def rows():
-        for block in blocks_of(batches, BLOCK):
+def _texts(block_bytes: int):
+    def rows(batches):
+        for block in blocks_of(batches, block_bytes):
             ids = np.array([0 if i is None else i for i in block.ids], np.int64)
             missing = np.array([i is None for i in block.ids], np.bool_)
             yield block.name, pack(ids), pack(missing), *pack_texts(block.texts)
 
-    return record_batches(rows(), _TEXTS, 1)
+    return lambda batches: record_batches(rows(batches), _TEXTS, 1)
 
 
 _RESULT = [
@@ -333,7 +333,8 @@ def _last_round(q: int, keep_text: bool):
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False,
+    block_bytes: int = BLOCK,
 ) -> DataFrame:
     """One row per document: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
@@ -360,9 +361,9 @@ def without_repeats(
     def several(asked: DataFrame) -> DataFrame:
         return asked.groupBy("kind", "shard").applyInArrow(_several, _SEVERAL_DDL)
 
-    first = several(rows.mapInArrow(_first_round(q, shards), _ASKED_DDL))
+    first = several(rows.mapInArrow(_first_round(q, shards, block_bytes), _ASKED_DDL))
     second = durable(
-        rows.mapInArrow(_texts, _TEXTS_DDL).groupBy("block").cogroup(first.groupBy("block"))
+        rows.mapInArrow(_texts(block_bytes), _TEXTS_DDL).groupBy("block").cogroup(first.groupBy("block"))
         .applyInArrow(_second_round(q, shards, keep_text), _SECOND_DDL)
     )
     strings_asked = second.where("keys IS NOT NULL").select("kind", "shard", "block", "keys", "counts")

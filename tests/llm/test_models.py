@@ -1,0 +1,174 @@
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from texts import SCHEMA, documents, prose
+
+from hearlog.llm import language, quality
+
+
+def brute_model(texts, order=5):
+    """Interpolated modified Kneser-Ney straight from its definition, over bytes."""
+    grams = Counter()
+    for t in texts:
+        padded = bytes([255]) * (order - 1) + t
+        for k in range(len(t)):
+            grams[padded[k:k + order]] += 1
+    counts = {order: grams}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    levels = {}
+    for n, table in counts.items():
+        discount = quality.discounts([sum(c == k for c in table.values()) for k in (1, 2, 3, 4)])
+        total, given = Counter(), Counter()
+        for g, c in table.items():
+            total[g[:-1]] += c
+            given[g[:-1]] += discount[min(c, 3) - 1]
+        levels[n] = table, discount, total, given
+
+    def probability(g):
+        if not g:
+            return 1 / 257
+        table, discount, total, given = levels[len(g)]
+        lower = probability(g[1:])
+        if not total[g[:-1]]:
+            return lower
+        c = table[g]
+        kept = c - discount[min(c, 3) - 1] if c else 0
+        return (kept + given[g[:-1]] * lower) / total[g[:-1]]
+
+    def log(t):
+        padded = bytes([255]) * (order - 1) + t
+        return sum(np.log(probability(padded[k:k + order])) for k in range(len(t)))
+
+    return log
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    rows = [(n, prose(n, 5 + n % 90).encode(), ("en", "de", None)[n % 3]) for n in range(90)]
+    rows += [(100, b"", "en"), (101, b"zzz qqq!!", "en"), (102, "Ünknown 字".encode(), "xx"), (7, b"again", "en"), (None, b"no id", "en")]
+    path = str(tmp_path_factory.mktemp("corpus") / "t.parquet")
+    spark.createDataFrame(rows, "doc long, text binary, lang string").repartition(4).write.parquet(path)
+    return rows, path
+
+
+def test_scores_equal_definition(spark, corpus):
+    rows, path = corpus
+    training = [i for i in range(90) if i % 4]
+    ids = spark.createDataFrame([(i,) for i in training], "doc long")
+    got = quality.scores(spark.read.parquet(path), ids).collect()
+    assert len(got) == len(rows)
+    models = {
+        lang: brute_model([t for i, t, l in rows if l == lang and i in training and t]) for lang in ("en", "de", None)
+    }
+    want = defaultdict(list)
+    for i, t, lang in rows:
+        want[i, lang, len(t)].append(models[lang](t) if lang in models else None)
+    for r in got:
+        expected = want[r.doc, r.lang, r.bytes]
+        assert len(expected) == 1
+        if expected[0] is None:
+            assert r.log_probability is None
+        else:
+            assert r.log_probability == pytest.approx(expected[0], rel=1e-5, abs=1e-4)
+
+
+def test_scores_where_trusted_ids_are_not_sent(spark, corpus, monkeypatch):
+    _, path = corpus
+    ids = spark.createDataFrame([(i,) for i in range(40)], "doc long")
+    want = {tuple(r[:3]): r[3] for r in quality.scores(spark.read.parquet(path), ids).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert {tuple(r[:3]): r[3] for r in quality.scores(spark.read.parquet(path), ids).collect()} == want
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    texts = [prose(n, 200).encode() for n in range(4)] + [b"", prose(9, 900).encode()]
+    whole = np.concatenate(list(quality.block_pieces(texts)))
+    monkeypatch.setattr(quality, "PIECE", 700)
+    assert (np.concatenate(list(quality.block_pieces(texts))) == whole).all()
+    codes, counts = quality.distinct_grams(texts, True)
+    want, numbers = np.unique(whole, return_counts=True)
+    assert (codes == want).all() and (counts == numbers).all()
+
+
+def test_probabilities_sum_to_one():
+    texts = [prose(n, 300).encode() for n in range(5)]
+    codes, counts = quality.distinct_grams(texts, True)
+    orders = list(quality.lower_orders(codes))
+    pairs, places = np.unique(orders[-1][1] & np.uint64(0xFFFF), return_counts=True)
+    tables = [quality.discounts(quality.counts_of_counts(c)) for _, _, c in orders[::-1]]
+    tables.append(quality.discounts(quality.counts_of_counts(counts)))
+    pair = quality.pair_probabilities(pairs, places)
+    for context in (codes[0] >> np.uint64(8), codes[99] >> np.uint64(8), np.uint64(0x7A7A7A7A)):
+        asked = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        total = np.exp(quality.log_probabilities(asked, codes, counts, tables, pair).astype(float)).sum()
+        assert total == pytest.approx(1 - 1 / 257, abs=0.01)  # the rest is the padding symbol's
+
+
+def test_judge_keeps_prose_and_rejects_noise(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    noise = ["".join(chr(33 + c) for c in rng.integers(0, 90, 600)) for _ in range(20)]
+    rows = [(n, prose(n, 40 + n % 200), "en", "x", 1, "d", "c", "r") for n in range(400)]
+    rows += [(1000 + n, t, "en", "x", 1, "d", "c", "r") for n, t in enumerate(noise)] + documents()
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    trusted = spark.createDataFrame([(n,) for n in range(0, 400, 2)] + [(None,)], "doc_id long")
+    got = quality.judge(spark.read.parquet(path), trusted).collect()
+    assert len(got) == len(rows)
+    assert all(r.kept for r in got if r.doc_id is not None and 20 <= r.doc_id < 400)
+    assert not any(r.kept for r in got if r.doc_id is not None and r.doc_id >= 1000)
+    assert all(r.kept for r in got if r.bytes == 0 or r.lang is None)
+    assert all(r.perplexity is None for r in got if r.lang != "en")
+    empty = str(tmp_path / "e.parquet")
+    spark.createDataFrame([], SCHEMA).write.parquet(empty)
+    assert quality.judge(spark.read.parquet(empty), trusted).count() == 0
+    nobody = spark.createDataFrame([], "doc_id long")
+    assert {(r.kept, r.perplexity) for r in quality.judge(spark.read.parquet(path), nobody).collect()} == {(True, None)}
+
+
+def test_codewords():
+    for count in (1, 2, 4, 7, 8, 30):
+        code = language.codewords(count)
+        assert code.shape[0] == count and len({tuple(row) for row in code}) == (count if count > 1 else 1)
+        if count > 1:
+            apart = min((a != b).sum() for n, a in enumerate(code) for b in code[:n])
+            assert apart >= (2 ** (count - 2) if count <= 7 else 8)
+            assert (np.abs(code.sum(axis=0)) < count).all()
+
+
+VOWELS = {"aa": "bad cab dab fad gab", "ee": "bed den fed get hen", "ii": "bid dig fig hit kin", "oo": "bod cod dog fog hop",
+          "uu": "bud cud dug fun gut", "yy": "by cry dry fly shy", "ae": "bäd cäb däb fäd gäb", "oe": "böd cöd dög fög höp"}
+
+
+@pytest.mark.parametrize("count", [2, 4, 8])
+def test_identify(spark, count):
+    import random
+
+    rng = random.Random(count)
+    rows = []
+    for n in range(400):
+        lang = list(VOWELS)[n % count]
+        rows.append((n, " ".join(rng.choice(VOWELS[lang].split()) for _ in range(rng.randint(3, 60))), lang, 1))
+    rows += [(1000, None, "aa", 1), (1001, "", None, 1), (1002, "12 + 34 = ?", "aa", 1), (1003, "BED DEN FED GET", None, 1),
+             (None, "bed den fed", "ee", 1), (1004, "bad cab dab " * 120_000, None, 1)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    held = [(i, lang) for i, _, lang, _ in rows if i is not None and i < 400 and zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(by_id[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in by_id if i is not None)
+    assert sum(by_id[i].lang_pred == lang for i, lang in held) >= 0.97 * len(held)
+    for i in (1000, 1001, 1002):
+        assert (by_id[i].lang_pred, by_id[i].score) == ("und", 0.0)
+    assert by_id[1003].lang_pred == by_id[None].lang_pred == "ee" and not by_id[None].held_out
+    assert by_id[1004].lang_pred == "aa"
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_identify_with_nothing_or_one_language_to_learn(spark):
+    schema = "doc_id long, text string, lang string"
+    assert {r.lang_pred for r in language.identify(spark.createDataFrame([(1, "abc", None)], schema)).collect()} == {"und"}
+    one = spark.createDataFrame([(n, "abc def", "en") for n in range(9)] + [(9, "!", "en")], schema)
+    assert Counter(r.lang_pred for r in language.identify(one).collect()) == {"en": 9, "und": 1}
+    assert language.identify(spark.createDataFrame([], schema)).count() == 0
