@@ -113,6 +113,8 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 def by_shard(keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places of its keys) for ascending keys; the places ascend as well."""
+    if not len(keys):
+        return
     order = np.argsort(shard, kind="stable")
     numbers, starts = np.unique(shard[order], return_index=True)
     for number, places in zip(numbers.tolist(), np.split(order, starts[1:]), strict=True):
