@@ -19,13 +19,13 @@ from contract.tables import (
     select_from,
 )
 from hearlog.operators import marts
-from hearlog.session import shared_folder
+from hearlog.session import delete_at_exit, shared_folder
 from hearlog.sources import landing, tables
 
 # One export record as JSON text. Some values are of the wrong kind on purpose.
 RECORDS = f"""
 SELECT event_id, {{CHUNK}} AS chunk,
-  concat('{{"ts":"', {{TS_TEXT}},
+  concat('{{', CASE WHEN event_id % 61 = 0 THEN '"ts":"written twice",' ELSE '' END, '"ts":"', {{TS_TEXT}},
     '","ms_played":', CASE WHEN event_id % 43 = 0 THEN '"bad"' ELSE CAST({MS} AS VARCHAR(20)) END,
     ',"conn_country":"', {COUNTRY},
     '","master_metadata_track_name":', CASE WHEN {MUSIC} THEN concat('"track_', {TRACK}, '"') ELSE 'null' END,
@@ -49,10 +49,12 @@ FROM events
 """.replace("{{", "{").replace("}}", "}")
 
 # An export file holds the records of 400 successive events; every fifth one wraps them,
-# some are broken, some carry a sample file's name.
+# some are broken, some carry a sample file's name. One folder has samples only. Some
+# records name their time twice.
 FILES = """
 SELECT chunk,
-  concat('/exports/Streaming_History_Audio_', CASE WHEN chunk % 3 = 0 THEN 'sample' ELSE '' END,
+  concat('/exports/', CASE WHEN chunk % 6 = 0 THEN 'samples' ELSE concat('listener_', CAST(chunk % 4 AS VARCHAR(10))) END,
+    '/Streaming_History_Audio_', CASE WHEN chunk % 3 = 0 THEN 'sample' ELSE '' END,
     CAST(chunk AS VARCHAR(20)), '.json') AS path,
   CASE WHEN chunk % 5 = 1 THEN concat('{"history":', items, ',"exported":1}')
        WHEN chunk % 7 = 3 THEN '{"history":5}'
@@ -78,7 +80,9 @@ def files(spark, sf):
 
 
 def scratch(spark) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
+    return folder
 
 
 def stored_files(spark, sf) -> str:
@@ -256,8 +260,9 @@ ORACLES = {
     # A text file ends with a line break, hence one byte more.
     "s1_discover": _on_files("SELECT chunk, strlen(text) + 1 AS length FROM files"),
     "s2_precedence": _on_files(
-        "SELECT path, strlen(text) AS length FROM files "
-        "WHERE chunk % 3 <> 0 OR NOT EXISTS (SELECT 1 FROM files g WHERE g.chunk % 3 <> 0)"
+        "SELECT path, strlen(text) AS length FROM files f WHERE chunk % 3 <> 0 OR NOT EXISTS ("
+        "SELECT 1 FROM files g WHERE g.chunk % 3 <> 0 "
+        "AND regexp_replace(g.path, '[^/]*$', '') = regexp_replace(f.path, '[^/]*$', ''))"
     ),
     "s3_records": _on_files("SELECT path, position, ts FROM good"),
     "s3_rejects": _on_files(f"SELECT path, strlen(text) AS size_bytes FROM files WHERE NOT {GOOD}"),

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from contract.tables import (
     half_even,
+    WITH_GAPS,
     history,
+    history_with_gaps,
     hours,
     minutes,
     on_history,
@@ -61,7 +63,7 @@ by_country AS (SELECT * FROM ranked WHERE rank <= 10)
 
 def session_ctes(end: str = "start_ms + ms_played", keys: str = "", source: str = "history") -> str:
     """Session numbers by a plain window over the whole order."""
-    over = f"PARTITION BY {keys} ORDER BY start_ms, play_id" if keys else "ORDER BY start_ms, play_id"
+    over = (f"PARTITION BY {keys} " if keys else "") + "ORDER BY start_ms NULLS FIRST, play_id"
     return f"""
 gaps AS (
   SELECT *, start_ms - lag({end}) OVER ({over}) AS gap FROM {source}
@@ -74,9 +76,10 @@ sessions AS (
 """
 
 
-def detail_cte(keys: str = "") -> str:
+def detail_cte(keys: str = "", gaps: bool = False) -> str:
     columns = f"{keys}, session_id" if keys else "session_id"
-    return session_ctes(keys=keys) + f""",
+    source = "history_with_gaps" if gaps else "history"
+    return (WITH_GAPS + "," if gaps else "") + session_ctes(keys=keys, source=source) + f""",
 detail AS (
   SELECT {columns}, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms_total,
     {minutes('sum(ms_played)')} AS minutes
@@ -114,7 +117,7 @@ def _long(kind: str, title: str, n: int) -> str:
 def _session_ids(params):
     def query(spark, sf):
         columns = [*params.listener_keys, "play_id", "start_ms", "ms_played"]
-        plays = sequence.play_sessions(history(spark, sf).select(*columns), params)
+        plays = sequence.play_sessions(history_with_gaps(spark, sf).select(*columns), params)
         return plays.select(*params.listener_keys, "play_id", "session_id")
 
     return query
@@ -124,13 +127,16 @@ def _music_context(*columns):
     return lambda spark, sf: sequence.skip_context(history(spark, sf), PER_LISTENER).select("play_id", *columns)
 
 
+TOTALS = ["plays", "ms_total", "skips", "complete_plays"]
+
+
 def mart_digest(spark, sf):
-    """Row and play totals of every mart of the runner, from the shared pre-aggregates."""
+    """Totals of every mart of the runner, from the shared pre-aggregates: rows, and where
+    it has them plays, played time, skips and complete plays."""
     parts = []
     for name, df in build_marts(history(spark, sf), PER_LISTENER).items():
-        plays = F.sum("plays") if "plays" in df.columns else F.lit(None)
-        parts.append(df.agg(F.count("*").alias("table_rows"), plays.cast("bigint").alias("plays"))
-                     .select(F.lit(name).alias("mart"), "table_rows", "plays"))
+        sums = [(F.sum(c) if c in df.columns else F.lit(None)).cast("bigint").alias(c) for c in TOTALS]
+        parts.append(df.agg(F.count("*").alias("table_rows"), *sums).select(F.lit(name).alias("mart"), "table_rows", *TOTALS))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -138,34 +144,39 @@ def mart_digest(spark, sf):
 
 
 def _digest_sql() -> str:
-    def part(name: str, body: str, plays: str = "CAST(sum(plays) AS BIGINT)") -> str:
-        return f"SELECT '{name}' AS mart, count(*) AS table_rows, {plays} AS plays FROM ({body})"
-
-    group = "SELECT {k}, count(*) AS plays FROM history {w} GROUP BY {k}"
+    def part(name: str, body: str, totals: str = "plays ms_total") -> str:
+        sums = ", ".join(
+            f"CAST({f'sum({c})' if c in totals.split() else 'NULL'} AS BIGINT) AS {c}" for c in TOTALS
+        )
+        return f"SELECT '{name}' AS mart, count(*) AS table_rows, {sums} FROM ({body})"
+
+    complete = "sum(CASE WHEN ms_played >= 30000 THEN 1 WHEN ms_played IS NOT NULL THEN 0 END) AS complete_plays"
+    skips = "sum(CAST(skipped AS BIGINT)) AS skips"
+    group = "SELECT {k}, count(*) AS plays, sum(ms_played) AS ms_total, " + f"{skips}, {complete}" + " FROM history {w} GROUP BY {k}"
     cube = "year, month, day, hour, weekday, content_type"
     titles = "content_type, conn_country, country_name, track_name, artist_name, album_name, show_name, audiobook_title"
     music = "WHERE content_type = 'music'"
-    null = "CAST(NULL AS BIGINT)"
+    longest = "SELECT {t}, count(*) AS plays, sum(ms_played) AS ms_total FROM history WHERE content_type = '{k}' GROUP BY 1 ORDER BY ms_total DESC, {t} LIMIT {n}"
     parts = [
         part("calendar_cube", group.format(k=cube, w="")),
-        part("catalogue_cube", group.format(k=titles, w="")),
+        part("catalogue_cube", group.format(k=titles, w=""), " ".join(TOTALS)),
         part("time_per_year", group.format(k="year", w="")),
         part("content_mix", group.format(k="content_type", w="")),
-        part("skip_rate", f"SELECT count(*) AS plays FROM history {music}"),
-        part("skip_rate_by_artist", group.format(k="artist_name", w=music) + " HAVING count(*) >= 5"),
-        part("complete_tracks", G04, null),
+        part("skip_rate", f"SELECT count(*) AS plays, {skips} FROM history {music}", "plays skips"),
+        part("skip_rate_by_artist", group.format(k="artist_name", w=music) + " HAVING count(*) >= 5", "plays skips"),
+        part("complete_tracks", G04, "ms_total complete_plays"),
         part("activity_by_hour", group.format(k="hour", w="")),
         part("activity_by_month", group.format(k="year, month", w="")),
         part("activity_by_weekday", group.format(k="weekday", w="")),
-        part("top_artists", G08),
-        part("plan_recommendation", "SELECT 1", null),
-        part("top_tracks_by_country", "SELECT * FROM by_country"),
-        part("day_part_mix", f"SELECT {_unordered_day_part('hour')} AS p, content_type, count(*) AS plays FROM history GROUP BY ALL"),
-        part("daily_average", "SELECT count(*) AS plays FROM history"),
-        part("top_shows", "SELECT show_name, count(*) AS plays, sum(ms_played) AS m FROM history WHERE content_type = 'podcast' GROUP BY 1 ORDER BY m DESC, show_name LIMIT 20"),
-        part("top_audiobooks", "SELECT audiobook_title, count(*) AS plays, sum(ms_played) AS m FROM history WHERE content_type = 'audiobook' GROUP BY 1 ORDER BY m DESC, audiobook_title LIMIT 10"),
+        part("top_artists", G08, "plays ms_total complete_plays"),
+        part("plan_recommendation", "SELECT 1", ""),
+        part("top_tracks_by_country", "SELECT * FROM by_country", "plays"),
+        part("day_part_mix", f"SELECT {_unordered_day_part('hour')} AS p, content_type, count(*) AS plays, sum(ms_played) AS ms_total FROM history GROUP BY ALL"),
+        part("daily_average", "SELECT count(*) AS plays FROM history", "plays"),
+        part("top_shows", longest.format(t="show_name", k="podcast", n=20)),
+        part("top_audiobooks", longest.format(t="audiobook_title", k="audiobook", n=10)),
         part("session_detail", "SELECT * FROM detail"),
-        part("session_stats", "SELECT 1", null),
+        part("session_stats", "SELECT 1", ""),
     ]
     return on_history("\nUNION ALL ".join(parts), G11 + "," + detail_cte("listener_id"))
 
@@ -180,11 +191,11 @@ QUERIES = {
     "g06_activity_by_month": _of(marts.activity_by_month),
     "g07_activity_by_weekday": _of(marts.activity_by_weekday),
     "g08_top_artists": _of(marts.top_artists),
-    "g09a_session_detail": _of(marts.session_detail),
-    "g09a_session_detail_per_listener": _of(marts.session_detail, PER_LISTENER),
-    "g09b_session_stats": lambda s, sf: marts.session_stats(marts.session_detail(history(s, sf))),
+    "g09a_session_detail": lambda s, sf: marts.session_detail(history_with_gaps(s, sf)),
+    "g09a_session_detail_per_listener": lambda s, sf: marts.session_detail(history_with_gaps(s, sf), PER_LISTENER),
+    "g09b_session_stats": lambda s, sf: marts.session_stats(marts.session_detail(history_with_gaps(s, sf))),
     "g09b_session_stats_per_listener":
-        lambda s, sf: marts.session_stats(marts.session_detail(history(s, sf), PER_LISTENER)),
+        lambda s, sf: marts.session_stats(marts.session_detail(history_with_gaps(s, sf), PER_LISTENER)),
     "g10_plan_recommendation": _of(marts.plan_recommendation),
     "g11_top_tracks_by_country": _of(marts.top_tracks_by_country),
     "g12_day_part_mix": _of(marts.day_part_mix),
@@ -240,10 +251,10 @@ ORACLES = {
         f"SELECT weekday, {ACTIVITY}, {WEEKDAY_CASE} AS weekday_name FROM history GROUP BY weekday"
     ),
     "g08_top_artists": on_history(G08),
-    "g09a_session_detail": on_history("SELECT * FROM detail", detail_cte()),
-    "g09a_session_detail_per_listener": on_history("SELECT * FROM detail", detail_cte("listener_id")),
-    "g09b_session_stats": on_history(STATS, detail_cte()),
-    "g09b_session_stats_per_listener": on_history(STATS, detail_cte("listener_id")),
+    "g09a_session_detail": on_history("SELECT * FROM detail", detail_cte(gaps=True)),
+    "g09a_session_detail_per_listener": on_history("SELECT * FROM detail", detail_cte("listener_id", gaps=True)),
+    "g09b_session_stats": on_history(STATS, detail_cte(gaps=True)),
+    "g09b_session_stats_per_listener": on_history(STATS, detail_cte("listener_id", gaps=True)),
     "g10_plan_recommendation": on_history("SELECT * FROM plan", G10),
     "g11_top_tracks_by_country": on_history("SELECT * FROM by_country", G11),
     "g12_day_part_mix": on_history(
@@ -256,9 +267,12 @@ ORACLES = {
     "g14_top_shows": _long("podcast", "show_name", 20),
     "g15_top_audiobooks": _long("audiobook", "audiobook_title", 10),
     "g16_all_marts": _digest_sql(),
-    "w1_session_ids": on_history("SELECT play_id, session_id FROM sessions", session_ctes()),
+    "w1_session_ids": on_history(
+        "SELECT play_id, session_id FROM sessions", WITH_GAPS + "," + session_ctes(source="history_with_gaps")
+    ),
     "w1_session_ids_per_listener": on_history(
-        "SELECT listener_id, play_id, session_id FROM sessions", session_ctes(keys="listener_id")
+        "SELECT listener_id, play_id, session_id FROM sessions",
+        WITH_GAPS + "," + session_ctes(keys="listener_id", source="history_with_gaps")
     ),
     "w2_rank_per_group": on_history("SELECT * FROM ranked WHERE rank <= 3", G11),
     "w3_start_gap_sessions": on_history("SELECT play_id, session_id FROM skip_context", MUSIC_CONTEXT),

@@ -132,10 +132,9 @@ def skip_verdict(spark, sf):
 
 
 def ruled_silhouette(spark, sf):
-    """Silhouette of the four groups by rule, with the distance the library would use."""
+    """Silhouette of the four groups by rule."""
     grouped = weekly.assembled_weeks(ruled_weeks(spark, sf))
-    exact = grouped.count() <= LIGHT.euclidean_silhouette_rows
-    score = weekly.silhouette(grouped.select("cluster", "features"), exact)
+    score = weekly.silhouette(grouped.select("cluster", "features"))
     return spark.range(1).select(F.round(F.lit(score), 6).alias("silhouette"))
 
 
@@ -320,10 +319,10 @@ TEST_ROWS = "SELECT label, plays FROM ({}) WHERE part = 1"
 Z = [f"CASE WHEN stddev_pop({f}) OVER () > 0 THEN ({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () ELSE 0 END"
      for f in weekly.FEATURES]
 SILHOUETTE = f"""
-, points AS (SELECT row_number() OVER () AS id, cluster, [{", ".join(Z)}] AS v, count(*) OVER () AS n FROM weeks),
+, points AS (SELECT row_number() OVER () AS id, cluster, [{", ".join(Z)}] AS v FROM weeks),
 reach AS (
   SELECT a.id, a.cluster AS own, b.cluster AS other, count(*) AS size,
-    sum(CASE WHEN a.n <= 2000 THEN list_distance(a.v, b.v) ELSE list_distance(a.v, b.v) ** 2 END) AS total
+    sum(list_distance(a.v, b.v) ** 2) AS total
   FROM points a, points b GROUP BY ALL
 ),
 sides AS (

@@ -4,24 +4,32 @@ The tables hold no play history, so each event is mapped to one play by rule. Th
 text runs in both engines; only the placeholders differ.
 """
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearlog.functions import labels
 from hearlog.functions.calendar import calendar_fields
-from hearlog.session import prepare_session
+from hearlog.session import delete_at_exit, prepare_session
 
 ZONE = "America/Mexico_City"
 
+# Events cover one month; by blocks of 1,000 they are moved back over six years, so that
+# summer time before its end in 2022, the turn of a year and ten months are reached.
+DAYS_BACK = "CAST((event_id % 10000 - event_id % 1000) / 1000 AS BIGINT) * 222"
 SPARK = {
+    "MOVED": f"timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) - {DAYS_BACK} * 86400000000)",
     "EPOCH_MS": "unix_millis(CAST(ts AS TIMESTAMP))",
     "TS_TEXT": "date_format(CAST(ts AS TIMESTAMP), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
 }
 DUCKDB = {
+    "MOVED": f"make_timestamp(epoch_us(ts) - {DAYS_BACK} * 86400000000)",
     "EPOCH_MS": "epoch_us(ts) // 1000",
     "TS_TEXT": "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')",
 }
 
+EVENTS = "(SELECT event_id, user_id, event_type, value, {MOVED} AS ts FROM events)"
 MS = "CAST(round(value * 100) AS BIGINT) * 10"
 MUSIC = "event_type NOT IN ('signup', 'error')"
 TRACK = "CAST((event_id * 7919) % 211 AS VARCHAR(10))"
@@ -51,7 +59,7 @@ SELECT
   {REASON_START} AS reason_start,
   event_id % 5 < 2 AS shuffle,
   CASE WHEN event_id % 41 = 0 THEN NULL ELSE event_type = 'click' OR {MS} < 5000 END AS skipped
-FROM events
+FROM {EVENTS}
 """
 
 # Raw records as an export holds them, under the play table's column names.
@@ -84,15 +92,23 @@ SELECT
   event_id % 4 = 0 AS offline,
   CAST(NULL AS VARCHAR(10)) AS offline_timestamp,
   event_id % 7 = 0 AS incognito_mode
-FROM events
+FROM {EVENTS}
 """
 
-LOCAL_FIELDS = """
-  CAST(year({t} - INTERVAL 6 HOUR) AS INTEGER) AS year,
-  CAST(month({t} - INTERVAL 6 HOUR) AS INTEGER) AS month,
-  CAST(day({t} - INTERVAL 6 HOUR) AS INTEGER) AS day,
-  CAST(hour({t} - INTERVAL 6 HOUR) AS INTEGER) AS hour,
-  CAST(dayofweek({t} - INTERVAL 6 HOUR) + 1 AS INTEGER) AS weekday
+# Summer time in Mexico City, in UTC: from the first Sunday of April to the last of October,
+# for the last time in 2022.
+SUMMERS = [("2018-04-01", "2018-10-28"), ("2019-04-07", "2019-10-27"), ("2020-04-05", "2020-10-25"),
+           ("2021-04-04", "2021-10-31"), ("2022-04-03", "2022-10-30")]
+IN_SUMMER = " OR ".join(
+    f"({{t}} >= TIMESTAMP '{first} 08:00:00' AND {{t}} < TIMESTAMP '{last} 07:00:00')" for first, last in SUMMERS
+)
+LOCAL = f"({{t}} - to_hours(CASE WHEN {IN_SUMMER} THEN 5 ELSE 6 END))"
+LOCAL_FIELDS = f"""
+  CAST(year({LOCAL}) AS INTEGER) AS year,
+  CAST(month({LOCAL}) AS INTEGER) AS month,
+  CAST(day({LOCAL}) AS INTEGER) AS day,
+  CAST(hour({LOCAL}) AS INTEGER) AS hour,
+  CAST(dayofweek({LOCAL}) + 1 AS INTEGER) AS weekday
 """
 
 
@@ -106,7 +122,19 @@ def country_case(column: str) -> str:
     return f"CASE {column}\n{_sql_names(COUNTRY_NAMES)}\n    ELSE '{UNKNOWN_COUNTRY}' END"
 
 
+def with_shared_folder(spark: SparkSession) -> None:
+    """A local session that names no shared folder gets one, for as long as it lives."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="hearlog-checkpoint-")
+        context.setCheckpointDir(folder)
+        delete_at_exit(spark, folder)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
     return prepare_session(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
@@ -129,6 +157,14 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plays.withColumns(fields | {"country_name": labels.country_name(F.col("conn_country"))})
 
 
+def history_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The play table where some plays have no time, and some no length."""
+    return history(spark, sf_dir).withColumns({
+        "start_ms": F.when(F.col("play_id") % 83 != 0, F.col("start_ms")),
+        "ms_played": F.when(F.col("play_id") % 71 != 0, F.col("ms_played")),
+    })
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as(spark, sf_dir, RAW)
 
@@ -165,6 +201,14 @@ raw_with_copies AS (
 """
 
 
+WITH_GAPS = """
+history_with_gaps AS (
+  SELECT * REPLACE (CASE WHEN play_id % 83 <> 0 THEN start_ms END AS start_ms, CASE WHEN play_id % 71 <> 0 THEN ms_played END AS ms_played)
+  FROM history
+)
+"""
+
+
 def on_history(body: str, more: str = "") -> str:
     """An oracle over the play table; ``more`` holds further common table expressions."""
     return f"WITH {HISTORY_CTE}{',' + more if more else ''}\n{body}"

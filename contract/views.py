@@ -94,7 +94,7 @@ QUERIES = {
     "v11_years_with_profiles": by_year_labelled,
     "v11_months_with_profiles": by_month_labelled,
     "v12_reference_skip_rate": lambda s, sf: views.reference_skip_rate(
-        fatigue.skip_by_hour(context(s, sf))).select(F.round("reference_rate", 9).alias("reference_rate")),
+        fatigue.skip_by_position(context(s, sf))).select(F.round("reference_rate", 9).alias("reference_rate")),
     "v13_skip_deltas": lambda s, sf: views.skip_deltas(fatigue.skip_rates(context(s, sf))).select(
         F.round("shuffle_delta", 6).alias("shuffle_delta"), F.round("recommender_delta", 6).alias("recommender_delta")),
     "v14_labelled_confusion": lambda s, sf: views.labelled_confusion(confusion_cells(s, sf)),
@@ -175,7 +175,8 @@ ORACLES = {
         "FROM named LEFT JOIN months USING (listener_id, year, week) GROUP BY ALL"
     ),
     "v12_reference_skip_rate": on_history(
-        f"SELECT round(avg(r), 9) AS reference_rate FROM (SELECT {mean('skip')} AS r FROM skip_context GROUP BY hour)", MUSIC_CONTEXT
+        f"SELECT round(avg(r), 9) AS reference_rate FROM (SELECT {mean('skip')} AS r FROM skip_context GROUP BY position "
+        "HAVING count(*) >= 10 ORDER BY position LIMIT 30)", MUSIC_CONTEXT
     ),
     "v13_skip_deltas": on_history(
         "SELECT round(s0 - s1, 6) AS shuffle_delta, round(a0 - a1, 6) AS recommender_delta FROM skip_rates", MUSIC_CONTEXT + "," + RATES

@@ -78,11 +78,11 @@ def skip_rates(context: DataFrame) -> DataFrame:
 
 
 def training_rows(context: DataFrame, params: Params = Params()) -> DataFrame:
-    rows = assemble(
+    rows = durable(assemble(
         context.withColumn("label", F.col("skip")).withColumn("identity", F.col("play_id")),
         FEATURES,
         ["label", "identity"],
-    )
+    ))
     rows = stratified_parts(
         rows, "label", "identity", [1 - params.test_share, params.test_share], params.seed, "part"
     )

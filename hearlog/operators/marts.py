@@ -154,13 +154,13 @@ def top_artists(plays: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def session_totals(sessions: DataFrame, params: Params = Params()) -> DataFrame:
-    """Plays and length of each session, longest first, from numbered plays."""
+    """Plays and length of each session, from numbered plays; in no order, as there may be
+    any number of sessions."""
     keys = [*params.listener_keys, "session_id"]
     return (
         sessions.groupBy(*keys)
         .agg(F.count("*").alias("plays"), F.sum("ms_played").alias("ms_total"))
         .withColumn("minutes", minutes(F.col("ms_total")))
-        .orderBy(F.desc("ms_total"), *keys)
     )
 
 

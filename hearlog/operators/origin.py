@@ -117,12 +117,16 @@ def shares(plays: DataFrame) -> DataFrame:
 
 
 def training_rows(plays: DataFrame, params: Params = Params()) -> DataFrame:
-    """Feature vectors with label, class weight, train/test part and fold."""
-    rows = assemble(
+    """Feature vectors with label, class weight, train/test part and fold.
+
+    The vectors are written down before they are counted and split, so the plays are
+    scanned once.
+    """
+    rows = durable(assemble(
         plays.withColumn("label", F.col("origin")).withColumn("identity", F.col("play_id")),
         FEATURES,
         ["label", "identity"],
-    )
+    ))
     rows = balanced_weights(rows, "label")
     rows = stratified_parts(
         rows, "label", "identity", [1 - params.test_share, params.test_share], params.seed, "part"

@@ -19,9 +19,8 @@ from hearlog.session import durable
 
 
 def _breaks(start: Column, previous_end: Column, gap_ms: int) -> Column:
-    """1 when a play opens a session. Plays without a start sort first, as one session."""
-    opens = start.isNotNull() & (previous_end.isNull() | (start - previous_end > gap_ms))
-    return opens.cast("bigint")
+    """1 when a play opens a session: after a long gap, and wherever the gap is unknown."""
+    return F.coalesce(start - previous_end > gap_ms, F.lit(True)).cast("bigint")
 
 
 def session_scan(
@@ -33,13 +32,18 @@ def session_scan(
     listener_keys: tuple[str, ...] = (),
     running: dict[str, Column] | None = None,
     blocks: int | None = None,
+    block_rows: int = 2_000_000,
 ) -> DataFrame:
     """Add ``session_id``, from 1 per listener in time order, to every play.
 
-    A session opens at the first play and wherever the gap between a start and the end
-    of the play just before exceeds ``gap_ms``. ``running`` asks for more: ``position``
+    A session opens at the first play, and wherever the gap between a start and the end of
+    the play just before exceeds ``gap_ms`` or is null. Plays without a start come first,
+    each as a session of its own. ``running`` asks for more: ``position``
     (from 0 in the session) and, per entry, the sum of an expression over the earlier
     plays of the session.
+
+    The plays are cut into ``blocks``; without that, into as many as keep a block at about
+    ``block_rows``, and no fewer than the session has shuffle partitions.
     """
     running = running or {}
     keys = list(listener_keys)
@@ -48,10 +52,12 @@ def session_scan(
     order = [F.col("_start").asc_nulls_first(), F.col(tie_break).asc_nulls_first()]
 
     sort_key = [F.col(k).asc_nulls_first() for k in keys] + order
-    width = [blocks] if blocks else []
+    if not blocks:
+        partitions = int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = max(partitions, -(-plays.count() // block_rows))
     rows = (
         plays.withColumns({"_start": start, "_end": end} | values)
-        .repartitionByRange(*width, *sort_key)
+        .repartitionByRange(blocks, *sort_key)
         .withColumn("_block", F.spark_partition_id())
     )
 
@@ -144,6 +150,7 @@ def play_sessions(plays: DataFrame, params: Params = Params(), blocks: int | Non
         gap_ms=params.session_gap_ms,
         listener_keys=params.listener_keys,
         blocks=blocks,
+        block_rows=params.session_block_rows,
     )
 
 
@@ -181,6 +188,7 @@ def skip_context(fact: DataFrame, params: Params = Params(), blocks: int | None
             "skips_before": F.col("skip").cast("bigint"),
         },
         blocks=blocks,
+        block_rows=params.session_block_rows,
     )
     return scanned.withColumns({
         "minutes_before": F.col("ms_before") / 60_000,

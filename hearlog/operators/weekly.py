@@ -3,7 +3,6 @@
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,48 +92,8 @@ def _best_fits(
     }
 
 
-def euclidean_silhouette(clustered: DataFrame) -> DataFrame:
-    """One row: mean silhouette with plain Euclidean distance.
-
-    Every vector meets every other one, so this is for a checked, small number of them.
-    The vectors travel as one broadcast row, each vector then scans them in its own task.
-    """
-    points = clustered.select(
-        F.monotonically_increasing_id().alias("_id"),
-        F.col("cluster"),
-        vector_to_array("features").alias("_own"),
-    )
-    groups = points.groupBy("cluster").agg(F.collect_list("_own").alias("members"))
-    everyone = groups.agg(F.collect_list(F.struct("cluster", "members")).alias("_groups"))
-
-    def distance(a, b):
-        squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s))
-
-    sums = F.transform(
-        "_groups",
-        lambda g: F.struct(
-            g["cluster"].alias("cluster"),
-            F.size(g["members"]).alias("n"),
-            F.aggregate(
-                g["members"], F.lit(0.0), lambda total, m: total + distance(m, F.col("_own"))
-            ).alias("total"),
-        ),
-    )
-    own = F.element_at(F.filter("_sums", lambda s: s["cluster"] == F.col("cluster")), 1)
-    others = F.filter("_sums", lambda s: s["cluster"] != F.col("cluster"))
-    nearest = F.array_min(F.transform(others, lambda s: s["total"] / s["n"]))
-    scored = points.crossJoin(F.broadcast(everyone)).select("cluster", "_own", sums.alias("_sums"))
-    scored = scored.select(
-        own["n"].alias("n"), F.try_divide(own["total"], own["n"] - 1).alias("a"), nearest.alias("b")
-    )
-    width = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
-    return scored.agg(F.avg(F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(width, F.lit(0.0)))).alias("silhouette"))
-
-
-def silhouette(clustered: DataFrame, exact: bool) -> float:
-    if exact:
-        return euclidean_silhouette(clustered).first()["silhouette"]
+def silhouette(clustered: DataFrame) -> float:
+    """Mean silhouette with squared Euclidean distance, at linear cost for any number of weeks."""
     return ClusteringEvaluator(predictionCol="cluster").evaluate(clustered)
 
 
@@ -151,19 +110,14 @@ def cluster_weeks(
     if size < params.min_weeks or not ks:
         return None
     vectors = sized(assembled_weeks(weeks), size).persist()
-    exact = size <= params.euclidean_silhouette_rows
     models = _best_fits(vectors, list(ks), params.search_starts, params)
-    scores = [
-        (k, float(silhouette(model.transform(vectors), exact))) for k, model in models.items()
-    ]
+    scores = [(k, float(silhouette(model.transform(vectors)))) for k, model in models.items()]
     best_k = max(scores, key=lambda s: (s[1], -s[0]))[0]
     model = _best_fits(vectors, [best_k], params.final_starts, params)[best_k]
     # Every table below reads the same assignment, so it is written down once.
     clustered = durable(model.transform(vectors).drop("features"))
     vectors.unpersist()
-    distance = "euclidean" if exact else "squared euclidean"
-    table = weeks.sparkSession.createDataFrame(scores, "k int, silhouette double")
-    return clustered, table.withColumn("distance", F.lit(distance))
+    return clustered, weeks.sparkSession.createDataFrame(scores, "k int, silhouette double")
 
 
 def cluster_profiles(clustered: DataFrame) -> DataFrame:

@@ -35,9 +35,8 @@ class Params:
     max_clusters: int = 6
     search_starts: int = 15
     final_starts: int = 20
-    # Ours: up to this many vectors the silhouette uses plain Euclidean distance
-    # (every vector meets every other one); above it, the linear-cost squared form.
-    euclidean_silhouette_rows: int = 2_000
+    # Ours: plays in one block of the session scan, about.
+    session_block_rows: int = 2_000_000
     # Ours: independent model fits that run at the same time.
     parallel_fits: int = 4
     # Ours: columns that separate one listener from another; () means one listener.

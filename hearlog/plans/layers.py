@@ -31,19 +31,24 @@ def _store(name: str, df: DataFrame, root: str, published: bool, partitions: tup
 def land(spark: SparkSession, source: str, root: str) -> dict[str, DataFrame]:
     """Land export files as they are, with manifest, field profile, rejects and summary.
 
-    The files are read and parsed once: the landed copy holds their bytes and, beside
-    them, their records, and all else reads that.
+    The source is read once. The landed copy holds the bytes and the number of records of
+    each file; the records are a table of their own, which all else reads.
     """
-    tables.write_table(landing.with_payload(landing.landing(spark, source)), f"{root}/files")
+    prepare_session(spark)
+    tables.write_table(landing.with_count(landing.landing(spark, source)), f"{root}/files")
     files = tables.read_table(spark, f"{root}/files")
+    tables.write_table(landing.records(files), f"{root}/records")
+    records = tables.read_table(spark, f"{root}/records")
     tables.write_table(landing.manifest(files, f"{root}/files"), f"{root}/manifest")
-    tables.write_table(landing.field_profile(landing.records(files)), f"{root}/field_profile")
+    tables.write_table(landing.field_profile(records), f"{root}/field_profile")
     tables.write_table(landing.rejects(files), f"{root}/rejects")
     manifest = tables.read_table(spark, f"{root}/manifest")
     profile = tables.read_table(spark, f"{root}/field_profile")
     summary = landing.landing_summary(manifest, profile)
     tables.write_document(summary, f"{root}/summary")
-    return {"files": files, "manifest": manifest, "field_profile": profile, "summary": summary}
+    return {
+        "files": files, "records": records, "manifest": manifest, "field_profile": profile, "summary": summary,
+    }
 
 
 def build_plays(
@@ -52,13 +57,18 @@ def build_plays(
     params: Params = Params(),
     listener_pattern: str | None = None,
     published: bool = False,
+    records: DataFrame | None = None,
 ) -> DataFrame:
     """Refine landed files into the play table and its dimensions; returns the table.
 
-    Dimensions read the stored table, so the JSON is parsed once.
+    ``records`` is the table of records that ``land`` wrote. Without it, as for files that
+    were landed one by one, the records of those files count that ``prefer_numbered``
+    leaves. Dimensions read the stored table, so the JSON is parsed once.
     """
     spark = prepare_session(files.sparkSession)
-    raw = landing.history_from_records(landing.records(files))
+    if records is None:
+        records = landing.records(landing.prefer_numbered(files))
+    raw = landing.history_from_records(records)
     if listener_pattern:
         raw = raw.withColumn("listener_id", F.regexp_extract("path", listener_pattern, 1))
     tables.write_table(refine.refine(raw, params), f"{root}/{FACT}", FACT_PARTITIONS)
@@ -72,11 +82,11 @@ def build_plays(
 
 
 def build_marts(fact: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
-    """All marts. Those that only count and sum read two pre-aggregates of the plays,
-    which are computed here once and kept in the shared folder."""
+    """All marts. Those that only count and sum read two pre-aggregates of the plays; these
+    and the sessions are computed here once and kept in the shared folder."""
     calendar = durable(marts.calendar_cube(fact))
     catalogue = durable(marts.catalogue_cube(fact, params))
-    detail = marts.session_detail(fact, params)
+    detail = durable(marts.session_detail(fact, params))
     return {
         "calendar_cube": calendar,
         "catalogue_cube": catalogue,
@@ -179,8 +189,10 @@ def run_all(
 ) -> None:
     """Landing, plays, marts and models, each under its own folder of ``root``."""
     prepare_session(spark)
-    files = land(spark, source, f"{root}/landing")["files"]
-    fact = build_plays(files, f"{root}/plays", params, listener_pattern, published)
+    landed = land(spark, source, f"{root}/landing")
+    fact = build_plays(
+        landed["files"], f"{root}/plays", params, listener_pattern, published, landed["records"]
+    )
     write_marts(fact, f"{root}/marts", params, published=published)
     if models:
         write_models(fact, f"{root}/models", params, published)

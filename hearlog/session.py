@@ -1,6 +1,5 @@
 """What the library needs from the caller's Spark session."""
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -16,10 +15,12 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
     Timestamps are parsed and converted as UTC; the listener zone is a parameter. And
     generated methods above 8000 bytes of bytecode, which the JVM would only interpret,
-    are left to Spark's split projections: wide refinements run twice as fast.
+    are left to Spark's split projections: wide refinements run twice as fast. Of a key that
+    an exported record has twice, the last value counts.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 
@@ -30,17 +31,12 @@ def require_utc(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session that names none gets a temporary one.
-    """
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="hearlog-checkpoint-")
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -59,14 +55,19 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/hearlog-{uuid.uuid4().hex}"
     paths = _collecting.get()
     if paths is None:
-        folder, files = _on_storage(spark, path)
-        files.deleteOnExit(folder)
+        delete_at_exit(spark, path)
     else:
         paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM remove ``path`` when it ends."""
+    folder, files = _on_storage(spark, path)
+    files.deleteOnExit(folder)
+
+
 def _on_storage(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -1,7 +1,7 @@
 """Raw export files: landing table, records, manifest, field profile, summary.
 
-One export file is one row until its records are exploded, so the work is spread over
-files; the export tool itself bounds the size of a file.
+An export file is one row with its bytes; its records are a table of their own, so that
+all work behind the landing splits by record. The export tool bounds the size of a file.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,25 +24,23 @@ def landing(spark: SparkSession, path: str | list[str], glob: str = FILE_GLOB) -
 
 
 def prefer_numbered(files: DataFrame) -> DataFrame:
-    """Real exports are numbered: when any is, unnumbered (sample) files are left out."""
+    """Real exports are numbered: in a folder that has any, unnumbered (sample) files are
+    left out. Folders, and so listeners, do not affect each other.
+
+    Only paths are read to find the files that go; their contents are not shuffled unless
+    those files are too many to send around.
+    """
+    paths = files.select("path", F.regexp_replace("path", "[^/]*$", "").alias("_folder"))
     numbered = F.col("path").rlike(NUMBERED_FILE)
-    any_numbered = files.agg(F.coalesce(F.bool_or(numbered), F.lit(False)).alias("_any_numbered"))
-    return (
-        files.crossJoin(F.broadcast(any_numbered))
-        .filter(numbered | ~F.col("_any_numbered"))
-        .drop("_any_numbered")
-    )
+    real = paths.filter(numbered).select("_folder").distinct()
+    left_out = paths.filter(~numbered).join(real, "_folder", "left_semi").select("path")
+    return files.join(left_out, "path", "left_anti").select(files.columns)
 
 
 def with_payload(files: DataFrame) -> DataFrame:
     """Add ``payload``, the array of records in a file: the file itself, or the first
     value of its object. Null when that is not an array.
-
-    Everything below parses the content unless this column is there already; store it
-    to parse every file once.
     """
-    if "payload" in files.columns:
-        return files
     text = F.col("content").cast("string")
     wrapped = F.get(F.map_values(F.from_json(text, "map<string,variant>")), F.lit(0))
     parsed = F.coalesce(
@@ -52,6 +50,14 @@ def with_payload(files: DataFrame) -> DataFrame:
     return files.withColumn("payload", parsed)
 
 
+def with_count(files: DataFrame) -> DataFrame:
+    """Add ``record_count``, null for a file without an array of records."""
+    if "record_count" in files.columns:
+        return files
+    counted = F.array_size("payload").cast("bigint")
+    return with_payload(files).withColumn("record_count", counted).drop("payload")
+
+
 def records(files: DataFrame, on_bad_file: str = "skip") -> DataFrame:
     """One row per record. Bad files are skipped (see ``rejects``) or fail the query."""
     items = F.col("payload")
@@ -66,20 +72,20 @@ def records(files: DataFrame, on_bad_file: str = "skip") -> DataFrame:
 def rejects(files: DataFrame) -> DataFrame:
     """Files that hold no array of records."""
     return (
-        with_payload(files)
-        .filter(F.col("payload").isNull())
+        with_count(files)
+        .filter(F.col("record_count").isNull())
         .select("path", F.col("length").alias("size_bytes"))
     )
 
 
 def manifest(files: DataFrame, landed_as: str | None = None) -> DataFrame:
     """Name, place, digest, size and record count of every landed file."""
-    return with_payload(files).select(
+    return with_count(files).select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("path").alias("source_path"),
         (F.lit(landed_as) if landed_as else F.col("path")).alias("landing_path"),
         F.sha2("content", 256).alias("sha256"),
-        F.array_size("payload").cast("bigint").alias("record_count"),
+        "record_count",
         F.current_timestamp().alias("ingested_at"),
         F.col("length").alias("size_bytes"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from hearlog.sources.export_format import FILE_GLOB
-from hearlog.sources.landing import with_payload
+from hearlog.sources.landing import with_count
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -20,7 +20,7 @@ def land_new_files(
     """Append the new files under ``source`` to ``root/files`` and stop.
 
     Progress is kept under ``root/_progress``. All files are landed; which of them count
-    (see ``prefer_numbered``) is decided over the whole table when it is read.
+    (see ``prefer_numbered``) is decided over the whole table, by ``build_plays``.
     """
     arriving = (
         spark.readStream.format("binaryFile")
@@ -31,7 +31,7 @@ def land_new_files(
         .load(source)
     )
     query = (
-        with_payload(arriving)
+        with_count(arriving)
         .writeStream.format("parquet")
         .option("path", f"{root}/files")
         .option("checkpointLocation", f"{root}/_progress")

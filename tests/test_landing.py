@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearlog.plans import layers
+from hearlog.session import prepare_session
 from hearlog.sources import landing, tables
 from hearlog.sources.export_format import FIELDS
 
@@ -36,6 +37,21 @@ def test_discovery_and_precedence(spark, exports):
     assert names(landing.landing(spark, path)) == {"0.json", "2020.json"}
 
 
+def test_precedence_is_decided_per_folder(spark, tmp_path):
+    for listener, name in (("anna", "0"), ("anna", "2020-2021"), ("ben", "2020-2021")):
+        (tmp_path / listener).mkdir(exist_ok=True)
+        (tmp_path / listener / f"Streaming_History_Audio_{name}.json").write_text(json.dumps([record()]))
+    plays = landing.read_history(spark, str(tmp_path), listener_pattern=r"/([a-z]+)/[^/]*$")
+    assert sorted(r["listener_id"] for r in plays.collect()) == ["anna", "ben"]
+
+
+def test_a_key_that_a_record_has_twice_keeps_its_last_value(spark, exports):
+    path = exports(**{"1": '[{"ts":"x","ts":"y"},{"ts":"z"}]'})
+    files = landing.landing(prepare_session(spark), path)
+    assert sorted(r["ts"] for r in landing.history_from_records(landing.records(files)).collect()) == ["y", "z"]
+    assert landing.rejects(files).count() == 0
+
+
 def test_unnumbered_files_alone_are_used(spark, exports):
     assert names(landing.landing(spark, exports(a=[], b=[]))) == {"a.json", "b.json"}
 

@@ -97,24 +97,27 @@ def test_profile_names_follow_the_rules(spark):
         "Semana Pasiva (Algoritmo)"]
 
 
-def test_euclidean_silhouette(spark):
+def test_silhouette_has_one_measure_at_all_sizes(spark):
     rng = random.Random(1)
     points = [(i % 3, [rng.gauss(i % 3, 0.7), rng.gauss(0, 1)]) for i in range(60)] + [(3, [9.0, 9.0])]
-    df = spark.createDataFrame([(c, Vectors.dense(v)) for c, v in points], ["cluster", "features"])
+
+    def score(points):
+        df = spark.createDataFrame([(c, Vectors.dense(v)) for c, v in points], ["cluster", "features"])
+        return weekly.silhouette(df)
 
     def one(c, v):
         means = {}
         for other in range(4):
             same = [w for d, w in points if d == other and w is not v]
-            means[other] = sum(math.dist(v, w) for w in same) / len(same) if same else None
+            means[other] = sum(math.dist(v, w) ** 2 for w in same) / len(same) if same else None
         if means[c] is None:
             return 0.0
         near = min(m for k, m in means.items() if k != c)
         return (near - means[c]) / max(near, means[c])
 
-    expected = sum(one(c, v) for c, v in points) / len(points)
-    assert weekly.silhouette(df, exact=True) == pytest.approx(expected, abs=1e-9)
-    assert -1 <= weekly.silhouette(df, exact=False) <= 1
+    assert score(points) == pytest.approx(sum(one(c, v) for c, v in points) / len(points), abs=1e-9)
+    # Every point fifty times: own distances grow by (n - 1) / n only, past any fixed size.
+    assert score(points * 50) == pytest.approx(score(points * 25), abs=0.01)
 
 
 def test_scaling_of_constant_feature(spark):

@@ -23,7 +23,7 @@ def brute_force(rows, gap, keyed, from_start=False):
             first = previous is None
             end = None if first else previous[2] if from_start else (
                 None if previous[2] is None or previous[3] is None else previous[2] + previous[3])
-            if first or (start is not None and (end is None or start - end > gap)):
+            if start is None or end is None or start - end > gap:
                 session, seen = session + 1, (0, 0, 0)
             result[play_id] = (session, *seen)
             seen = (seen[0] + 1, seen[1] + (ms or 0), seen[2] + skip)

@@ -1,5 +1,6 @@
 import json
 
+from hearlog.plans.layers import build_plays
 from hearlog.sources import landing, tables
 from hearlog.streaming.landing import land_new_files
 
@@ -22,3 +23,5 @@ def test_only_new_files_are_landed(spark, tmp_path):
     assert files.count() == 3
     plays = landing.history_from_records(landing.records(landing.prefer_numbered(files)))
     assert plays.count() == 7
+    # The sample's five plays do not count; copies (equal times and lengths) are one play.
+    assert build_plays(files, f"{root}/plays").count() == 4
