@@ -14,7 +14,7 @@ from contract.tables import (
 )
 from hearlog.operators import marts, sequence
 from hearlog.params import Params
-from hearlog.plans.layers import build_marts
+from hearlog.plans.layers import build_marts, marts_from_cubes
 from hearlog.vocabulary import DAY_PARTS, NIGHT, WEEKDAY_NAMES
 
 P = Params()
@@ -131,7 +131,7 @@ TOTALS = ["plays", "ms_total", "skips", "complete_plays"]
 
 
 def mart_digest(spark, sf):
-    """Totals of every mart of the runner, from the shared pre-aggregates: rows, and where
+    """Totals of every mart of the runner, one per listener, from the shared pre-aggregates: rows, and where
     it has them plays, played time, skips and complete plays."""
     parts = []
     for name, df in build_marts(history(spark, sf), PER_LISTENER).items():
@@ -143,42 +143,91 @@ def mart_digest(spark, sf):
     return result
 
 
+def _first(body: str, n: int, order: str) -> str:
+    """The first n rows of each listener."""
+    return f"SELECT * FROM ({body}) QUALIFY row_number() OVER (PARTITION BY listener_id ORDER BY {order}) <= {n}"
+
+
+def _own(key: str, where: str = "") -> str:
+    return f"SELECT listener_id, {key}, {ACTIVITY} FROM history {where} GROUP BY ALL"
+
+
+MUSIC = "WHERE content_type = 'music'"
+OF_LISTENER = {
+    "time_per_year": _own("year"),
+    "content_mix": f"SELECT *, {percent('plays', 'sum(plays) OVER (PARTITION BY listener_id)')} AS plays_pct FROM ({_own('content_type')})",
+    "skip_rate": f"SELECT listener_id, {SKIPS}, {SKIP_PCT} FROM history {MUSIC} GROUP BY listener_id",
+    "skip_rate_by_artist": f"SELECT listener_id, artist_name, {SKIPS}, {SKIP_PCT} FROM history {MUSIC} GROUP BY ALL HAVING count(*) >= 5",
+    "complete_tracks": _first(
+        "SELECT listener_id, track_name, artist_name, album_name, count(*) AS complete_plays, CAST(sum(ms_played) AS BIGINT) AS ms_total, "
+        f"{minutes('sum(ms_played)')} AS minutes FROM history {MUSIC} AND ms_played >= 30000 AND skipped = false GROUP BY ALL",
+        50, "complete_plays DESC, ms_total DESC, track_name NULLS FIRST, artist_name NULLS FIRST, album_name NULLS FIRST"),
+    "activity_by_hour": _own("hour"),
+    "activity_by_month": _own("year, month"),
+    "activity_by_weekday": f"SELECT *, {WEEKDAY_CASE} AS weekday_name FROM ({_own('weekday')})",
+    "top_artists": _first(
+        "SELECT listener_id, artist_name, count(*) AS plays, CAST(sum(CAST(ms_played >= 30000 AS BIGINT)) AS BIGINT) AS complete_plays, "
+        f"CAST(sum(ms_played) AS BIGINT) AS ms_total, {hours('sum(ms_played)')} AS hours FROM history {MUSIC} GROUP BY listener_id, artist_name",
+        30, "plays DESC, ms_total DESC, artist_name NULLS FIRST"),
+    "plan_recommendation": f"""
+      SELECT listener_id, {half_even('CAST(sum(CAST(round(h * 100) AS BIGINT)) AS BIGINT) / count(h)', 0)} / 100 AS mean_hours_per_month,
+        count(*) AS active_months, CAST(99 AS DOUBLE) AS monthly_price, CAST(990 AS DOUBLE) AS annual_price,
+        CAST(1188 AS DOUBLE) AS monthly_price_x12, CAST(198 AS DOUBLE) AS annual_saving,
+        CASE WHEN count(*) >= 10 THEN 'anual' ELSE 'mensual' END AS recommended_plan
+      FROM (SELECT listener_id, year, month, {hours('sum(ms_played)')} AS h FROM history GROUP BY ALL) GROUP BY listener_id""",
+    "top_tracks_by_country": f"""
+      SELECT * FROM (SELECT listener_id, conn_country, country_name, track_name, artist_name, count(*) AS plays,
+        CAST(rank() OVER (PARTITION BY listener_id, conn_country ORDER BY count(*) DESC) AS INTEGER) AS rank
+        FROM history {MUSIC} GROUP BY listener_id, conn_country, country_name, track_name, artist_name) WHERE rank <= 10""",
+    "day_part_mix": f"SELECT listener_id, {_unordered_day_part('hour')} AS day_part, content_type, {ACTIVITY} FROM history GROUP BY ALL",
+    "daily_average": "SELECT listener_id, CAST(sum(n) AS BIGINT) / count(*) AS mean_plays_per_day, CAST(sum(n) AS BIGINT) AS plays, "
+        "count(*) AS active_days FROM (SELECT listener_id, count(*) AS n FROM history GROUP BY listener_id, year, month, day) GROUP BY listener_id",
+    "top_shows": _first(_own("show_name", "WHERE content_type = 'podcast'"), 20, "ms_total DESC, show_name NULLS FIRST"),
+    "top_audiobooks": _first(_own("audiobook_title", "WHERE content_type = 'audiobook'"), 10, "ms_total DESC, audiobook_title NULLS FIRST"),
+    "session_stats": STATS.replace("SELECT count(*)", "SELECT listener_id, count(*)") + " GROUP BY listener_id",
+}
+
+
 def _digest_sql() -> str:
-    def part(name: str, body: str, totals: str = "plays ms_total") -> str:
+    def part(name: str, body: str, totals: str) -> str:
         sums = ", ".join(
             f"CAST({f'sum({c})' if c in totals.split() else 'NULL'} AS BIGINT) AS {c}" for c in TOTALS
         )
         return f"SELECT '{name}' AS mart, count(*) AS table_rows, {sums} FROM ({body})"
 
     complete = "sum(CASE WHEN ms_played >= 30000 THEN 1 WHEN ms_played IS NOT NULL THEN 0 END) AS complete_plays"
-    skips = "sum(CAST(skipped AS BIGINT)) AS skips"
-    group = "SELECT {k}, count(*) AS plays, sum(ms_played) AS ms_total, " + f"{skips}, {complete}" + " FROM history {w} GROUP BY {k}"
-    cube = "year, month, day, hour, weekday, content_type"
-    titles = "content_type, conn_country, country_name, track_name, artist_name, album_name, show_name, audiobook_title"
-    music = "WHERE content_type = 'music'"
-    longest = "SELECT {t}, count(*) AS plays, sum(ms_played) AS ms_total FROM history WHERE content_type = '{k}' GROUP BY 1 ORDER BY ms_total DESC, {t} LIMIT {n}"
+    cube = "SELECT {k}, count(*) AS plays, sum(ms_played) AS ms_total, sum(CAST(skipped AS BIGINT)) AS skips, " + complete + " FROM history GROUP BY {k}"
+    hour = "listener_id, year, month, day, hour, weekday, content_type"
+    titles = "listener_id, content_type, conn_country, country_name, track_name, artist_name, album_name, show_name, audiobook_title"
+    own = {
+        "skip_rate": "plays skips", "skip_rate_by_artist": "plays skips", "complete_tracks": "ms_total complete_plays",
+        "top_artists": "plays ms_total complete_plays", "plan_recommendation": "", "top_tracks_by_country": "plays",
+        "daily_average": "plays", "session_stats": "",
+    }
     parts = [
-        part("calendar_cube", group.format(k=cube, w="")),
-        part("catalogue_cube", group.format(k=titles, w=""), " ".join(TOTALS)),
-        part("time_per_year", group.format(k="year", w="")),
-        part("content_mix", group.format(k="content_type", w="")),
-        part("skip_rate", f"SELECT count(*) AS plays, {skips} FROM history {music}", "plays skips"),
-        part("skip_rate_by_artist", group.format(k="artist_name", w=music) + " HAVING count(*) >= 5", "plays skips"),
-        part("complete_tracks", G04, "ms_total complete_plays"),
-        part("activity_by_hour", group.format(k="hour", w="")),
-        part("activity_by_month", group.format(k="year, month", w="")),
-        part("activity_by_weekday", group.format(k="weekday", w="")),
-        part("top_artists", G08, "plays ms_total complete_plays"),
-        part("plan_recommendation", "SELECT 1", ""),
-        part("top_tracks_by_country", "SELECT * FROM by_country", "plays"),
-        part("day_part_mix", f"SELECT {_unordered_day_part('hour')} AS p, content_type, count(*) AS plays, sum(ms_played) AS ms_total FROM history GROUP BY ALL"),
-        part("daily_average", "SELECT count(*) AS plays FROM history", "plays"),
-        part("top_shows", longest.format(t="show_name", k="podcast", n=20)),
-        part("top_audiobooks", longest.format(t="audiobook_title", k="audiobook", n=10)),
-        part("session_detail", "SELECT * FROM detail"),
-        part("session_stats", "SELECT 1", ""),
+        part("calendar_cube", cube.format(k=hour), "plays ms_total"),
+        part("catalogue_cube", cube.format(k=titles), " ".join(TOTALS)),
+        part("session_detail", "SELECT * FROM detail", "plays ms_total"),
+        *[part(name, body, own.get(name, "plays ms_total")) for name, body in OF_LISTENER.items()],
     ]
-    return on_history("\nUNION ALL ".join(parts), G11 + "," + detail_cte("listener_id"))
+    return on_history("\nUNION ALL ".join(parts), detail_cte("listener_id"))
+
+
+def _mart_of_listeners(name: str):
+    """A mart of the runner, one per listener."""
+    def query(spark, sf):
+        fact = history(spark, sf)
+        if name == "session_stats":
+            return marts.session_stats(marts.session_detail(fact, PER_LISTENER), PER_LISTENER)
+        cubes = marts.calendar_cube(fact, PER_LISTENER), marts.catalogue_cube(fact, PER_LISTENER)
+        return marts_from_cubes(*cubes, PER_LISTENER)[name]
+
+    return query
+
+
+NUMBERS = dict(zip(OF_LISTENER, (
+    "g01", "g02", "g03a", "g03b", "g04", "g05", "g06", "g07", "g08", "g10", "g11", "g12", "g13", "g14", "g15", "g09b"
+), strict=True))
 
 
 QUERIES = {
@@ -202,6 +251,7 @@ QUERIES = {
     "g13_daily_average": _of(marts.daily_average),
     "g14_top_shows": _of(marts.top_shows),
     "g15_top_audiobooks": _of(marts.top_audiobooks),
+    **{f"{number}_{name}_of_each_listener": _mart_of_listeners(name) for name, number in NUMBERS.items()},
     "g16_all_marts": mart_digest,
     "w1_session_ids": _session_ids(P),
     "w1_session_ids_per_listener": _session_ids(PER_LISTENER),
@@ -266,6 +316,10 @@ ORACLES = {
     ),
     "g14_top_shows": _long("podcast", "show_name", 20),
     "g15_top_audiobooks": _long("audiobook", "audiobook_title", 10),
+    **{
+        f"{number}_{name}_of_each_listener": on_history(OF_LISTENER[name], detail_cte("listener_id"))
+        for name, number in NUMBERS.items()
+    },
     "g16_all_marts": _digest_sql(),
     "w1_session_ids": on_history(
         "SELECT play_id, session_id FROM sessions", WITH_GAPS + "," + session_ctes(source="history_with_gaps")

@@ -1,7 +1,7 @@
 """When music gets skipped: position and time in the session, hour, shuffle, origin."""
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearlog.functions.calendar import literal_map
@@ -29,46 +29,49 @@ FEATURES = ["position", "minutes_before", "skips_before", "hour", "weekday", "sh
             "active", "month"]
 
 
-def _skip_by(context: DataFrame, key: str) -> DataFrame:
-    return context.groupBy(key).agg(F.avg("skip").alias("skip_rate"), F.count("*").alias("plays"))
+def _skip_by(context: DataFrame, params: Params, key: str) -> DataFrame:
+    return context.groupBy(*params.listener_keys, key).agg(
+        F.avg("skip").alias("skip_rate"), F.count("*").alias("plays")
+    )
 
 
 def skip_by_position(context: DataFrame, params: Params = Params()) -> DataFrame:
-    return (
-        _skip_by(context, "position")
-        .filter(F.col("plays") >= params.min_bucket_plays)
-        .orderBy("position")
-        .limit(params.top_positions)
-    )
+    """Positions with enough plays, the first of them; a listener's own where there are keys."""
+    keys = params.listener_keys
+    found = _skip_by(context, params, "position").filter(F.col("plays") >= params.min_bucket_plays)
+    if not keys:
+        return found.orderBy("position").limit(params.top_positions)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("position"))
+    return found.withColumn("_place", place).filter(F.col("_place") <= params.top_positions).drop("_place")
 
 
 def skip_by_minutes(context: DataFrame, params: Params = Params()) -> DataFrame:
     return (
-        _skip_by(context, "minute_bucket")
+        _skip_by(context, params, "minute_bucket")
         .filter(F.col("plays") >= params.min_bucket_plays)
-        .orderBy("minute_bucket")
+        .orderBy(*params.listener_keys, "minute_bucket")
     )
 
 
-def skip_by_hour(context: DataFrame) -> DataFrame:
-    return _skip_by(context, "hour").orderBy("hour")
+def skip_by_hour(context: DataFrame, params: Params = Params()) -> DataFrame:
+    return _skip_by(context, params, "hour").orderBy(*params.listener_keys, "hour")
 
 
-def skip_by_shuffle(context: DataFrame) -> DataFrame:
+def skip_by_shuffle(context: DataFrame, params: Params = Params()) -> DataFrame:
     name = F.try_element_at(literal_map(SHUFFLE_NAMES), F.col("shuffle_on"))
-    return _skip_by(context, "shuffle_on").withColumn("mode", name).orderBy("shuffle_on")
+    return _skip_by(context, params, "shuffle_on").withColumn("mode", name).orderBy(*params.listener_keys, "shuffle_on")
 
 
-def skip_by_origin(context: DataFrame) -> DataFrame:
+def skip_by_origin(context: DataFrame, params: Params = Params()) -> DataFrame:
     name = F.try_element_at(literal_map(ORIGIN_NAMES), F.col("active"))
-    return _skip_by(context, "active").withColumn("origin_name", name).orderBy("active")
+    return _skip_by(context, params, "active").withColumn("origin_name", name).orderBy(*params.listener_keys, "active")
 
 
-def skip_rates(context: DataFrame) -> DataFrame:
+def skip_rates(context: DataFrame, params: Params = Params()) -> DataFrame:
     def rate(condition: Column) -> Column:
         return half_even(F.avg(F.when(condition, F.col("skip"))), 4)
 
-    return context.agg(
+    return context.groupBy(*params.listener_keys).agg(
         half_even(F.avg("skip"), 4).alias("skip_rate"),
         rate(F.col("shuffle_on") == 1).alias("skip_rate_shuffle_on"),
         rate(F.col("shuffle_on") == 0).alias("skip_rate_shuffle_off"),
@@ -153,9 +156,9 @@ def fatigue_tables(fact: DataFrame, params: Params = Params()) -> dict[str, Data
     return {
         "skip_by_position": skip_by_position(context, params),
         "skip_by_minutes": skip_by_minutes(context, params),
-        "skip_by_hour": skip_by_hour(context),
-        "skip_by_shuffle": skip_by_shuffle(context),
-        "skip_by_origin": skip_by_origin(context),
+        "skip_by_hour": skip_by_hour(context, params),
+        "skip_by_shuffle": skip_by_shuffle(context, params),
+        "skip_by_origin": skip_by_origin(context, params),
         "skip_importance": fitted[0],
         "skip_confusion": fitted[1],
         "skip_result": skip_result(context, fitted),

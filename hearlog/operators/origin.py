@@ -2,7 +2,7 @@
 that was put on for them. Groups without a key are left out of these tables."""
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearlog.functions import labels
@@ -43,9 +43,9 @@ def origin_plays(fact: DataFrame, params: Params = Params()) -> DataFrame:
     })
 
 
-def comparison(plays: DataFrame) -> DataFrame:
+def comparison(plays: DataFrame, params: Params = Params()) -> DataFrame:
     return (
-        plays.groupBy("origin")
+        plays.groupBy(*params.listener_keys, "origin")
         .agg(
             F.count("ms_played").alias("plays"),
             half_even(F.avg("complete"), 3).alias("complete_rate"),
@@ -54,33 +54,38 @@ def comparison(plays: DataFrame) -> DataFrame:
             half_even(ratio(F.sum("ms_played"), MS_PER_HOUR), 2).alias("hours"),
         )
         .withColumn("origin_name", F.try_element_at(literal_map(ORIGIN_NAMES), F.col("origin")))
-        .orderBy("origin")
+        .orderBy(*params.listener_keys, "origin")
     )
 
 
-def diversity(plays: DataFrame) -> DataFrame:
+def diversity(plays: DataFrame, params: Params = Params()) -> DataFrame:
     """Plays per different track, for both origins even when one has no plays."""
-    spark = plays.sparkSession
+    spark, keys = plays.sparkSession, list(params.listener_keys)
     origins = spark.range(2).select(
         F.col("id").cast("int").alias("origin"),
         F.try_element_at(literal_map(ORIGIN_NAMES_SHORT), F.col("id").cast("int")).alias("origin_name"),
     )
-    counts = plays.groupBy("origin").agg(
+    if keys:  # one row per listener and origin
+        origins = plays.select(*keys).distinct().crossJoin(F.broadcast(origins))
+    counts = plays.groupBy(*[F.col(k).alias(f"_own_{k}") for k in keys], F.col("origin").alias("_origin")).agg(
         F.countDistinct("track_uri").alias("unique_tracks"), F.count("*").alias("plays")
     )
-    filled = origins.join(counts, "origin", "left").fillna(0, ["unique_tracks", "plays"])
+    same = F.col("origin") == F.col("_origin")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_own_{key}"))
+    filled = origins.join(counts, same, "left").fillna(0, ["unique_tracks", "plays"])
     repeats = F.col("plays") / F.greatest(F.col("unique_tracks"), F.lit(1))
     return filled.select(
-        "origin_name", "unique_tracks", "plays", half_even(repeats, 2).alias("repeat_ratio")
+        *keys, "origin_name", "unique_tracks", "plays", half_even(repeats, 2).alias("repeat_ratio")
     )
 
 
-def trend(plays: DataFrame) -> DataFrame:
+def trend(plays: DataFrame, params: Params = Params()) -> DataFrame:
     return (
         plays.filter(F.col("year").isNotNull() & F.col("month").isNotNull())
-        .groupBy("year", "month")
+        .groupBy(*params.listener_keys, "year", "month")
         .agg(half_even(F.avg("origin"), 3).alias("active_share"), F.count("*").alias("plays"))
-        .orderBy("year", "month")
+        .orderBy(*params.listener_keys, "year", "month")
     )
 
 
@@ -88,10 +93,11 @@ def artists_by_origin(plays: DataFrame, params: Params = Params()) -> DataFrame:
     """Artists heard most through the recommender."""
     counts = (
         plays.filter(F.col("artist_name").isNotNull())
-        .groupBy("artist_name")
+        .groupBy(*params.listener_keys, "artist_name")
         .pivot("origin", [0, 1])
         .count()
         .select(
+            *params.listener_keys,
             "artist_name",
             F.coalesce("0", F.lit(0)).alias("via_recommender"),
             F.coalesce("1", F.lit(0)).alias("via_active"),
@@ -99,17 +105,17 @@ def artists_by_origin(plays: DataFrame, params: Params = Params()) -> DataFrame:
         .withColumn("plays", F.col("via_recommender") + F.col("via_active"))
     )
     share = half_even(F.col("via_recommender") / F.col("plays"), 3)
-    return (
-        counts.filter(F.col("plays") >= params.min_artist_plays)
-        .withColumn("recommender_share", share)
-        .orderBy(F.desc("recommender_share"), F.desc("plays"), "artist_name")
-        .limit(params.top_artists)
-    )
+    found = counts.filter(F.col("plays") >= params.min_artist_plays).withColumn("recommender_share", share)
+    order = [F.desc("recommender_share"), F.desc("plays"), "artist_name"]
+    if not params.listener_keys:
+        return found.orderBy(*order).limit(params.top_artists)
+    place = F.row_number().over(Window.partitionBy(*params.listener_keys).orderBy(*order))
+    return found.withColumn("_place", place).filter(F.col("_place") <= params.top_artists).drop("_place")
 
 
-def shares(plays: DataFrame) -> DataFrame:
+def shares(plays: DataFrame, params: Params = Params()) -> DataFrame:
     mean = F.avg("origin")
-    return plays.agg(
+    return plays.groupBy(*params.listener_keys).agg(
         half_even(mean, 4).alias("active_share"),
         half_even(1 - mean, 4).alias("recommender_share"),
         F.count("*").alias("plays"),
@@ -200,9 +206,9 @@ def origin_tables(fact: DataFrame, params: Params = Params()) -> dict[str, DataF
     compared = comparison(plays)
     fitted = fit_origin_model(plays, params)
     tables = {
-        "origin_comparison": compared,
-        "origin_diversity": diversity(plays),
-        "origin_trend": trend(plays),
+        "origin_comparison": comparison(plays, params) if params.listener_keys else compared,
+        "origin_diversity": diversity(plays, params),
+        "origin_trend": trend(plays, params),
         "origin_artists": artists_by_origin(plays, params),
         "origin_result": origin_result(plays, compared, fitted),
     }

@@ -84,7 +84,7 @@ def build_plays(
 def build_marts(fact: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
     """All marts. Those that only count and sum read two pre-aggregates of the plays; these
     and the sessions are computed here once and kept in the shared folder."""
-    calendar = durable(marts.calendar_cube(fact))
+    calendar = durable(marts.calendar_cube(fact, params))
     catalogue = durable(marts.catalogue_cube(fact, params))
     detail = durable(marts.session_detail(fact, params))
     return {
@@ -92,7 +92,7 @@ def build_marts(fact: DataFrame, params: Params = Params()) -> dict[str, DataFra
         "catalogue_cube": catalogue,
         **marts_from_cubes(calendar, catalogue, params),
         "session_detail": detail,
-        "session_stats": marts.session_stats(detail),
+        "session_stats": marts.session_stats(detail, params),
     }
 
 
@@ -100,19 +100,19 @@ def marts_from_cubes(
     calendar: DataFrame, catalogue: DataFrame, params: Params = Params()
 ) -> dict[str, DataFrame]:
     return {
-        "time_per_year": marts.time_per_year(calendar),
-        "content_mix": marts.content_mix(calendar),
-        "skip_rate": marts.skip_rate(catalogue),
+        "time_per_year": marts.time_per_year(calendar, params),
+        "content_mix": marts.content_mix(calendar, params),
+        "skip_rate": marts.skip_rate(catalogue, params),
         "skip_rate_by_artist": marts.skip_rate_by_artist(catalogue, params),
         "complete_tracks": marts.complete_tracks(catalogue, params),
-        "activity_by_hour": marts.activity_by_hour(calendar),
-        "activity_by_month": marts.activity_by_month(calendar),
-        "activity_by_weekday": marts.activity_by_weekday(calendar),
+        "activity_by_hour": marts.activity_by_hour(calendar, params),
+        "activity_by_month": marts.activity_by_month(calendar, params),
+        "activity_by_weekday": marts.activity_by_weekday(calendar, params),
         "top_artists": marts.top_artists(catalogue, params),
         "plan_recommendation": marts.plan_recommendation(calendar, params),
         "top_tracks_by_country": marts.top_tracks_by_country(catalogue, params),
-        "day_part_mix": marts.day_part_mix(calendar),
-        "daily_average": marts.daily_average(calendar),
+        "day_part_mix": marts.day_part_mix(calendar, params),
+        "daily_average": marts.daily_average(calendar, params),
         "top_shows": marts.top_shows(catalogue, params),
         "top_audiobooks": marts.top_audiobooks(catalogue, params),
     }
