@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from contract.tables import (
     half_even,
+    WEEKDAYS,
     WITH_GAPS,
     history,
     history_with_gaps,
@@ -15,7 +16,6 @@ from contract.tables import (
 from hearlog.operators import marts, sequence
 from hearlog.params import Params
 from hearlog.plans.layers import build_marts, marts_from_cubes
-from hearlog.vocabulary import DAY_PARTS, NIGHT, WEEKDAY_NAMES
 
 P = Params()
 PER_LISTENER = Params(listener_keys=("listener_id",))
@@ -26,11 +26,11 @@ def _of(mart, *args):
 
 
 def _unordered_day_part(hour: str) -> str:
-    whens = "".join(f" WHEN {hour} >= {first} AND {hour} < {first + 6} THEN '{name}'" for first, name in DAY_PARTS)
-    return f"CASE{whens} ELSE '{NIGHT}' END"
+    return (f"CASE WHEN {hour} BETWEEN 0 AND 5 THEN 'Madrugada (0-5h)' WHEN {hour} BETWEEN 6 AND 11 THEN 'Mañana (6-11h)' "
+            f"WHEN {hour} BETWEEN 12 AND 17 THEN 'Tarde (12-17h)' ELSE 'Noche (18-23h)' END")
 
 
-WEEKDAY_CASE = "CASE weekday" + "".join(f" WHEN {k} THEN '{v}'" for k, v in WEEKDAY_NAMES.items()) + " END"
+WEEKDAY_CASE = "CASE weekday" + "".join(f" WHEN {k} THEN '{v}'" for k, v in WEEKDAYS.items()) + " END"
 ACTIVITY = f"count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms_total, {hours('sum(ms_played)')} AS hours"
 SKIPS = "CAST(sum(CAST(skipped AS BIGINT)) AS BIGINT) AS skips, count(*) AS plays"
 SKIP_PCT = f"{percent('sum(CAST(skipped AS BIGINT))', 'count(*)')} AS skip_pct"

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from contract.tables import (
     LOCAL_FIELDS,
+    MONTHS,
+    WEEKDAYS,
     country_case,
     history,
     hours,
@@ -15,21 +17,26 @@ from contract.tables import (
     raw_with_copies,
 )
 from hearlog.functions import calendar, labels, rounding
-from hearlog.functions.text import REMOVED, TRIMMED, clean_text
+from hearlog.functions.text import clean_text
 from hearlog.operators import refine
 from hearlog.params import Params
 from hearlog.session import prepare_session
 from hearlog.sources.export_format import PLAY_KEY, TEXT_COLUMNS
-from hearlog.vocabulary import MONTH_LABELS, WEEKDAY_NAMES
 
 P = Params()
 PER_LISTENER = Params(listener_keys=("listener_id",))
 KEYS = ["listener_id", *PLAY_KEY]
 
 
+# White space by code point: what text is trimmed of on both sides.
+BLANKS = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
 def clean_sql(column: str) -> str:
-    kept = f"regexp_replace({column}, '{REMOVED}', '', 'g')"
-    return f"nullif(trim({kept}, '{TRIMMED}'), '')"
+    """Other symbols, all beyond U+FFFF and a few newer symbols out; blanks trimmed; null if nothing is left."""
+    symbols = r"[\p{So}\x{10000}-\x{10FFFF}\x{2FFC}-\x{2FFF}\x{31EF}\x{FD40}-\x{FD4F}\x{FDCF}\x{FDFE}\x{FDFF}]"
+    kept = f"regexp_replace({column}, '{symbols}', '', 'g')"
+    return f"nullif(trim({kept}, '{''.join(map(chr, BLANKS))}'), '')"
 
 
 def digest_sql(columns: list[str]) -> str:
@@ -216,7 +223,7 @@ ORACLES = {
     "t5_country_name": on_raw(f"SELECT event_id, conn_country, {country_case('conn_country')} AS country_name FROM raw"),
     "t6_play_id": on_raw(f"SELECT event_id, {digest_sql(KEYS)} AS play_id FROM raw"),
     "t7_literal_labels": on_history(
-        f"SELECT play_id, {_case('weekday', WEEKDAY_NAMES)} AS weekday_name, {_case('month', MONTH_LABELS)} AS month_label FROM history"
+        f"SELECT play_id, {_case('weekday', WEEKDAYS)} AS weekday_name, {_case('month', MONTHS)} AS month_label FROM history"
     ),
     "t8_day_part": on_history(
         "SELECT play_id, CASE WHEN hour BETWEEN 0 AND 5 THEN 'Madrugada (0-5h)' WHEN hour BETWEEN 6 AND 11 THEN 'Mañana (6-11h)' "

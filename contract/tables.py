@@ -116,10 +116,14 @@ def _sql_names(names: dict) -> str:
     return "\n".join(f"    WHEN '{k}' THEN '{v}'" for k, v in names.items())
 
 
-def country_case(column: str) -> str:
-    from hearlog.vocabulary import COUNTRY_NAMES, UNKNOWN_COUNTRY
+# The oracles state the labels they need themselves, so a wrong label in the library shows.
+COUNTRIES = {"US": "Estados Unidos", "ES": "España", "CO": "Colombia", "AR": "Argentina", "MX": "México"}
+WEEKDAYS = {1: "Domingo", 2: "Lunes", 3: "Martes", 4: "Miércoles", 5: "Jueves", 6: "Viernes", 7: "Sábado"}
+MONTHS = {1: "Ene", 2: "Feb", 3: "Mar", 4: "Abr", 5: "May", 6: "Jun", 7: "Jul", 8: "Ago", 9: "Sep", 10: "Oct", 11: "Nov", 12: "Dic"}
+
 
-    return f"CASE {column}\n{_sql_names(COUNTRY_NAMES)}\n    ELSE '{UNKNOWN_COUNTRY}' END"
+def country_case(column: str) -> str:
+    return f"CASE {column}\n{_sql_names(COUNTRIES)}\n    ELSE 'Desconocido' END"
 
 
 def with_shared_folder(spark: SparkSession) -> None:

@@ -14,11 +14,11 @@ from contract.models import (
     ruled_named_weeks,
     ruled_weeks,
 )
-from contract.tables import half_even, history, hours, on_history
-from hearlog.operators import fatigue, marts, origin, views, weekly
+from contract.tables import MONTHS, half_even, history, hours, on_history
+from hearlog.operators import fatigue, marts, origin, refine, views, weekly
 from hearlog.params import Params
 from hearlog.plans.layers import marts_from_cubes
-from hearlog.vocabulary import FEATURE_LABELS, MONTH_LABELS
+from hearlog.vocabulary import FEATURE_LABELS
 
 P = Params()
 PER_LISTENER = Params(listener_keys=("listener_id",))
@@ -98,7 +98,7 @@ QUERIES = {
     "v13_skip_deltas": lambda s, sf: views.skip_deltas(fatigue.skip_rates(context(s, sf))).select(
         F.round("shuffle_delta", 6).alias("shuffle_delta"), F.round("recommender_delta", 6).alias("recommender_delta")),
     "v14_labelled_confusion": lambda s, sf: views.labelled_confusion(confusion_cells(s, sf)),
-    "v15_only_years": lambda s, sf: marts.activity_by_hour(views.only_years(history(s, sf), [2024])),
+    "v15_only_years": lambda s, sf: marts.activity_by_hour(refine.only_years(history(s, sf), [2024])),
     "j4_weeks_with_profiles": weeks_labelled,
     "j4_feature_labels": feature_labels,
 }
@@ -129,7 +129,7 @@ ORACLES = {
         "FROM by_country GROUP BY ALL", G11
     ),
     "v3_monthly_series": on_history(
-        f"SELECT year, month, {case('month', MONTH_LABELS)} AS month_label, {hours('sum(ms_played)')} AS hours FROM history GROUP BY year, month"
+        f"SELECT year, month, {case('month', MONTHS)} AS month_label, {hours('sum(ms_played)')} AS hours FROM history GROUP BY year, month"
     ),
     "v4_top_15_artists": on_history(
         f"SELECT * FROM (SELECT * FROM ({G08})) ORDER BY plays DESC, ms_total DESC, artist_name NULLS FIRST LIMIT 15"
@@ -171,7 +171,7 @@ ORACLES = {
         "SELECT year, cluster, profile, profile AS profile_name, count(*) AS weeks FROM named GROUP BY ALL"
     ),
     "v11_months_with_profiles": on_weeks(
-        f"SELECT month, cluster, profile, profile AS profile_name, {case('month', MONTH_LABELS)} AS month_label, count(*) AS weeks "
+        f"SELECT month, cluster, profile, profile AS profile_name, {case('month', MONTHS)} AS month_label, count(*) AS weeks "
         "FROM named LEFT JOIN months USING (listener_id, year, week) GROUP BY ALL"
     ),
     "v12_reference_skip_rate": on_history(

@@ -4,11 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearlog.functions.calendar import literal_map, month_key, month_label
-from hearlog.operators.refine import only_years
 from hearlog.vocabulary import ACTUAL_LABELS, FEATURE_LABELS, PLAN_LABELS, PREDICTED_LABELS
 
-__all__ = ["only_years"]
-
 
 def headline(
     per_year: DataFrame | None, skips: DataFrame | None, sessions: DataFrame | None

@@ -171,3 +171,16 @@ def test_partition_write_replaces_only_its_partitions(spark, tmp_path):
     tables.write_table(spark.createDataFrame([(1, "a", 1), (2, "a", 2)], schema), path, ("year", "content_type"))
     tables.write_partitions(spark.createDataFrame([(2, "a", 9)], schema), path, ("year", "content_type"))
     assert sorted(r["n"] for r in tables.read_table(spark, path).collect()) == [1, 9]
+
+
+def test_layers_from_the_command_line(spark, exports, tmp_path):
+    from hearlog.__main__ import main
+
+    source, root = exports(**{"1": [record(), record(ms_played=50_000)]}), str(tmp_path / "out")
+    main(["landing", root, "--source", source], spark)
+    main(["plays", root], spark)
+    main(["marts", root, "--published"], spark)
+    assert tables.read_table(spark, f"{root}/plays/fact_plays").count() == 2
+    assert tables.read_table(spark, f"{root}/marts/G01_tiempo_total_por_año").first()["reproducciones"] == 2
+    with pytest.raises(SystemExit):
+        main(["all", root], spark)

@@ -85,3 +85,45 @@ def test_model_folds_and_parts_have_no_unbounded_window(spark):
     shown = plan(stratified_parts(rows, "label", "key", [0.8, 0.2], Params().seed, "part"))
     numbered = [line for line in shown.splitlines() if "row_number()" in line and "Window [" in line]
     assert numbered and all("_bucket" in line.split("windowspecdefinition")[1] for line in numbered)
+
+
+def test_training_rows_scan_the_plays_once(spark, tmp_path, monkeypatch):
+    from hearlog.operators import origin
+
+    rows = [{"start_ms": i, "reason_start": ["clickrow", "trackdone"][i % 2], "skipped": i % 3 == 0} for i in range(60)]
+    path = str(tmp_path / "plays")
+    tables.write_table(fact_plays(spark, *rows), path)
+    shown = plan(origin.training_rows(origin.origin_plays(tables.read_table(spark, path))))
+    assert path not in shown and "hearlog-" in shown
+
+
+def test_sessions_are_scanned_once_for_detail_and_stats(spark, tmp_path, monkeypatch):
+    from hearlog.plans import layers
+
+    calls = []
+    scan = sequence.session_scan
+    monkeypatch.setattr(sequence, "session_scan", lambda *a, **k: calls.append(1) or scan(*a, **k))
+    with temporary_tables(spark):
+        results = layers.build_marts(stored_fact(spark, tmp_path))
+        assert len(calls) == 1
+        for name in ("session_detail", "session_stats"):
+            shown = plan(results[name])
+            assert "Join" not in shown and "_block" not in shown
+
+
+def test_blocks_follow_the_number_of_plays(spark):
+    plays = spark.range(1000).select(
+        F.col("id").alias("play_id"), (F.col("id") * 1000).alias("start_ms"), F.lit(10).cast("bigint").alias("ms_played"))
+    seen = []
+    carry = sequence._carry
+
+    def watched(rows, *args):
+        seen.append(rows.select("_block").distinct().count())
+        return carry(rows, *args)
+
+    sequence._carry = watched
+    try:
+        sequence.play_sessions(plays, Params(session_block_rows=50)).count()
+    finally:
+        sequence._carry = carry
+    assert seen[0] >= 15
