@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearlog.llm.common import running_total, unit_hash, word_count
+from hearlog.llm.common import running_total, word_count
 from hearlog.session import durable
 
 
@@ -98,7 +98,8 @@ def pareto_mix(
             F.try_divide(F.col("target"), F.col("source_size")) * F.col("preference") / F.col("mean_preference"), F.lit(0.0)
         ),
     )
-    draw = unit_hash(seed, F.col("doc"), F.coalesce("source", F.lit("")))
+    digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("doc").cast("string"), "source"))
+    draw = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     planned = (
         sized.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
         .withColumn("certain", F.floor(expected + 1e-12))

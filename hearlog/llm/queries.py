@@ -98,7 +98,102 @@ QUERIES = {
     "op10_pareto_mix": op10_pareto_mix,
 }
 
+OP10_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+),
+placed AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM sized GROUP BY source
+),
+weighted AS (
+  SELECT *, CAST(place % 3 + 1 AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 3 AS most,
+    CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM placed
+),
+candidates AS (
+  SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS candidate
+  FROM weighted
+),
+targets AS (
+  SELECT source, source_size,
+    least(most, coalesce(max(CASE WHEN candidate <= most / weight THEN candidate END) OVER (), most / weight) * weight) AS target
+  FROM candidates
+),
+expected AS (
+  SELECT s.*, source_size, target, least(3, coalesce(target / nullif(source_size, 0), 0)) AS copies,
+    (CAST(CAST('0x' || substr(md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), s.source)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
+      / 4503599627370496 AS draw
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+),
+planned AS (
+  SELECT *, CAST(floor(copies + 1e-12) AS BIGINT) AS certain, greatest(0, copies - floor(copies + 1e-12)) AS chance FROM expected
+),
+ranked AS (
+  SELECT *, draw / (1 - draw) * (1 - chance) / greatest(chance, 1e-12) AS odds,
+    CASE WHEN certain < 3 THEN size ELSE 0 END AS may_repeat, sum(certain * size) OVER (PARTITION BY source) AS certain_words
+  FROM planned
+),
+summed AS (
+  SELECT *, coalesce(sum(may_repeat) OVER (
+    PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM ranked
+)
+SELECT doc_id, size, source_size, target,
+  CAST(certain * size + greatest(0, least(may_repeat, CAST(round(target) AS BIGINT) - certain_words - before)) AS BIGINT) AS taken
+FROM summed
+"""
+
+_MARKS = r"^\s{0,3}((?:>\s{0,3})+)"
+OP3_SQL = rf"""
+WITH RECURSIVE messages AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, text,
+    string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS cut FROM conversations
+),
+lines AS (
+  SELECT id, conv_id, turn, n, cut[n] AS line,
+    length(regexp_replace(regexp_extract(cut[n], '{_MARKS}', 1), '[^>]', '', 'g')) AS depth,
+    trim(regexp_replace(lower(regexp_replace(cut[n], '{_MARKS}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words
+  FROM (SELECT *, unnest(range(1, len(cut) + 1)) AS n FROM messages)
+),
+seen AS (
+  SELECT *, coalesce(lead(depth) OVER (PARTITION BY id ORDER BY n), 0) AS next FROM lines
+),
+bodies AS (
+  SELECT id, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (
+      depth = 0 AND NOT (next > 0 AND regexp_matches(line, '(?i)^.{{0,200}}\b(wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$'))
+    ), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body,
+    CAST(max(depth) AS INTEGER) AS quote_depth, CAST(count(*) FILTER (depth > 0) AS INTEGER) AS n_quoted
+  FROM seen GROUP BY id
+),
+passages AS (SELECT DISTINCT conv_id, turn, depth, words FROM lines WHERE turn IS NOT NULL AND len(string_split(words, ' ')) >= 3),
+originals AS (SELECT conv_id, words, min(turn) AS source FROM passages WHERE depth = 0 GROUP BY ALL),
+found AS (
+  SELECT p.conv_id, p.turn, p.depth, source FROM passages p JOIN originals o
+    ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.words = o.words AND source < p.turn WHERE p.depth > 0
+),
+links AS (
+  SELECT conv_id, turn, count(*) AS n_linked, arg_max(source, {{'d': -depth, 's': source}}) AS reply_to FROM found GROUP BY ALL
+),
+chains AS (
+  SELECT conv_id, turn, reply_to AS root FROM links
+  UNION ALL
+  SELECT c.conv_id, c.turn, l.reply_to FROM chains c JOIN links l ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.turn = c.root
+),
+roots AS (SELECT conv_id, turn, min(root) AS root FROM chains GROUP BY ALL),
+joined AS (
+  SELECT m.conv_id, m.turn, m.role, body, quote_depth, n_quoted, coalesce(n_linked, 0) AS n_linked, reply_to,
+    coalesce(root, m.turn) AS thread
+  FROM messages m JOIN bodies b ON m.id = b.id
+  LEFT JOIN links l ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.turn = l.turn
+  LEFT JOIN roots r ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND m.turn = r.turn
+)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn IS NULL, thread, turn, role) - 1 AS position FROM joined
+"""
+
 ORACLES = {
+    "op3_quotes": OP3_SQL,
+    "op10_pareto_mix": OP10_SQL,
     "op9_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

@@ -94,13 +94,12 @@ def link_quotes(
     rows = parsed(messages.select(
         F.col(group_col).alias("g"), F.col(order_col).alias("o"), F.col(role_col).alias("role"), F.col(text_col).alias("text"),
     ))
-    said = rows.where("o IS NOT NULL").select(
+    said = durable(rows.where("o IS NOT NULL").select(
         "g", "o", F.explode("lines").alias("l")
-    ).select(
+    ).where(F.size(F.split("l.words", " ")) >= least_words).select(
         "g", "o", F.col("l.depth").alias("depth"),
         F.xxhash64(F.lit("passage"), F.col("l.words")).alias("passage"),
-        F.size(F.split("l.words", " ")).alias("words"),
-    ).where(F.col("words") >= least_words)
+    ))
     quoted = said.where("depth > 0").select("g", "o", "depth", "passage").distinct()
     wanted = quoted.select(F.col("g").alias("qg"), F.col("passage").alias("qp")).distinct()
     same = F.col("g").eqNullSafe(F.col("qg")) & (F.col("passage") == F.col("qp"))

@@ -69,3 +69,32 @@ def test_queries_are_registered():
     assert registered["pipeline"] is corpus_pipeline.run
     assert set(entry.oracle_sql()) <= set(registered)
     assert all(len(inspect.signature(query).parameters) == 2 for query in queries.QUERIES.values())
+
+
+def test_quotes_equal_sql(spark, tmp_path):
+    """Random conversations that quote each other, against the registered SQL."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(5)
+    said, rows = [], []
+    for conv in [1, 2, 3, None]:
+        for turn in range(25):
+            own = [prose(rng.randrange(10_000), rng.randint(1, 6)) for _ in range(rng.randint(1, 3))]
+            quoted = [
+                "> " * rng.randint(1, 3) + line for line in rng.sample(said, min(len(said), rng.randint(0, 3)))
+            ]
+            if quoted and rng.random() < 0.5:
+                quoted.insert(0, "On Monday, Ann wrote:")
+            said += own
+            text = "\n".join(quoted + [""] * rng.randint(0, 4) + own)
+            rows.append((conv, turn, "user", None if rng.random() < 0.05 else text))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    relation = db.sql(queries.ORACLES["op3_quotes"])
+    want = sorted(map(str, (dict(sorted(zip(relation.columns, row, strict=True))) for row in relation.fetchall())))
+    got = [row.asDict() for row in queries.op3_quotes(spark, str(tmp_path)).collect()]
+    assert sum(row["reply_to"] is not None for row in got) > 20
+    assert sorted(str(dict(sorted(row.items()))) for row in got) == want
