@@ -441,10 +441,12 @@ def judge(
     had ``shrink_bytes`` more bytes of average text, so that a few words are not judged by
     chance. Log perplexities of long documents lie closer together; their distance from
     the mean is multiplied by (bytes + ``shrink_bytes``) ** ``length_power`` to make it
-    comparable. A language's threshold for it lies ``fence`` interquartile ranges above the
-    third quartile of its held-out documents (and at least 5 % of the mean above it, at the
-    shortest length); what is beyond is unlike the trusted text and goes. ``high`` is that
-    threshold as a perplexity, for the document's length.
+    comparable. A language's threshold for it is the third quartile of its held-out
+    documents plus ``fence`` times twice the way from the median to it (and at least 5 % of
+    the mean above it, at the shortest length); what is beyond is unlike the trusted text
+    and goes. Quantiles below the median are left out, as a text that many trusted
+    documents copy is hardly a surprise and would stretch them. ``high`` is the threshold
+    as a perplexity, for the document's length.
 
     Documents without bytes, and those of a language without trusted text (null is a
     language of its own), are kept; their perplexity is null where there is no model.
@@ -477,8 +479,8 @@ def judge(
     least = 0.05 * F.col("mean") * float(shrink_bytes) ** length_power
     bounds = (
         with_table(held, means).groupBy("lang", "mean")
-        .agg(F.percentile_approx(distance, [0.25, 0.75], 10_000).alias("q"))
-        .withColumn("reach", F.greatest(fence * (F.col("q")[1] - F.col("q")[0]), least))
+        .agg(F.percentile_approx(distance, [0.5, 0.75], 10_000).alias("q"))
+        .withColumn("reach", F.greatest(fence * 2 * (F.col("q")[1] - F.col("q")[0]), least))
         .select("lang", "mean", (F.col("q")[1] + F.col("reach")).alias("most"))
     )
     return with_table(scored, bounds).select(
