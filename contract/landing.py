@@ -80,9 +80,12 @@ def files(spark, sf):
 
 
 def scratch(spark) -> str:
-    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    delete_at_exit(spark, folder)
-    return folder
+    """A new path in the shared folder, gone when the driver's JVM ends."""
+    parent = f"{shared_folder(spark)}/contract"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    delete_at_exit(spark, parent)
+    return f"{parent}/{uuid.uuid4().hex}"
 
 
 def stored_files(spark, sf) -> str:

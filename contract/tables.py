@@ -131,7 +131,7 @@ def with_shared_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
         return
-    if context.master.startswith("local"):
+    if context.master == "local" or context.master.startswith("local["):
         folder = tempfile.mkdtemp(prefix="hearlog-checkpoint-")
         context.setCheckpointDir(folder)
         delete_at_exit(spark, folder)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from hearlog.params import Params
 from hearlog.session import at_once
 
+#: Hash buckets per class: at least so many, and enough to keep a bucket at about so many rows.
 HASH_BUCKETS = 1 << 14
+BUCKET_ROWS = 1_000_000
 
 
 def stratified_parts(
@@ -20,10 +22,11 @@ def stratified_parts(
 
     Rows of a class are ordered by a seeded hash. The position of a row is its place in
     its hash bucket plus the sizes of the buckets before, so a class of any size is
-    ranked by many tasks and only ``HASH_BUCKETS`` counts per class are broadcast.
+    ranked by many tasks. Only the buckets' counts are broadcast, one per million rows.
     """
+    buckets = max(HASH_BUCKETS, rows.count() // BUCKET_ROWS)
     hashed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(identity))).withColumn(
-        "_bucket", F.pmod("_hash", F.lit(HASH_BUCKETS))
+        "_bucket", F.pmod("_hash", F.lit(buckets))
     )
     in_class = Window.partitionBy("_label").orderBy("_bucket")
     earlier = in_class.rowsBetween(Window.unboundedPreceding, -1)

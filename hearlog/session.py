@@ -54,16 +54,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hearlog-{uuid.uuid4().hex}"
     paths = _collecting.get()
-    if paths is None:
-        delete_at_exit(spark, path)
-    else:
+    if paths is not None:
         paths.append(path)
     df.write.parquet(path)
+    if paths is None:
+        delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def delete_at_exit(spark: SparkSession, path: str) -> None:
-    """Have the driver's JVM remove ``path`` when it ends."""
+    """Have the driver's JVM remove ``path``, which has to exist, when it ends."""
     folder, files = _on_storage(spark, path)
     files.deleteOnExit(folder)
 
