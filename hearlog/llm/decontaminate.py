@@ -31,7 +31,10 @@ def marked_tokens(text: Column) -> Column:
     none. Units are known words behind a number.
     """
     bare = F.translate(F.coalesce(text, F.lit("")), _MARKS, "   ")
-    named = F.regexp_replace(bare, r"(?<=[\p{Ll}\p{Nd}][,;:]? )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f"{NAME}$1")
+    # The capital comes first in the pattern, so that few places look back.
+    named = F.regexp_replace(
+        bare, r"(\p{Lu})(?<=[\p{Ll}\p{Nd},;:] \p{Lu})(\p{Ll}+)(?![\p{L}\p{N}])", f"{NAME}$1$2"
+    )
     counted = F.regexp_replace(named, r"(\p{Nd}+)", f" {NUMBER}$1 ")
     measured = F.regexp_replace(
         counted, rf"({NUMBER}\p{{Nd}}+) +({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2"
