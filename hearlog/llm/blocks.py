@@ -63,10 +63,27 @@ def blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
         made += 1
 
 
+def _packed(raw: bytes) -> bytes:
+    """Compressed behind its length; a few bytes, which would only grow, behind a zero."""
+    if len(raw) < 256:
+        return b"\0" + raw
+    return b"\1" + len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    if data[0] == 0:
+        return data[1:]
+    size = int.from_bytes(data[1:9], "little")
+    return _ZSTD.decompress(data[9:], decompressed_size=size, asbytes=True)
+
+
 def pack(array: np.ndarray) -> bytes:
-    """An array as compressed bytes, behind its length."""
-    raw = np.ascontiguousarray(array).tobytes()
-    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+    """An array as bytes, compressed if that pays."""
+    return _packed(np.ascontiguousarray(array).tobytes())
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(_unpacked(data), dtype=dtype)
 
 
 def pack_sorted(array: np.ndarray) -> bytes:
@@ -75,11 +92,6 @@ def pack_sorted(array: np.ndarray) -> bytes:
     return pack(steps.view(np.uint8).reshape(-1, 8).T)
 
 
-def unpack(data: bytes, dtype) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(_ZSTD.decompress(data[8:], decompressed_size=size, asbytes=True), dtype=dtype)
-
-
 def unpack_sorted(data: bytes) -> np.ndarray:
     planes = unpack(data, np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
@@ -87,15 +99,11 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 def pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
     """Texts in one compressed piece, and their lengths."""
-    raw = b"".join(texts)
-    return (
-        len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True),
-        pack(np.array([len(text) for text in texts], dtype=np.int64)),
-    )
+    return _packed(b"".join(texts)), pack(np.array([len(text) for text in texts], dtype=np.int64))
 
 
 def unpack_texts(data: bytes, lengths: bytes) -> list[bytes]:
-    raw = unpack(data, np.uint8).tobytes()
+    raw = _unpacked(data)
     ends = np.cumsum(unpack(lengths, np.int64)).tolist()
     return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 

@@ -140,7 +140,9 @@ def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
 def _asked(kind: str, block: str, keys: np.ndarray, shards: int) -> Iterator[tuple]:
     keys, counts = _members(keys)
     for shard, at in by_shard(keys, _shards(keys, shards)):
-        yield kind, shard, block, pack_sorted(keys[at]), pack(np.minimum(counts[at], 1 << 31).astype(np.uint32))
+        own = counts[at]
+        # Most keys occur once in a block; then nothing is sent for their counts.
+        yield kind, shard, block, pack_sorted(keys[at]), pack(own) if (own > 1).any() else None
 
 
 def _ends(texts: list[bytes]) -> np.ndarray:
@@ -164,7 +166,11 @@ def _several(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     order = np.argsort(np.array(table.column("block").to_pylist(), dtype=object), kind="stable").tolist()
     blocks = [table.column("block")[i].as_py() for i in order]
     keys = [unpack_sorted(table.column("keys")[i].as_py()) for i in order]
-    counts = [unpack(table.column("counts")[i].as_py(), np.uint32) for i in order]
+    given = [table.column("counts")[i].as_py() for i in order]
+    counts = [
+        np.ones(len(own), np.int64) if packed is None else unpack(packed, np.int64)
+        for own, packed in zip(keys, given, strict=True)
+    ]
     every = np.concatenate(keys)
     distinct, first, place = np.unique(every, return_index=True, return_inverse=True)
     totals = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
