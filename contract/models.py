@@ -63,6 +63,10 @@ def _on_plays(table, *args):
     return lambda spark, sf: table(plays(spark, sf), *args)
 
 
+def _on_cube(table):
+    return lambda spark, sf: table(origin.origin_cube(plays(spark, sf), FULL))
+
+
 def _on_context(table, *args):
     return lambda spark, sf: table(context(spark, sf), *args)
 
@@ -321,6 +325,10 @@ QUERIES = {
     "m1_3_trend_of_each_listener": _on_plays(origin.trend, FULL),
     "m1_4_artists_of_each_listener": _on_plays(origin.artists_by_origin, FULL),
     "m1_9_shares_of_each_listener": _on_plays(origin.shares, FULL),
+    "m1_1_comparison_of_cube": _on_cube(origin.comparison),
+    "m1_3_trend_of_cube": _on_cube(origin.trend),
+    "m1_4_artists_of_cube": _on_cube(origin.artists_by_origin),
+    "m1_9_shares_of_cube": _on_cube(origin.shares),
     "m1_5_split_sizes": split_sizes,
     "m1_5_class_weights": class_weights,
     "m1_6_fold_sizes": fold_sizes,
@@ -681,3 +689,10 @@ ORACLES = {
             }.items()) + " FROM skip_context", MUSIC_CONTEXT
     ),
 }
+
+ORACLES |= {
+    f"{name}_of_cube": ORACLES[row] for name, row in {
+        "m1_1_comparison": "m1_1_comparison", "m1_3_trend": "m1_3_trend", "m1_4_artists": "m1_4_artists_by_origin",
+        "m1_9_shares": "m1_9_shares",
+    }.items()
+}

@@ -2,7 +2,7 @@
 that was put on for them. Groups without a key are left out of these tables."""
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearlog.functions import labels
@@ -43,15 +43,38 @@ def origin_plays(fact: DataFrame, params: Params = Params()) -> DataFrame:
     })
 
 
+def origin_cube(plays: DataFrame, params: Params = Params()) -> DataFrame:
+    """Counts and sums per origin, month and artist. The tables below read the plays or this
+    pre-aggregate, which one scan makes for all of them; only ``diversity`` needs the plays."""
+    return plays.groupBy(*params.listener_keys, "origin", "year", "month", "artist_name").agg(
+        F.count("*").alias("plays"),
+        F.sum("complete").alias("complete_plays"),
+        F.sum("skip").alias("skips"),
+        F.sum("ms_played").alias("ms_total"),
+    )
+
+
+def _count(df: DataFrame) -> Column:
+    return F.sum("plays") if "plays" in df.columns else F.count(F.lit(1))
+
+
+def _mean(df: DataFrame, column: str, total: str | None = None) -> Column:
+    """The mean over plays, of a value per play or of totals (of the value itself by default)."""
+    if "plays" not in df.columns:
+        return F.avg(column)
+    return F.try_divide(F.sum(total) if total else F.sum(F.col(column) * F.col("plays")), F.sum("plays"))
+
+
 def comparison(plays: DataFrame, params: Params = Params()) -> DataFrame:
+    listened = F.sum("ms_total" if "ms_total" in plays.columns else "ms_played")
     return (
         plays.groupBy(*params.listener_keys, "origin")
         .agg(
-            F.count("ms_played").alias("plays"),
-            half_even(F.avg("complete"), 3).alias("complete_rate"),
-            half_even(F.avg("skip"), 3).alias("skip_rate"),
-            half_even(F.avg("ms_played"), 0).alias("mean_ms"),
-            half_even(ratio(F.sum("ms_played"), MS_PER_HOUR), 2).alias("hours"),
+            _count(plays).alias("plays"),
+            half_even(_mean(plays, "complete", "complete_plays"), 3).alias("complete_rate"),
+            half_even(_mean(plays, "skip", "skips"), 3).alias("skip_rate"),
+            half_even(_mean(plays, "ms_played", "ms_total"), 0).alias("mean_ms"),
+            half_even(ratio(listened, MS_PER_HOUR), 2).alias("hours"),
         )
         .withColumn("origin_name", F.try_element_at(literal_map(ORIGIN_NAMES), F.col("origin")))
         .orderBy(*params.listener_keys, "origin")
@@ -84,7 +107,7 @@ def trend(plays: DataFrame, params: Params = Params()) -> DataFrame:
     return (
         plays.filter(F.col("year").isNotNull() & F.col("month").isNotNull())
         .groupBy(*params.listener_keys, "year", "month")
-        .agg(half_even(F.avg("origin"), 3).alias("active_share"), F.count("*").alias("plays"))
+        .agg(half_even(_mean(plays, "origin"), 3).alias("active_share"), _count(plays).alias("plays"))
         .orderBy(*params.listener_keys, "year", "month")
     )
 
@@ -95,7 +118,7 @@ def artists_by_origin(plays: DataFrame, params: Params = Params()) -> DataFrame:
         plays.filter(F.col("artist_name").isNotNull())
         .groupBy(*params.listener_keys, "artist_name")
         .pivot("origin", [0, 1])
-        .count()
+        .agg(_count(plays))
         .select(
             *params.listener_keys,
             "artist_name",
@@ -114,11 +137,11 @@ def artists_by_origin(plays: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def shares(plays: DataFrame, params: Params = Params()) -> DataFrame:
-    mean = F.avg("origin")
+    mean = _mean(plays, "origin")
     return plays.groupBy(*params.listener_keys).agg(
         half_even(mean, 4).alias("active_share"),
         half_even(1 - mean, 4).alias("recommender_share"),
-        F.count("*").alias("plays"),
+        F.coalesce(_count(plays), F.lit(0)).alias("plays"),
     )
 
 
@@ -203,14 +226,15 @@ def origin_result(
 
 def origin_tables(fact: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
     plays = origin_plays(fact, params)
-    compared = comparison(plays)
+    cube = durable(origin_cube(plays, params))
+    compared = comparison(cube)
     fitted = fit_origin_model(plays, params)
     tables = {
-        "origin_comparison": comparison(plays, params) if params.listener_keys else compared,
+        "origin_comparison": comparison(cube, params) if params.listener_keys else compared,
         "origin_diversity": diversity(plays, params),
-        "origin_trend": trend(plays, params),
-        "origin_artists": artists_by_origin(plays, params),
-        "origin_result": origin_result(plays, compared, fitted),
+        "origin_trend": trend(cube, params),
+        "origin_artists": artists_by_origin(cube, params),
+        "origin_result": origin_result(cube, compared, fitted),
     }
     if fitted is not None:
         tables["origin_importance"] = fitted[0]
