@@ -38,14 +38,18 @@ def test_stages_take_effect(spark, folder):
             path = f"{base}/{len(seen)}.parquet"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
-        seen.append(Counter(r.doc_id for r in docs.collect()))
+        kept = docs.collect()
+        seen.append(Counter(r.doc_id for r in kept))
+        if len(seen) == 1:
+            texts = [r.text or "" for r in kept]
     judged, exact, near, decontaminated, mixed = seen
     everything = Counter(r[0] for r in rows)
     assert everything - judged == Counter([304]) or 304 not in judged
     assert all(judged[n] for n in range(100, 200))
     assert 100 not in exact and 300 not in exact and exact[301] == 1
     assert exact[2] == 1  # a repeated row stays once
-    assert sum(exact.values()) == len({r[1] or "" for r in rows if judged[r[0]]})
+    # Two rows have no id, so what the first stage kept is known by its texts.
+    assert sum(exact.values()) == len(set(texts)) and not any("@@ ##" in text for text in texts)
     assert near[302] == 0 or near[101] == 0 or near == exact
     assert decontaminated == near - Counter([303])
     assert mixed == decontaminated
