@@ -13,7 +13,7 @@ from hearlog.llm.decontaminate import contaminated
 from hearlog.llm.exact import content_sort
 from hearlog.llm.mixing import pareto_mix
 from hearlog.llm.quality import judge
-from hearlog.llm.simhash import near_duplicates
+from hearlog.llm.shingles import near_copies
 from hearlog.session import durable
 
 
@@ -42,9 +42,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links, directly or over others, the smallest id stays."""
-    extra = near_duplicates(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(extra, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti").select(docs.columns)
+    """Of documents that are near copies, directly or over others, the smallest id stays.
+
+    Near are five-word shingles of Jaccard similarity 0.8 or more, and what SimHash links.
+    """
+    extra = near_copies(docs).where("NOT kept").select(F.col("doc_id").alias("d"), "text_sha256").distinct()
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    same = (digest == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    return docs.join(extra, same, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
