@@ -431,7 +431,8 @@ def judge(
     held_out: int = 5,
     shrink_bytes: int = 200,
     length_power: float = 0.25,
-    fence: float = 6.0,
+    clean_loss: float = 0.02,
+    fence: float = 2.0,
 ) -> DataFrame:
     """One row per document: ``lang``, ``bytes``, ``perplexity``, ``high``, ``kept``.
 
@@ -441,11 +442,13 @@ def judge(
     had ``shrink_bytes`` more bytes of average text, so that a few words are not judged by
     chance. Log perplexities of long documents lie closer together; their distance from
     the mean is multiplied by (bytes + ``shrink_bytes``) ** ``length_power`` to make it
-    comparable. A language's threshold for it is the third quartile of its held-out
-    documents plus ``fence`` times twice the way from the median to it (and at least 5 % of
-    the mean above it, at the shortest length); what is beyond is unlike the trusted text
-    and goes. Quantiles below the median are left out, as a text that many trusted
-    documents copy is hardly a surprise and would stretch them. ``high`` is the threshold
+    comparable. A language's threshold for it is what all but ``clean_loss`` of its
+    held-out documents stay within; what is beyond is unlike the trusted text and goes.
+    From fewer than 1 / ``clean_loss`` held-out documents that quantile cannot be told:
+    there it is their third quartile plus ``fence`` times twice the way from the median to
+    it (and at least 5 % of the mean above it, at the shortest length). Quantiles below the
+    median are left out of that, as a text that many trusted documents copy is hardly a
+    surprise and would stretch them. ``high`` is the threshold
     as a perplexity, for the document's length.
 
     Documents without bytes, and those of a language without trusted text (null is a
@@ -479,9 +482,14 @@ def judge(
     least = 0.05 * F.col("mean") * float(shrink_bytes) ** length_power
     bounds = (
         with_table(held, means).groupBy("lang", "mean")
-        .agg(F.percentile_approx(distance, [0.5, 0.75], 10_000).alias("q"))
+        .agg(
+            F.percentile_approx(distance, [0.5, 0.75, 1 - clean_loss], 10_000).alias("q"), F.count("*").alias("held")
+        )
         .withColumn("reach", F.greatest(fence * 2 * (F.col("q")[1] - F.col("q")[0]), least))
-        .select("lang", "mean", (F.col("q")[1] + F.col("reach")).alias("most"))
+        .select(
+            "lang", "mean",
+            F.when(F.col("held") * clean_loss >= 1, F.col("q")[2]).otherwise(F.col("q")[1] + F.col("reach")).alias("most"),
+        )
     )
     return with_table(scored, bounds).select(
         F.col("doc").alias(id_col),
