@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearlog.llm import queries
-from hearlog.llm.decontaminate import contaminated
+from hearlog.llm.decontaminate import leaks
 from hearlog.llm.exact import content_sort
 from hearlog.llm.mixing import pareto_mix
 from hearlog.llm.quality import judge
@@ -54,9 +54,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
-    found = contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
-    leaked = found.where("contaminated").select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti").select(docs.columns)
+    leaked = leaks(docs, queries.table(spark, sf_dir, "benchmark")).select(F.col("doc").alias("d"), "text_sha256").distinct()
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    same = (digest == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    return docs.join(leaked, same, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

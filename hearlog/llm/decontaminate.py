@@ -42,6 +42,10 @@ def marked_tokens(text: Column) -> Column:
     return F.filter(F.split(measured, rf"[^\p{{L}}\p{{N}}\p{{M}}{_MARKS}]+"), lambda token: token != "")
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def _is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1).isin(*_MARKS)
 
@@ -79,7 +83,7 @@ def leaks(
     coverage: float = 0.5,
     least_words: int = 4,
 ) -> DataFrame:
-    """Document and item pairs ``(doc, item, coverage)``: the document holds the item.
+    """``(doc, text_sha256, item, coverage)``: the document of that id and text holds the item.
 
     Both sides are windows of ``window`` template tokens. An item shorter than that is one
     window of its own length; items of fewer than ``least_words`` tokens, and windows with
@@ -89,8 +93,8 @@ def leaks(
     unit) always stands for the same value in the document. The document holds the item if
     consistent alignments cover at least ``coverage`` of the item's windows.
 
-    Null texts are empty; empty texts hold nothing. Rows with equal ids count as one
-    document, null ids as well.
+    Null texts are empty; empty texts hold nothing. Rows are told apart by id and text, so
+    rows with equal or null ids hold what their own text does.
     """
     items = (
         benchmark.select(F.col(item_col).alias("item"), marked_tokens(F.col(item_text_col)).alias("tokens"))
@@ -110,21 +114,22 @@ def leaks(
         .where(F.size(F.filter("item_tokens", lambda t: ~_is_slot(t))) * 2 >= F.size("item_tokens"))
     )
     known = own.select("window").distinct()
-    prepared = docs.select(F.col(id_col).alias("doc"), marked_tokens(F.col(text_col)).alias("tokens")).withColumn(
-        "hashes", _template_hashes(F.col("tokens"))
-    )
-    every = _windows(prepared, sizes, "doc")
+    prepared = docs.select(
+        F.col(id_col).alias("doc"), _digest(F.col(text_col)).alias("text_sha256"),
+        marked_tokens(F.col(text_col)).alias("tokens"),
+    ).withColumn("hashes", _template_hashes(F.col("tokens")))
+    every = _windows(prepared, sizes, "doc", "text_sha256")
     words = F.slice("tokens", F.col("at") + 1, F.col("n")).alias("doc_tokens")
     if known.count() <= BROADCAST_WINDOWS:
-        found = every.join(F.broadcast(known), "window", "left_semi").select("doc", "window", "at", words)
+        found = every.join(F.broadcast(known), "window", "left_semi").select("doc", "text_sha256", "window", "at", words)
     else:
-        found = every.select("doc", "window", "at", words).join(known, "window", "left_semi")
+        found = every.select("doc", "text_sha256", "window", "at", words).join(known, "window", "left_semi")
     slots = F.filter(
         F.arrays_zip("item_tokens", "doc_tokens"), lambda pair: _is_slot(pair["item_tokens"])
     )
     alignments = (
         found.join(own, "window")
-        .groupBy("doc", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+        .groupBy("doc", "text_sha256", "item", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(
             F.collect_set("item_at").alias("places"),
             F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
@@ -135,10 +140,10 @@ def leaks(
     )
     windows = own.groupBy("item").agg(F.count("*").alias("windows"))
     return (
-        alignments.groupBy("doc", "item")
+        alignments.groupBy("doc", "text_sha256", "item")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"))
         .join(windows, "item")
-        .select("doc", "item", (F.col("covered") / F.col("windows")).alias("coverage"))
+        .select("doc", "text_sha256", "item", (F.col("covered") / F.col("windows")).alias("coverage"))
         .where(F.col("coverage") >= coverage)
     )
 
@@ -149,13 +154,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The best item is the one covered most, the smallest id among equals. Without benchmark
     rows every document is clean. Settings are those of ``leaks``.
     """
-    best = leaks(docs, benchmark, id_col=id_col, **settings).groupBy("doc").agg(
+    best = leaks(docs, benchmark, id_col=id_col, **settings).groupBy("doc", "text_sha256").agg(
         F.count("*").alias("n_items"),
         F.min(F.struct(-F.col("coverage"), F.col("item"), F.col("coverage"))).alias("best"),
     )
     return (
-        docs.select(F.col(id_col).alias("id"))
-        .join(best, F.col("id").eqNullSafe(F.col("doc")), "left")
+        docs.select(F.col(id_col).alias("id"), _digest(F.col(settings.get("text_col", "text"))).alias("digest"))
+        .join(best, F.col("id").eqNullSafe(F.col("doc")) & (F.col("digest") == F.col("text_sha256")), "left")
         .select(
             F.col("id").alias(id_col),
             F.col("best").isNotNull().alias("contaminated"),

@@ -131,6 +131,26 @@ def test_leaks(spark):
     assert all(r.coverage >= 0.5 for r in got if r.contaminated)
 
 
+def test_rows_that_share_an_id_leak_on_their_own(spark):
+    import corpus_pipeline
+
+    rows = [(None, ITEMS[1][1]), (None, "clean"), (7, ITEMS[1][1]), (7, "clean as well"), (8, "more")]
+    # one item's windows in two recipes of one id, each with values of its own
+    rows += [(9, ITEMS[4][1].replace("3", n)) for n in "46"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = contaminated(docs, items).collect()
+    assert sorted(map(str, [(r.doc_id, r.contaminated) for r in got])) == sorted(map(str, [
+        (None, True), (None, False), (7, True), (7, False), (8, False), (9, True), (9, True),
+    ]))
+    table, corpus_pipeline.queries.table = corpus_pipeline.queries.table, lambda *_: items
+    try:
+        kept = corpus_pipeline.decontaminate(spark, docs, "").collect()
+    finally:
+        corpus_pipeline.queries.table = table
+    assert sorted(r.text for r in kept) == ["clean", "clean as well", "more"]
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     from hearlog.llm import decontaminate
 
