@@ -16,7 +16,10 @@ UNITS = (
 
 #: Types of placeholders, and the mark that a typed token begins with.
 NUMBER, NAME, UNIT = "#", "@", "%"
-_MARKS = NUMBER + NAME + UNIT
+#: Of a capitalised word that may be a name or only begin a sentence.
+MAYBE = "~"
+_SLOTS = NUMBER + NAME + UNIT
+_MARKS = _SLOTS + MAYBE
 
 #: Benchmark windows up to which their hashes are sent to every executor (16 bytes each, 64
 #: MB at most); beyond it, windows of documents and benchmark are joined by shuffling both.
@@ -26,20 +29,24 @@ BROADCAST_WINDOWS = 4_000_000
 def marked_tokens(text: Column) -> Column:
     """The words of a text in order; numbers, names and units keep their value behind a mark.
 
-    Numbers are runs of digits. Names are capitalised words that follow a lower-case
-    letter, a digit or a comma, semicolon or colon, so words that begin a sentence are
-    none. Units are known words behind a number.
+    A number is a run of digits, with its separators and decimals. Names are capitalised
+    words that follow a lower-case letter, a digit or a comma, semicolon or colon. Other
+    capitalised words, as those that begin a sentence, are marked as possible names. Units
+    are known words behind a number. White space of any kind and length is one space.
     """
-    bare = F.translate(F.coalesce(text, F.lit("")), _MARKS, "   ")
+    bare = F.translate(F.coalesce(text, F.lit("")), _MARKS, " " * len(_MARKS))
+    spaced = F.regexp_replace(bare, r"\s{2,}|[\t-\r]", " ")
     # The capital comes first in the pattern, so that few places look back.
-    named = F.regexp_replace(
-        bare, r"(\p{Lu})(?<=[\p{Ll}\p{Nd},;:] \p{Lu})(\p{Ll}+)(?![\p{L}\p{N}])", f"{NAME}$1$2"
-    )
-    counted = F.regexp_replace(named, r"(\p{Nd}+)", f" {NUMBER}$1 ")
+    word = r"(\p{Ll}+)(?![\p{L}\p{N}])"
+    named = F.regexp_replace(spaced, rf"(\p{{Lu}})(?<=[\p{{Ll}}\p{{Nd}},;:] \p{{Lu}}){word}", f"{NAME}$1$2")
+    maybe = F.regexp_replace(named, rf"(\p{{Lu}})(?<![\p{{L}}\p{{N}}\p{{M}}{NAME}]\p{{Lu}}){word}", f"{MAYBE}$1$2")
+    number = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
+    counted = F.regexp_replace(maybe, rf"({number})", f" {NUMBER}$1 ")
     measured = F.regexp_replace(
-        counted, rf"({NUMBER}\p{{Nd}}+) +({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2"
+        counted, rf"({NUMBER}{number}) +({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2"
     )
-    return F.filter(F.split(measured, rf"[^\p{{L}}\p{{N}}\p{{M}}{_MARKS}]+"), lambda token: token != "")
+    between = rf"(?:[^\p{{L}}\p{{N}}\p{{M}}{_MARKS}.,]|(?<!\p{{Nd}})[.,]|[.,](?!\p{{Nd}}))+"
+    return F.filter(F.split(measured, between), lambda token: token != "")
 
 
 def _digest(text: Column) -> Column:
@@ -47,25 +54,63 @@ def _digest(text: Column) -> Column:
 
 
 def _is_slot(token: Column) -> Column:
-    return F.substring(token, 1, 1).isin(*_MARKS)
+    return F.substring(token, 1, 1).isin(*_SLOTS)
 
 
-def _template_hashes(tokens: Column) -> Column:
-    """One number per token: of the mark for a slot, of the lower-cased word otherwise."""
-    return F.transform(
-        tokens, lambda token: F.xxhash64(F.when(_is_slot(token), F.substring(token, 1, 1)).otherwise(F.lower(token)))
-    )
+def _is_maybe(token: Column) -> Column:
+    return F.substring(token, 1, 1) == MAYBE
+
+
+def _value(token: Column) -> Column:
+    """A name is the same whether it begins a sentence or not."""
+    return F.when(_is_maybe(token), F.concat(F.lit(NAME), F.substring(token, 2, 1 << 30))).otherwise(token)
+
+
+def _plain(token: Column) -> Column:
+    return F.lower(F.ltrim(token, F.lit(_MARKS)))
 
 
-def _windows(df: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
-    """One row per window of each size: its hash, place and size; tokens stay beside it."""
+def _hashed(df: DataFrame) -> DataFrame:
+    """With a number per token: of its template, of its value, and 1 for slots, 2 for possible names."""
+    return df.withColumns({
+        "hashes": F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(_plain(t)))),
+        "exact": F.transform("tokens", lambda t: F.xxhash64(_plain(t))),
+        "kinds": F.transform("tokens", lambda t: F.when(_is_slot(t), 1).when(_is_maybe(t), 2).otherwise(0)),
+    })
+
+
+def _windows(df: DataFrame, sizes: list[int], least_words: int, *keys: str) -> DataFrame:
+    """Rows per window of each size: its hash, place and size; tokens stay beside it.
+
+    A window is hashed as a template. One with fewer than half as many plain words as
+    tokens, or of fewer than ``least_words`` tokens, says too little as a template and is
+    hashed by its values. A window with possible names has a second row (``named``), where
+    they are names, unless too few plain words are left.
+    """
+    name = F.xxhash64(F.lit(NAME))
     parts = []
     for n in sizes:
         exploded = df.where(F.size("hashes") >= n).select(
-            *keys, "tokens", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - n)).alias("at")
+            *keys, "tokens", "hashes", "exact", "kinds",
+            F.explode(F.sequence(F.lit(0), F.size("hashes") - n)).alias("at"),
+        )
+        hashes, exact, kinds = ([F.get(c, F.col("at") + k) for k in range(n)] for c in ("hashes", "exact", "kinds"))
+        kinds_here = F.slice("kinds", F.col("at") + 1, F.lit(n))
+        slots = F.size(F.filter(kinds_here, lambda kind: kind == 1))
+        maybe = F.size(F.filter(kinds_here, lambda kind: kind == 2))
+        template = F.xxhash64(F.lit(n), *hashes)
+        if n < least_words:
+            windows = F.array(F.struct(F.xxhash64(F.lit(-n), *exact).alias("window"), F.lit(False).alias("named")))
+        else:
+            first = F.when(slots * 2 > n, F.xxhash64(F.lit(-n), *exact)).otherwise(template)
+            second = F.xxhash64(F.lit(n), *[F.when(k == 2, name).otherwise(h) for k, h in zip(kinds, hashes, strict=True)])
+            one = F.struct(first.alias("window"), F.lit(False).alias("named"))
+            two = F.struct(second.alias("window"), F.lit(True).alias("named"))
+            windows = F.when((maybe > 0) & ((slots + maybe) * 2 <= n), F.array(one, two)).otherwise(F.array(one))
+        parts.append(
+            exploded.select(*keys, "tokens", "at", F.lit(n).alias("n"), F.explode(windows).alias("w"))
+            .select(*keys, "tokens", "at", "n", "w.window", "w.named")
         )
-        digest = F.xxhash64(F.lit(n), *[F.get("hashes", F.col("at") + k) for k in range(n)])
-        parts.append(exploded.select(*keys, "tokens", "at", F.lit(n).alias("n"), digest.alias("window")))
     result = parts[0]
     for part in parts[1:]:
         result = result.union(part)
@@ -86,8 +131,10 @@ def leaks(
     """``(doc, text_sha256, item, coverage)``: the document of that id and text holds the item.
 
     Both sides are windows of ``window`` template tokens. An item shorter than that is one
-    window of its own length; items of fewer than ``least_words`` tokens, and windows with
-    fewer than half as many plain words as tokens, say too little and are left out.
+    window of its own length. Windows with fewer than half as many plain words as tokens,
+    and items of fewer than ``least_words`` tokens, match only where all their values are
+    equal; such items without any slot say too little and are left out. Capitalised words
+    that begin a sentence match as words, and beside it as names.
     A document and an item are aligned by the distance between matching windows. An
     alignment counts if its slots are consistent: one value of the item (a number, name or
     unit) always stands for the same value in the document. The document holds the item if
@@ -96,40 +143,45 @@ def leaks(
     Null texts are empty; empty texts hold nothing. Rows are told apart by id and text, so
     rows with equal or null ids hold what their own text does.
     """
-    items = (
+    items = _hashed(
         benchmark.select(F.col(item_col).alias("item"), marked_tokens(F.col(item_text_col)).alias("tokens"))
-        .where(F.size("tokens") >= least_words).withColumn("hashes", _template_hashes(F.col("tokens")))
-        .distinct()
+        .where((F.size("tokens") >= least_words) | F.exists("tokens", _is_slot)).distinct()
     )
     sizes = sorted({
         row.n for row in items.select(F.least(F.size("tokens"), F.lit(window)).alias("n")).distinct().collect()
     } | {window})
     own = (
-        _windows(items.withColumn("own", F.least(F.size("tokens"), F.lit(window))), sizes, "item", "own")
+        _windows(items.withColumn("own", F.least(F.size("tokens"), F.lit(window))), sizes, least_words, "item", "own")
         .where(F.col("n") == F.col("own"))
         .select(
-            "item", "window", F.col("at").alias("item_at"),
+            "item", "window", F.col("at").alias("item_at"), F.col("named").alias("item_named"),
             F.slice("tokens", F.col("at") + 1, F.col("n")).alias("item_tokens"),
         )
-        .where(F.size(F.filter("item_tokens", lambda t: ~_is_slot(t))) * 2 >= F.size("item_tokens"))
     )
     known = own.select("window").distinct()
-    prepared = docs.select(
+    prepared = _hashed(docs.select(
         F.col(id_col).alias("doc"), _digest(F.col(text_col)).alias("text_sha256"),
         marked_tokens(F.col(text_col)).alias("tokens"),
-    ).withColumn("hashes", _template_hashes(F.col("tokens")))
-    every = _windows(prepared, sizes, "doc", "text_sha256")
+    ))
+    every = _windows(prepared, sizes, least_words, "doc", "text_sha256")
     words = F.slice("tokens", F.col("at") + 1, F.col("n")).alias("doc_tokens")
     if known.count() <= BROADCAST_WINDOWS:
-        found = every.join(F.broadcast(known), "window", "left_semi").select("doc", "text_sha256", "window", "at", words)
+        found = every.join(F.broadcast(known), "window", "left_semi").select("doc", "text_sha256", "window", "at", "named", words)
     else:
-        found = every.select("doc", "text_sha256", "window", "at", words).join(known, "window", "left_semi")
-    slots = F.filter(
-        F.arrays_zip("item_tokens", "doc_tokens"), lambda pair: _is_slot(pair["item_tokens"])
+        found = every.select("doc", "text_sha256", "window", "at", "named", words).join(known, "window", "left_semi")
+    names = F.col("named") | F.col("item_named")
+    slots = F.transform(
+        F.filter(
+            F.arrays_zip("item_tokens", "doc_tokens"),
+            lambda pair: _is_slot(pair["item_tokens"]) | (names & _is_maybe(pair["item_tokens"])),
+        ),
+        lambda pair: F.struct(
+            _value(pair["item_tokens"]).alias("item_tokens"), _value(pair["doc_tokens"]).alias("doc_tokens")
+        ),
     )
     alignments = (
         found.join(own, "window")
-        .groupBy("doc", "text_sha256", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+        .groupBy("doc", "text_sha256", "item", (F.col("at") - F.col("item_at")).alias("shift"), names.alias("names"))
         .agg(
             F.collect_set("item_at").alias("places"),
             F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
@@ -138,7 +190,7 @@ def leaks(
             F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda pair: pair["item_tokens"])))
         )
     )
-    windows = own.groupBy("item").agg(F.count("*").alias("windows"))
+    windows = own.groupBy("item").agg(F.countDistinct("item_at").alias("windows"))
     return (
         alignments.groupBy("doc", "text_sha256", "item")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"))

@@ -151,6 +151,17 @@ def test_rows_that_share_an_id_leak_on_their_own(spark):
     assert sorted(r.text for r in kept) == ["clean", "clean as well", "more"]
 
 
+@pytest.mark.parametrize("item, found, clean", [
+    ("What is 3 + 4 * 5?", "Now, what is 3 + 4 * 5? Say it.", "Now, what is 3 + 4 * 6? Say it."),
+    ("Solve: 12 + 30 - 7 = x", "please solve 12 + 30 - 7 = x", "please solve 12 + 31 - 7 = x"),
+    ("17 * 23", "how much are 17 * 23 then", "how much are 17 * 24 then"),
+])
+def test_items_of_numbers_match_by_value(spark, item, found, clean):
+    docs = spark.createDataFrame([(1, found), (2, clean), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc, r.coverage) for r in leaks(docs, items).collect()] == [(1, 1.0)]
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     from hearlog.llm import decontaminate
 
