@@ -151,32 +151,6 @@ def test_rows_that_share_an_id_leak_on_their_own(spark):
     assert sorted(r.text for r in kept) == ["clean", "clean as well", "more"]
 
 
-@pytest.mark.parametrize("item, found, clean", [
-    ("What is 3 + 4 * 5?", "Now, what is 3 + 4 * 5? Say it.", "Now, what is 3 + 4 * 6? Say it."),
-    ("Solve: 12 + 30 - 7 = x", "please solve 12 + 30 - 7 = x", "please solve 12 + 31 - 7 = x"),
-    ("17 * 23", "how much are 17 * 23 then", "how much are 17 * 24 then"),
-])
-def test_items_of_numbers_match_by_value(spark, item, found, clean):
-    docs = spark.createDataFrame([(1, found), (2, clean), (3, "")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, item)], "item_id long, text string")
-    assert [(r.doc, r.coverage) for r in leaks(docs, items).collect()] == [(1, 1.0)]
-
-
-@pytest.mark.parametrize("item, doc", [
-    ("Tom buys 3 pens for 2 dollars each. Tom sells 2 pens. How much does Tom have left?",
-     "Ann buys 7 pens for 4 dollars each. Ann sells 4 pens. How much does Ann have left?"),
-    ("A jug of 5 litres and a can of 2 litres stand beside the well near the old house.",
-     "A jug of 7.5 litres and a can of 1,250.25 litres stand beside the well near the old house."),
-    ("She ran 5 km and then 3 km.", "She ran 7.5 km and then 3 km."),
-    ("then the teacher asked Tom about the shape of a leaf",
-     "then the teacher asked\n  Ann about the   shape of a leaf"),
-])
-def test_new_names_and_numbers_are_found(spark, item, doc):
-    docs = spark.createDataFrame([(1, doc), (2, item), (3, "none of it")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, item)], "item_id long, text string")
-    assert sorted(r.doc for r in leaks(docs, items).collect()) == [1, 2]
-
-
 def test_leaks_without_broadcast(spark, monkeypatch):
     from hearlog.llm import decontaminate
 
