@@ -4,7 +4,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearlog.llm.covertree import codes
 from hearlog.llm.decontaminate import contaminated
+from hearlog.llm.descent import near_vectors
+from hearlog.llm.dictionaries import clustered
 from hearlog.llm.exact import content_sort
 from hearlog.llm.html import extract
 from hearlog.llm.language import identify
@@ -85,6 +88,21 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
+    return codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_shared_folder(spark)
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -96,6 +114,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pareto_mix": op10_pareto_mix,
+    "op11_covertree": op11_covertree,
+    "op12_dictionaries": op12_dictionaries,
+    "op13_descent": op13_descent,
 }
 
 OP10_SQL = """
@@ -191,7 +212,99 @@ joined AS (
 SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn IS NULL, thread, turn, role) - 1 AS position FROM joined
 """
 
+_FINITE = "len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS (
+  SELECT x.r, x.p, any_value(x.c) AS c, min({{'d': list_inner_product(list_transform(list_zip(x.c, b.c), lambda z: CAST(z[1] - z[2] AS DOUBLE)),
+      list_transform(list_zip(x.c, b.c), lambda z: CAST(z[1] - z[2] AS DOUBLE))), 'e': b.e}}) AS best
+  FROM pieces x JOIN b{n} b ON x.p = b.p GROUP BY x.r, x.p
+)""")
+        if n < rounds:
+            means = ", ".join(f"CAST(floor(sum(c[{i}]) / count(*)) AS BIGINT)" for i in range(1, 5))
+            steps.append(f"""
+b{n + 1} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c
+  FROM b{n} b LEFT JOIN (SELECT p, best.e AS e, [{means}] AS c FROM a{n} GROUP BY ALL) m ON b.p = m.p AND b.e = m.e
+)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}
+),
+pieces AS (SELECT r, p, c[4 * p + 1:4 * p + 4] AS c FROM kept, range(16) parts(p)),
+b0 AS (SELECT p, r - 1 AS e, c FROM pieces WHERE r <= 64),
+{",".join(steps)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r
+),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books
+"""
+
+
+def _op12_sql(rounds: int = 5) -> str:
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS (
+  SELECT x.r, any_value(x.c) AS c, min({{'d': list_inner_product(x.c, x.c) - 2 * list_inner_product(x.c, b.c) + list_inner_product(b.c, b.c), 'k': b.k}}) AS best
+  FROM kept x, b{n} b GROUP BY x.r
+)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (
+  SELECT k, list(mean ORDER BY i) AS c FROM (
+    SELECT best.k AS k, i, floor(sum(c[i]) / count(*)) AS mean FROM a{n}, range(1, 65) places(i) GROUP BY ALL
+  ) GROUP BY k
+),
+b{n + 1} AS (SELECT b.k, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m ON b.k = m.k)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), vec_id) AS r, vec_id,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}
+),
+b0 AS (SELECT r - 1 AS k, c FROM kept WHERE r <= 40),
+{",".join(steps)}
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(b.c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} USING (r) JOIN b{rounds} b ON b.k = best.k
+"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND {_FINITE} AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+),
+links AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reached AS (
+  SELECT i AS origin, j AS reach FROM links
+  UNION
+  SELECT origin, j FROM reached JOIN links ON i = reach
+),
+least AS (SELECT origin, min(reach) AS least FROM reached GROUP BY origin),
+counted AS (SELECT i, count(*) AS n FROM links GROUP BY i)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM embeddings LEFT JOIN counted ON vec_id = i LEFT JOIN least ON vec_id = origin
+"""
+
 ORACLES = {
+    "op11_covertree": _op11_sql(),
+    "op12_dictionaries": _op12_sql(),
+    "op13_descent": OP13_SQL,
     "op3_quotes": OP3_SQL,
     "op10_pareto_mix": OP10_SQL,
     "op9_exact_dedup": """

@@ -68,7 +68,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     registered = entry.queries()
-    for number in range(1, 11):
+    for number in range(1, 14):
         assert sum(name.startswith(f"op{number}_") for name in registered) == 1
     assert registered["pipeline"] is corpus_pipeline.run
     assert set(entry.oracle_sql()) <= set(registered)
