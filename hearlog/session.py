@@ -51,9 +51,12 @@ def durable(df: DataFrame) -> DataFrame:
     they need. The innermost ``temporary_tables`` block around the call removes the table
     again; outside such blocks it is removed when the driver's JVM ends.
     """
+    return _written(df, _collecting.get())
+
+
+def _written(df: DataFrame, paths: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hearlog-{uuid.uuid4().hex}"
-    paths = _collecting.get()
     if paths is not None:
         paths.append(path)
     df.write.parquet(path)
@@ -74,16 +77,18 @@ def _on_storage(spark: SparkSession, path: str):
 
 
 @contextmanager
-def temporary_tables(spark: SparkSession) -> Iterator[None]:
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Delete, at the end of the block, the tables that ``durable`` wrote inside it.
 
     Blocks nest, and threads do not see each other's blocks; ``at_once`` hands the
-    caller's block on to its tasks.
+    caller's block on to its tasks. The block is given a ``durable`` whose tables outlast
+    it: they belong to the block around it.
     """
     paths: list[str] = []
+    around = _collecting.get()
     outer = _collecting.set(paths)
     try:
-        yield
+        yield lambda df: _written(df, around)
     finally:
         _collecting.reset(outer)
         for path in paths:
