@@ -50,7 +50,7 @@ def test_stages_take_effect(spark, folder):
     assert exact[2] == 1  # a repeated row stays once
     # Two rows have no id, so what the first stage kept is known by its texts.
     assert sum(exact.values()) == len(set(texts)) and not any("@@ ##" in text for text in texts)
-    assert near[302] == 0 or near[101] == 0 or near == exact
+    assert near[302] == 0 or near[101] == 0
     assert decontaminated == near - Counter([303])
     assert mixed == decontaminated
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, base).collect()) == mixed

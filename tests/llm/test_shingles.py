@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from test_duplicates import brute_print
 from texts import SCHEMA, documents
@@ -68,11 +69,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("paired", [64, 3])
-def test_near_copies_equal_brute_force(spark, paired):
-    """Also where groups count as large (paired=3)."""
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_near_copies_equal_brute_force(spark, chunk):
+    """Also where groups are cut into many chunks (chunk=3)."""
     rows = corpus()
-    got = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), paired=paired).collect()
+    got = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk=chunk).collect()
     want = sorted((str(i), shingles_digest(t), kept) for (i, t), kept in zip(rows, brute_kept(rows), strict=True))
     assert sorted((str(r.doc_id), r.text_sha256, r.kept) for r in got) == want
     assert 0 < sum(r.kept for r in got) < len(got)
@@ -81,11 +82,55 @@ def test_near_copies_equal_brute_force(spark, paired):
 def test_common_shingles_come_last(spark, monkeypatch):
     monkeypatch.setattr(shingles, "SAMPLED", 1)
     rows = corpus()
-    got = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), gathered=8).collect()
     want = sorted((str(i), shingles_digest(t), kept) for (i, t), kept in zip(rows, brute_kept(rows), strict=True))
     assert sorted((str(r.doc_id), r.text_sha256, r.kept) for r in got) == want
 
 
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for size in (1, 40, 64, 65, 500, 9000):
+        pool = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+        for _ in range(20):
+            one, two = (np.unique(rng.choice(pool, rng.integers(1, size + 1))) for _ in range(2))
+            a, b = shingles.sketch(one), shingles.sketch(two)
+            width = min(len(a), len(b))
+            differ = np.bitwise_count(shingles.folded(a[None], width) ^ shingles.folded(b[None], width)).sum()
+            assert differ <= len(np.setxor1d(one, two))
+
+
+def groups_of(spark, rows, **settings):
+    """Texts that stay, and how many rows were compared exactly."""
+    compared = []
+    before = shingles._compared
+
+    def counting(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return before(pairs, sets, similarity)
+
+    shingles._compared = counting
+    try:
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        kept = [r.doc_id for r in shingles.near_copies(frame, **settings).where("kept").collect()]
+    finally:
+        shingles._compared = before
+    return sorted(kept), sum(compared)
+
+
+def test_a_large_group_of_near_copies_costs_few_comparisons(spark):
+    base = text(5, 150)
+    rows = [(n, edited(base, *random.Random(n).sample(range(150), 2))) for n in range(2000)]
+    kept, compared = groups_of(spark, rows)
+    assert kept == [0] and compared < 5 * len(rows)
+
+
+def test_texts_that_share_a_third_of_their_words_are_not_compared(spark):
+    shared = text(6, 40)
+    rows = [(n, f"{shared} {text(10_000 + n, 80)}") for n in range(2000)]
+    kept, compared = groups_of(spark, rows)
+    assert kept == list(range(2000)) and compared < len(rows)
+
+
 def test_stage_removes_a_copy_of_four_fifths(spark, tmp_path):
     """Far outside two of 64 bits, but similar by 0.8."""
     base = text(1, 204)
