@@ -2,10 +2,13 @@
 
 Every stage takes the documents its predecessor kept. Documents are matched with an
 operator's result by id, null ids included; what the result says of the text (digest,
-length) is compared as well, so that rows which share an id are told apart.
+length) is compared as well, so that rows which share an id are told apart. The names of
+the columns that a stage adds meanwhile are drawn, so all columns of documents come through.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearlog.llm import queries
@@ -16,29 +19,44 @@ from hearlog.llm.quality import judge
 from hearlog.llm.shingles import near_copies
 from hearlog.session import durable
 
+#: Rows that go up to which they are sent to every executor (about 100 bytes each); beyond
+#: it, the documents are shuffled to them.
+BROADCAST_ROWS = 500_000
+
+
+def _digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
+def _matched(docs: DataFrame, rows: DataFrame, keys: list[Column], how: str) -> DataFrame:
+    """``docs`` joined ``how`` with ``rows``, whose columns equal ``keys`` of ``docs`` null-safe."""
+    rows = durable(rows.toDF(*[f"_{uuid.uuid4().hex}" for _ in keys]).distinct())
+    same = F.lit(True)
+    for key, column in zip(keys, rows.columns, strict=True):
+        same = same & key.eqNullSafe(F.col(column))
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, same, how)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of trusted text rejects go."""
     judged = judge(docs, queries.trusted(spark, sf_dir))
-    rejected = judged.where("NOT kept").select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), "bytes").distinct()
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("d")) & F.col("lang").eqNullSafe(F.col("l"))
-        & (F.octet_length(F.coalesce("text", F.lit(""))) == F.col("bytes"))
-    )
-    return docs.join(rejected, same, "left_anti").select(docs.columns)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    gone = judged.where("NOT kept").select("doc_id", "lang", F.col("bytes").cast("long"))
+    return _matched(docs, gone, [F.col("doc_id"), F.col("lang"), size], "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the largest id, repeated rows once."""
-    kept = content_sort(docs, keep="largest").where("kept").select(F.col("doc_id").alias("d"), "text_sha256")
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    repeats = Window.partitionBy("digest", "doc_id").orderBy("lang", "source", "n_chars")
-    return (
-        docs.withColumn("digest", digest)
-        .join(kept, (F.col("digest") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-        .withColumn("repeat", F.row_number().over(repeats)).where("repeat = 1")
-        .select(docs.columns)
+    marks = durable(
+        content_sort(docs, keep="largest").groupBy("doc_id", "text_sha256")
+        .agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
     )
+    keys = [F.col("doc_id"), _digest()]
+    single = _matched(docs, marks.where("NOT stays OR rows > 1").select("doc_id", "text_sha256"), keys, "left_anti")
+    repeated = _matched(docs, marks.where("stays AND rows > 1").select("doc_id", "text_sha256"), keys, "left_semi")
+    turn = f"_{uuid.uuid4().hex}"
+    first = Window.partitionBy(*keys).orderBy(F.to_json(F.struct(*docs.columns)))
+    return single.union(repeated.withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,18 +64,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near are five-word shingles of Jaccard similarity 0.8 or more, and what SimHash links.
     """
-    extra = near_copies(docs).where("NOT kept").select(F.col("doc_id").alias("d"), "text_sha256").distinct()
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    same = (digest == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    return docs.join(extra, same, "left_anti").select(docs.columns)
+    gone = near_copies(docs).where("NOT kept").select("doc_id", "text_sha256")
+    return _matched(docs, gone, [F.col("doc_id"), _digest()], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
-    leaked = leaks(docs, queries.table(spark, sf_dir, "benchmark")).select(F.col("doc").alias("d"), "text_sha256").distinct()
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    same = (digest == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    return docs.join(leaked, same, "left_anti").select(docs.columns)
+    gone = leaks(docs, queries.table(spark, sf_dir, "benchmark")).select("doc", "text_sha256")
+    return _matched(docs, gone, [F.col("doc_id"), _digest()], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
