@@ -2,6 +2,7 @@ import inspect
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from texts import SCHEMA, documents, prose
 
 import corpus_pipeline
@@ -56,6 +57,28 @@ def test_stages_take_effect(spark, folder):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, base).collect()) == mixed
 
 
+def test_stages_keep_every_column(spark, folder, tmp_path):
+    """Whatever the columns are called, values come through; and no others are needed."""
+    base, rows = folder
+    names = ["d", "l", "bytes", "digest", "repeat", "text_sha256", "kept", "doc", "node", "root", "r", "size", "lang_pred", "rows"]
+    plain = spark.read.parquet(f"{base}/documents.parquet")
+    full = plain.drop("r", "doc").withColumns({name: F.concat(F.lit(f"{name} "), F.coalesce("text", F.lit("-"))) for name in names})
+    full.write.parquet(str(tmp_path / "full.parquet"))
+    least = plain.select("doc_id", "text", "lang", "source")
+    for docs in (spark.read.parquet(str(tmp_path / "full.parquet")), least):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, base)
+            assert docs.columns == columns
+            path = f"{tmp_path}/{len(columns)}-{name}.parquet"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+        left = docs.collect()
+        assert 50 < len(left) < len(rows)
+        if len(columns) > 4:
+            assert all(r[name] == f"{name} {r.text if r.text is not None else '-'}" for r in left for name in names)
+
+
 def test_stages_on_empty_documents(spark, folder, tmp_path):
     base, _ = folder
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "e.parquet"))
