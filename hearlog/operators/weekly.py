@@ -1,5 +1,7 @@
 """Weekly listening profiles: one vector per week, clustered and named."""
 
+from functools import reduce
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from hearlog.functions import labels
 from hearlog.functions.calendar import week_label
 from hearlog.functions.rounding import MS_PER_HOUR, half_even
+from hearlog.operators import clusters
 from hearlog.params import Params
 from hearlog.session import at_once, durable, sized
 from hearlog.vocabulary import (
@@ -30,35 +33,54 @@ def dated_plays(fact: DataFrame) -> DataFrame:
 
 
 def week_vectors(fact: DataFrame, params: Params = Params()) -> DataFrame:
+    """One row per week with enough plays. Plays are summed up per artist and track first,
+    so what counts distinct ones goes over far fewer rows."""
     keys = [*params.listener_keys, "year", "week"]
-    complete = F.coalesce(labels.is_complete(F.col("ms_played"), params.complete_ms), F.lit(0))
-    weeks = dated_plays(fact).groupBy(*keys).agg(
-        (F.coalesce(F.sum("ms_played"), F.lit(0)) / MS_PER_HOUR).alias("week_hours"),
-        F.count("ms_played").alias("week_plays"),
+    per_play = {
+        "skip_rate": labels.flag(F.col("skipped")),
+        "complete_rate": F.coalesce(labels.is_complete(F.col("ms_played"), params.complete_ms), F.lit(0)),
+        "active_rate": labels.is_active(F.col("reason_start")),
+        "music_rate": (F.col("content_type") == "music").cast("int"),
+        "podcast_rate": (F.col("content_type") == "podcast").cast("int"),
+        "mean_hour": F.col("hour"),
+    }
+    tracks = dated_plays(fact).groupBy(*keys, "artist_name", "track_uri").agg(
+        F.sum("ms_played").alias("ms"),
+        F.count("ms_played").alias("plays"),
+        *[F.sum(value).alias(f"sum_{name}") for name, value in per_play.items()],
+        *[F.count(value).alias(f"n_{name}") for name, value in per_play.items()],
+    )
+    weeks = tracks.groupBy(*keys).agg(
+        (F.coalesce(F.sum("ms"), F.lit(0)) / MS_PER_HOUR).alias("week_hours"),
+        F.sum("plays").alias("week_plays"),
         F.countDistinct("artist_name").alias("unique_artists"),
         F.countDistinct("track_uri").alias("unique_tracks"),
-        F.avg(labels.flag(F.col("skipped"))).alias("skip_rate"),
-        F.avg(complete).alias("complete_rate"),
-        F.avg(labels.is_active(F.col("reason_start"))).alias("active_rate"),
-        F.avg((F.col("content_type") == "music").cast("int")).alias("music_rate"),
-        F.avg((F.col("content_type") == "podcast").cast("int")).alias("podcast_rate"),
-        F.avg("hour").alias("mean_hour"),
+        *[F.try_divide(F.sum(f"sum_{name}"), F.sum(f"n_{name}")).alias(name) for name in per_play],
     )
-    per_play = F.col("unique_tracks") / F.greatest(F.col("week_plays"), F.lit(1))
+    per_track = F.col("unique_tracks") / F.greatest(F.col("week_plays"), F.lit(1))
     return weeks.filter(F.col("week_plays") >= params.min_week_plays).withColumn(
-        "diversity", half_even(per_play, 3)
+        "diversity", half_even(per_track, 3)
     )
 
 
-def scaled_weeks(weeks: DataFrame) -> DataFrame:
-    """The nine features with mean 0 and population deviation 1; constant ones become 0."""
+def scaled_weeks(weeks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The nine features with mean 0 and population deviation 1; constant ones become 0.
+
+    With ``keys``, within each of their values. A key's weeks are few, as the calendar has.
+    """
     filled = weeks.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in FEATURES})
-    moments = filled.agg(
-        *[F.avg(f).alias(f"_mean_{f}") for f in FEATURES],
-        *[F.stddev_pop(f).alias(f"_dev_{f}") for f in FEATURES],
-    )
+    if keys:
+        own = Window.partitionBy(*keys)
+        moments = filled.withColumns(
+            {f"_mean_{f}": F.avg(f).over(own) for f in FEATURES} | {f"_dev_{f}": F.stddev_pop(f).over(own) for f in FEATURES}
+        )
+    else:
+        moments = filled.crossJoin(F.broadcast(filled.agg(
+            *[F.avg(f).alias(f"_mean_{f}") for f in FEATURES],
+            *[F.stddev_pop(f).alias(f"_dev_{f}") for f in FEATURES],
+        )))
     return (
-        filled.crossJoin(F.broadcast(moments))
+        moments
         .withColumns({
             f"z_{f}": F.coalesce(
                 F.try_divide(F.col(f) - F.col(f"_mean_{f}"), F.col(f"_dev_{f}")), F.lit(0.0)
@@ -120,17 +142,48 @@ def cluster_weeks(
     return clustered, weeks.sparkSession.createDataFrame(scores, "k int, silhouette double")
 
 
-def cluster_profiles(clustered: DataFrame) -> DataFrame:
-    """Centre of every cluster in original units, and its name.
+def listener_groups(weeks: DataFrame, params: Params = Params()) -> DataFrame:
+    """One row per listener with enough weeks: the weeks, and their scaled features as points."""
+    keys = params.listener_keys
+    scaled = scaled_weeks(weeks, keys)
+    groups = clusters.in_groups(scaled, list(keys), ["year", "week"], [f"z_{f}" for f in FEATURES])
+    return groups.filter((F.size("points") >= params.min_weeks) & (F.floor(F.size("points") / 3) > 2))
+
+
+def cluster_listeners(weeks: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Each listener's weeks in clusters of their own, and the silhouette of every k tried.
+
+    Listeners with too few weeks have no rows. All are fitted in one pass, whatever their
+    number; nothing about a listener reaches the driver.
+    """
+    keys = params.listener_keys
+    fit = clusters.searched(params.max_clusters, params.search_starts, params.final_starts, params.seed)
+    found = durable(clusters.fitted(
+        listener_groups(weeks, params), fit, {"clusters": "int", "ks": "int", "silhouettes": "double"}
+    ))
+    return one_per_week(found, weeks, keys), found.select(
+        *keys, F.explode(F.arrays_zip("ks", "silhouettes")).alias("s")
+    ).select(*keys, F.col("s.ks").alias("k"), F.col("s.silhouettes").alias("silhouette"))
+
+
+def one_per_week(found: DataFrame, weeks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The weeks of fitted groups, each with its cluster."""
+    rows = found.select(*keys, F.explode(F.arrays_zip("rows", "clusters")).alias("w"))
+    columns = [F.col(f"w.rows.{c}").alias(c) for c in weeks.columns if c not in keys]
+    return rows.select(*keys, *columns, F.col("w.clusters").alias("cluster"))
+
+
+def cluster_profiles(clustered: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Centre of every cluster in original units, and its name, for each value of ``keys``.
 
-    There are at most ``max_clusters`` rows here, so quartiles over them are cheap.
+    A value has at most ``max_clusters`` rows here, so quartiles over them are cheap.
     """
-    centres = clustered.groupBy("cluster").agg(
+    centres = clustered.groupBy(*keys, "cluster").agg(
         *[F.avg(F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f) for f in FEATURES]
     )
 
     def over_centres(feature: str, share: float):
-        return F.percentile(feature, share).over(Window.partitionBy())
+        return F.percentile(feature, share).over(Window.partitionBy(*keys))
 
     marathon = F.col("week_hours") > F.col("_hours_q75")
     name = (
@@ -151,20 +204,24 @@ def cluster_profiles(clustered: DataFrame) -> DataFrame:
         over_centres("diversity", 0.75).alias("_diversity_q75"),
         over_centres("skip_rate", 0.75).alias("_skip_q75"),
         over_centres("active_rate", 0.5).alias("_active_q50"),
-    ).select("cluster", name.alias("profile"), *FEATURES)
+    ).select(*keys, "cluster", name.alias("profile"), *FEATURES)
 
 
-def named_weeks(clustered: DataFrame, profiles: DataFrame) -> DataFrame:
+def named_weeks(clustered: DataFrame, profiles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Weeks with cluster and profile name."""
-    names = F.broadcast(profiles.select("cluster", "profile"))
-    return clustered.join(names, "cluster", "left")
+    if not keys:
+        return clustered.join(F.broadcast(profiles.select("cluster", "profile")), "cluster", "left")
+    on = (*keys, "cluster")
+    names = profiles.select(*[F.col(c).alias(f"_{c}") for c in on], "profile")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on])
+    return clustered.join(names, same, "left").drop(*[f"_{c}" for c in on])
 
 
-def profiles_by_year(weeks: DataFrame) -> DataFrame:
+def profiles_by_year(weeks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return (
-        weeks.groupBy("year", "cluster", "profile")
+        weeks.groupBy(*keys, "year", "cluster", "profile")
         .agg(F.count("*").alias("weeks"))
-        .orderBy("year", "cluster")
+        .orderBy(*keys, "year", "cluster")
     )
 
 
@@ -175,52 +232,65 @@ def weeks_by_month(weeks: DataFrame, fact: DataFrame, params: Params = Params())
     return weeks.join(months, keys, "left")
 
 
-def profiles_by_month(weeks: DataFrame, fact: DataFrame, params: Params = Params()) -> DataFrame:
+def profiles_by_month(
+    weeks: DataFrame, fact: DataFrame, params: Params = Params(), keys: tuple[str, ...] = ()
+) -> DataFrame:
     """Weeks per month and profile; a week that spans two months counts in both."""
     return (
         weeks_by_month(weeks, fact, params)
         .filter(F.col("month").isNotNull())
-        .groupBy("month", "cluster", "profile")
+        .groupBy(*keys, "month", "cluster", "profile")
         .agg(F.count("*").alias("weeks"))
-        .orderBy("month", "cluster")
+        .orderBy(*keys, "month", "cluster")
     )
 
 
-def rounded_profiles(profiles: DataFrame) -> DataFrame:
+def rounded_profiles(profiles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return profiles.select(
-        "cluster", "profile", *[half_even(F.col(f), 3).alias(f) for f in FEATURES]
-    ).orderBy("cluster")
+        *keys, "cluster", "profile", *[half_even(F.col(f), 3).alias(f) for f in FEATURES]
+    ).orderBy(*keys, "cluster")
 
 
-def week_result(weeks: DataFrame, profiles: DataFrame, scores: DataFrame) -> DataFrame:
-    """One-row result document of the weekly profiles."""
-    best = scores.agg(half_even(F.max("silhouette"), 4).alias("silhouette_score"))
-    found = rounded_profiles(profiles).agg(
+def week_result(
+    weeks: DataFrame, profiles: DataFrame, scores: DataFrame, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """The result document of the weekly profiles: one row, or one per value of ``keys``."""
+    best = scores.groupBy(*keys).agg(half_even(F.max("silhouette"), 4).alias("silhouette_score"))
+    found = rounded_profiles(profiles, keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("cluster", "profile", *FEATURES))).alias("profiles"),
         F.count("*").cast("int").alias("best_k"),
     )
+    counted = weeks.groupBy(*keys).agg(F.count("*").alias("weeks_analysed"))
+    if keys:
+        # A listener has a row in all three or in none.
+        counted = counted.unionByName(best, True).unionByName(found, True).groupBy(*keys).agg(*[
+            F.first(c, ignorenulls=True).alias(c) for c in ("weeks_analysed", "silhouette_score", "profiles", "best_k")
+        ])
+    else:
+        counted = counted.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(found))
     return (
-        weeks.agg(F.count("*").alias("weeks_analysed"))
-        .crossJoin(F.broadcast(best))
-        .crossJoin(F.broadcast(found))
+        counted
         .withColumn("model", F.lit(WEEK_MODEL))
         .withColumn("verdict", F.format_string(WEEK_VERDICT, F.col("best_k")))
     )
 
 
 def weekly_tables(fact: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
-    found = cluster_weeks(week_vectors(fact, params), params)
-    if found is None:
+    """The tables of the weekly profiles: of one listener, or of each where there are keys."""
+    keys = params.listener_keys
+    vectors = week_vectors(fact, params)
+    found = cluster_listeners(vectors, params) if keys else cluster_weeks(vectors, params)
+    if found is None or keys and found[1].isEmpty():
         return {}
     clustered, scores = found
-    profiles = cluster_profiles(clustered)
-    weeks = named_weeks(clustered, profiles)
-    columns = [*params.listener_keys, "year", "week", "cluster", "profile", *FEATURES]
+    profiles = cluster_profiles(clustered, keys)
+    weeks = named_weeks(clustered, profiles, keys)
+    columns = [*keys, "year", "week", "cluster", "profile", *FEATURES]
     return {
         "week_profiles": weeks.select(*columns),
-        "week_centres": rounded_profiles(profiles),
+        "week_centres": rounded_profiles(profiles, keys),
         "week_silhouette": scores,
-        "week_profiles_by_year": profiles_by_year(weeks),
-        "week_profiles_by_month": profiles_by_month(weeks, fact, params),
-        "week_result": week_result(weeks, profiles, scores),
+        "week_profiles_by_year": profiles_by_year(weeks, keys),
+        "week_profiles_by_month": profiles_by_month(weeks, fact, params, keys),
+        "week_result": week_result(weeks, profiles, scores, keys),
     }

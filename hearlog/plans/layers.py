@@ -152,11 +152,15 @@ def run_models(fact: DataFrame, params: Params = Params()) -> dict[str, DataFram
 
 
 def model_summary(results: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
-    """One row with the result documents of all models side by side."""
+    """One row with the result documents of all models side by side; of a model that has a
+    result per listener, how many listeners and weeks it covers."""
     summary = spark.range(1).select(F.current_timestamp().alias("written_at"))
     for name in ("origin_result", "week_result", "skip_result"):
         if name in results:
-            document = results[name].select(F.struct("*").alias(name))
+            found = results[name]
+            if name == "week_result" and found.columns[0] != "weeks_analysed":
+                found = found.agg(F.count("*").alias("listeners"), F.sum("weeks_analysed").alias("weeks_analysed"))
+            document = found.select(F.struct("*").alias(name))
             summary = summary.crossJoin(F.broadcast(document))
     return summary
 
@@ -168,7 +172,7 @@ def write_models(
     with temporary_tables(spark):
         results = run_models(fact, params)
         for name, df in results.items():
-            if name.endswith("_result"):
+            if name.endswith("_result") and not (name == "week_result" and params.listener_keys):
                 shown = publish(name, df) if published else df
                 shown_name = published_name(name) if published else name
                 tables.write_document(shown, f"{root}/{shown_name}")

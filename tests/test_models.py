@@ -1,13 +1,17 @@
 import math
 import random
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from hearlog.operators import evaluate, fatigue, origin, sequence, weekly
+from hearlog.operators import clusters, evaluate, fatigue, origin, sequence, weekly
 from hearlog.params import Params
+from hearlog.plans import layers
 from hearlog.plans.layers import run_models
+from hearlog.sources import tables as tables_
 from tests.plays import fact_plays
 
 LIGHT = Params(forest_trees=4, boost_rounds=2, boost_depth=2, folds=3, search_starts=2, final_starts=2, max_clusters=3)
@@ -156,3 +160,62 @@ def test_skip_tables_drop_small_groups(spark):
     context = sequence.skip_context(fact_plays(spark, *[{"start_ms": i * 3_600_000} for i in range(12)]))
     assert [tuple(r) for r in fatigue.skip_by_position(context).collect()] == [(0, 0.0, 12)]
     assert fatigue.skip_by_position(context, Params(min_bucket_plays=13)).isEmpty()
+
+
+def listeners(spark, sizes):
+    """Each listener's weeks: loud and quiet ones alternate; one key is null."""
+    fact = None
+    for name, weeks in sizes.items():
+        one = history(spark, weeks=weeks).withColumn("listener_id", F.lit(name).cast("string"))
+        fact = one if fact is None else fact.union(one)
+    return fact
+
+
+def test_each_listener_has_clusters_of_their_own(spark):
+    fact, params = listeners(spark, {"a": 24, "b": 18, None: 12, "few": 8}), replace(LIGHT, listener_keys=("listener_id",))
+    tables = weekly.weekly_tables(fact, params)
+    results = {r["listener_id"]: r for r in tables["week_result"].collect()}
+    assert {k: r["weeks_analysed"] for k, r in results.items()} == {"a": 24, "b": 18, None: 12}
+    assert all(r["best_k"] == 2 and len(r["profiles"]) == 2 and "2" in r["verdict"] for r in results.values())
+    assert tables["week_profiles"].count() == 54 and tables["week_profiles"].where("profile IS NULL").isEmpty()
+    assert tables["week_profiles_by_year"].agg(F.sum("weeks")).first()[0] == 54
+    assert {r["listener_id"] for r in tables["week_centres"].collect()} == {"a", "b", None}
+    # A listener's tables do not depend on who else is stored, nor on how rows are dealt.
+    alone = weekly.weekly_tables(listeners(spark, {"b": 18}).repartition(5), params)["week_profiles"]
+    columns = ["year", "week", "cluster", "profile"]
+    assert alone.select(*columns).exceptAll(tables["week_profiles"].where("listener_id = 'b'").select(*columns)).isEmpty()
+    assert weekly.weekly_tables(listeners(spark, {"few": 8}), params) == {}
+
+
+def test_written_models_per_listener(spark, tmp_path):
+    fact, params = listeners(spark, {"a": 12, "b": 12}), replace(LIGHT, listener_keys=("listener_id",))
+    layers.write_models(fact, str(tmp_path), params)
+    assert tables_.read_table(spark, f"{tmp_path}/week_result").count() == 2
+    assert spark.read.json(f"{tmp_path}/summary").first()["week_result"].asDict() == {"listeners": 2, "weeks_analysed": 24}
+
+
+def test_rounds_of_lloyd_by_hand():
+    points = np.array([[0.0], [1.0], [9.0], [10.0], [11.0]])
+    own, centres = clusters.lloyd(points, np.array([[[0.0], [1.0], [50.0]]]), rounds=1)
+    assert own.tolist() == [[0, 1, 1, 1, 1]] and centres.ravel().tolist() == [0.0, 7.75, 50.0]
+    own, centres = clusters.lloyd(points, np.array([[[0.0], [1.0], [50.0]]]))
+    assert own.tolist() == [[0, 0, 1, 1, 1]] and centres.ravel().tolist() == [0.5, 10.0, 50.0]
+    same = np.zeros((6, 2))
+    assert clusters.best_fit(same, 3, range(4)).tolist() == [0] * 6
+    assert clusters.mean_silhouette(same, np.array([0, 0, 0, 1, 1, 1])) == 0
+
+
+def test_silhouette_of_groups_equals_the_distributed_one(spark):
+    rng = np.random.default_rng(2)
+    points, own = rng.normal(size=(60, 9)), rng.integers(0, 4, 60)
+    own[7] = 9
+    rows = [(int(c), Vectors.dense(p)) for c, p in zip(own, points, strict=True)]
+    distributed = weekly.silhouette(spark.createDataFrame(rows, ["cluster", "features"]))
+    assert clusters.mean_silhouette(points, own) == pytest.approx(distributed, abs=1e-9)
+
+
+def test_weeks_are_counted_without_tripling_the_plays(spark):
+    """Distinct counts go over artists and tracks of a week, not over its plays."""
+    plan = weekly.week_vectors(history(spark))._jdf.queryExecution().optimizedPlan().toString()
+    expanded = plan[plan.index("Expand"):]
+    assert "Aggregate" in expanded and "artist_name" in expanded
