@@ -22,7 +22,7 @@ from hearlog.llm.simhash import BITS, fingerprint_bits, near_links
 from hearlog.session import durable, temporary_tables
 
 #: Members of a group of sets that one task compares with one another.
-CHUNK = 1024
+CHUNK = 512
 
 #: One text in so many is asked for common shingles, those that SEEN of them hold.
 SAMPLED, SEEN = 20, 3
@@ -42,7 +42,7 @@ BROADCAST_TEXTS = 4_000_000
 
 #: Entries that a task packs at a time, and members that a group of tasks' rows holds.
 PACKED = 1 << 20
-MEMBERS = 50_000
+MEMBERS = 20_000
 
 def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
     """Ascending distinct 64-bit codes of the shingles of a UTF-8 text.

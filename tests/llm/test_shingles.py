@@ -69,7 +69,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
+@pytest.mark.parametrize("chunk", [512, 3])
 def test_near_copies_equal_brute_force(spark, chunk):
     """Also where groups are cut into many chunks (chunk=3)."""
     rows = corpus()
