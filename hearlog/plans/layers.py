@@ -28,17 +28,28 @@ def _store(name: str, df: DataFrame, root: str, published: bool, partitions: tup
     return name
 
 
-def land(spark: SparkSession, source: str, root: str) -> dict[str, DataFrame]:
+def land(
+    spark: SparkSession, source: str, root: str, large: int = landing.LARGE
+) -> dict[str, DataFrame]:
     """Land export files as they are, with manifest, field profile, rejects and summary.
 
-    The source is read once. The landed copy holds the bytes and the number of records of
-    each file; the records are a table of their own, which all else reads.
+    The source is read once, but for files too large for one row, whose records are read in
+    byte ranges. The landed copy holds the bytes of each file; records, and their number by
+    file, are tables of their own.
     """
     prepare_session(spark)
-    tables.write_table(landing.with_count(landing.landing(spark, source)), f"{root}/files")
+    tables.write_table(landing.landing(spark, source, large=large), f"{root}/files")
     files = tables.read_table(spark, f"{root}/files")
-    tables.write_table(landing.records(files), f"{root}/records")
-    records = tables.read_table(spark, f"{root}/records")
+
+    def stored(found: DataFrame) -> DataFrame:
+        tables.write_table(found, f"{root}/records")
+        return tables.read_table(spark, f"{root}/records")
+
+    with temporary_tables(spark):
+        records, counts = landing.records_and_counts(files, stored)
+        tables.write_table(counts, f"{root}/record_counts")
+    counts = tables.read_table(spark, f"{root}/record_counts")
+    files = files.join(counts, "path", "left")
     tables.write_table(landing.manifest(files, f"{root}/files"), f"{root}/manifest")
     tables.write_table(landing.field_profile(records), f"{root}/field_profile")
     tables.write_table(landing.rejects(files), f"{root}/rejects")

@@ -1,17 +1,29 @@
 """Raw export files: landing table, records, manifest, field profile, summary.
 
 An export file is one row with its bytes; its records are a table of their own, so that
-all work behind the landing splits by record. The export tool bounds the size of a file.
+all work behind the landing splits by record. A file too large for that is a row without
+bytes, and its records are read in byte ranges (see ``split``).
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearlog.sources.export_format import FIELDS, FILE_GLOB, NUMBERED_FILE, TYPE_LABELS
+from hearlog.sources.split import split_records
+
+#: Bytes from which a file is not held in one row. Spark's binary source ends at 2 GB.
+LARGE = 256 << 20
 
 
-def landing(spark: SparkSession, path: str | list[str], glob: str = FILE_GLOB) -> DataFrame:
-    """Export files under ``path`` with their bytes; an error when there are none."""
+def landing(
+    spark: SparkSession, path: str | list[str], glob: str = FILE_GLOB, large: int = LARGE
+) -> DataFrame:
+    """Export files under ``path`` with their bytes; an error when there are none.
+
+    Of files of ``large`` bytes or more the bytes are null and not read.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -20,7 +32,9 @@ def landing(spark: SparkSession, path: str | list[str], glob: str = FILE_GLOB) -
     )
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {glob} under {path}")
-    return prefer_numbered(files)
+    columns = files.columns
+    rest = files.where(F.col("length") >= large).drop("content").withColumn("content", F.lit(None).cast("binary"))
+    return prefer_numbered(files.where(F.col("length") < large).union(rest.select(columns)))
 
 
 def prefer_numbered(files: DataFrame) -> DataFrame:
@@ -41,7 +55,7 @@ def with_payload(files: DataFrame) -> DataFrame:
     """Add ``payload``, the array of records in a file: the file itself, or the first
     value of its object. Null when that is not an array.
     """
-    text = F.col("content").cast("string")
+    text = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
     wrapped = F.get(F.map_values(F.from_json(text, "map<string,variant>")), F.lit(0))
     parsed = F.coalesce(
         F.from_json(text, "array<variant>"),
@@ -69,6 +83,29 @@ def records(files: DataFrame, on_bad_file: str = "skip") -> DataFrame:
     return with_payload(files).select("path", F.posexplode(items).alias("position", "record"))
 
 
+def records_and_counts(files: DataFrame, store: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(records of all files, as ``store`` has put them away; ``path, record_count`` of each).
+
+    A file is parsed once, when its records are stored; only files that gave none are
+    looked at again, to tell an empty array from none.
+    """
+    spark = files.sparkSession
+    found = records(files.where("content IS NOT NULL"))
+    # There are no more of these than the data has multiples of ``LARGE``.
+    large = [row["path"] for row in files.where("content IS NULL").select("path").collect()]
+    known = None
+    if large:
+        split, known = split_records(spark, large, "*")
+        found = found.union(split)
+    stored = store(found)
+    counted = stored.groupBy("path").agg(F.count("*").alias("record_count"))
+    silent = files.where("content IS NOT NULL").join(counted, "path", "left_anti")
+    counts = counted.union(with_count(silent).select("path", "record_count"))
+    if known is not None:
+        counts = counts.unionByName(known.join(counted, "path", "left_anti"))
+    return stored, counts
+
+
 def rejects(files: DataFrame) -> DataFrame:
     """Files that hold no array of records."""
     return (
@@ -164,7 +201,7 @@ def read_history(
     ``listener_pattern`` is a regular expression whose first group, found in the file
     path, names the listener; without it all files belong to one listener.
     """
-    plays = history_from_records(records(landing(spark, path, glob)))
+    plays = history_from_records(records_and_counts(landing(spark, path, glob), lambda found: found)[0])
     if listener_pattern:
         plays = plays.withColumn("listener_id", F.regexp_extract("path", listener_pattern, 1))
     return plays
