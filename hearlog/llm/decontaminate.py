@@ -7,6 +7,8 @@ the hashes of benchmark items find the documents.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearlog.session import durable
+
 #: Units of measurement that are typed when they follow a number.
 UNITS = (
     "km cm mm m kg mg g ml cl l h min s ms kmh mph kwh mb gb tb "
@@ -26,7 +28,7 @@ BROADCAST_WINDOWS = 4_000_000
 def marked_tokens(text: Column) -> Column:
     """The words of a text in order; numbers, names and units keep their value behind a mark.
 
-    Numbers are runs of digits. Names are capitalised words that follow a lower-case
+    Numbers are runs of digits, with points and commas between digits. Names are capitalised words that follow a lower-case
     letter, a digit or a comma, semicolon or colon, so words that begin a sentence are
     none. Units are known words behind a number.
     """
@@ -35,11 +37,13 @@ def marked_tokens(text: Column) -> Column:
     named = F.regexp_replace(
         bare, r"(\p{Lu})(?<=[\p{Ll}\p{Nd},;:] \p{Lu})(\p{Ll}+)(?![\p{L}\p{N}])", f"{NAME}$1$2"
     )
-    counted = F.regexp_replace(named, r"(\p{Nd}+)", f" {NUMBER}$1 ")
+    counted = F.regexp_replace(named, r"(\p{Nd}+(?:[.,]\p{Nd}+)*)", f" {NUMBER}$1 ")
     measured = F.regexp_replace(
-        counted, rf"({NUMBER}\p{{Nd}}+) +({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2"
+        counted, rf"({NUMBER}[\p{{Nd}}.,]+) +({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2"
     )
-    return F.filter(F.split(measured, rf"[^\p{{L}}\p{{N}}\p{{M}}{_MARKS}]+"), lambda token: token != "")
+    # Points and commas are parts of a token only within numbers.
+    apart = rf"(?:[^\p{{L}}\p{{N}}\p{{M}}{_MARKS}.,]|(?<!\p{{Nd}})[.,]|[.,](?!\p{{Nd}}))+"
+    return F.filter(F.split(measured, apart), lambda token: token != "")
 
 
 def _digest(text: Column) -> Column:
@@ -57,19 +61,15 @@ def _template_hashes(tokens: Column) -> Column:
     )
 
 
-def _windows(df: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
-    """One row per window of each size: its hash, place and size; tokens stay beside it."""
-    parts = []
-    for n in sizes:
-        exploded = df.where(F.size("hashes") >= n).select(
-            *keys, "tokens", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - n)).alias("at")
-        )
-        digest = F.xxhash64(F.lit(n), *[F.get("hashes", F.col("at") + k) for k in range(n)])
-        parts.append(exploded.select(*keys, "tokens", "at", F.lit(n).alias("n"), digest.alias("window")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.union(part)
-    return result
+def _opening(hashes: Column, at: Column | int, n: Column | int) -> Column:
+    """What windows of one begin with: a hash of one or two template tokens."""
+    return F.xxhash64(F.slice(hashes, at + 1, F.least(F.lit(2), F.lit(n) if isinstance(n, int) else n)))
+
+
+def _window(tokens: Column, hashes: Column, at: Column, n: Column, exact: Column) -> Column:
+    """A hash of the window of ``n`` tokens: of the tokens themselves if ``exact``, else of its template."""
+    words = F.transform(F.slice(tokens, at + 1, n), F.lower)
+    return F.when(exact, F.xxhash64(F.lit("exact"), words)).otherwise(F.xxhash64(F.slice(hashes, at + 1, n)))
 
 
 def leaks(
@@ -85,9 +85,11 @@ def leaks(
 ) -> DataFrame:
     """``(doc, text_sha256, item, coverage)``: the document of that id and text holds the item.
 
-    Both sides are windows of ``window`` template tokens. An item shorter than that is one
-    window of its own length; items of fewer than ``least_words`` tokens, and windows with
-    fewer than half as many plain words as tokens, say too little and are left out.
+    Both sides are windows of ``window`` template tokens; an item shorter than that is one
+    window of its own length. A window with fewer than ``least_words`` plain words, or fewer
+    than half as many as it has tokens, says too little as a template: it is matched by its
+    tokens themselves, in lower case. Items without any token are held by no document.
+
     A document and an item are aligned by the distance between matching windows. An
     alignment counts if its slots are consistent: one value of the item (a number, name or
     unit) always stands for the same value in the document. The document holds the item if
@@ -95,40 +97,62 @@ def leaks(
 
     Null texts are empty; empty texts hold nothing. Rows are told apart by id and text, so
     rows with equal or null ids hold what their own text does.
+
+    A text is tokenised once. Its places are tested for how a window may begin, and only
+    windows at places that pass are hashed.
     """
     items = (
         benchmark.select(F.col(item_col).alias("item"), marked_tokens(F.col(item_text_col)).alias("tokens"))
-        .where(F.size("tokens") >= least_words).withColumn("hashes", _template_hashes(F.col("tokens")))
-        .distinct()
+        .where(F.size("tokens") > 0).distinct().withColumn("hashes", _template_hashes(F.col("tokens")))
     )
-    sizes = sorted({
-        row.n for row in items.select(F.least(F.size("tokens"), F.lit(window)).alias("n")).distinct().collect()
-    } | {window})
-    own = (
-        _windows(items.withColumn("own", F.least(F.size("tokens"), F.lit(window))), sizes, "item", "own")
-        .where(F.col("n") == F.col("own"))
-        .select(
-            "item", "window", F.col("at").alias("item_at"),
-            F.slice("tokens", F.col("at") + 1, F.col("n")).alias("item_tokens"),
-        )
-        .where(F.size(F.filter("item_tokens", lambda t: ~_is_slot(t))) * 2 >= F.size("item_tokens"))
-    )
-    known = own.select("window").distinct()
+    n = F.least(F.size("tokens"), F.lit(window))
+    placed = items.select("*", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("tokens") - n)).alias("item_at"))
+    item_tokens = F.slice("tokens", F.col("item_at") + 1, F.col("n"))
+    placed = placed.withColumn("item_tokens", item_tokens)
+    plain = F.size(F.filter("item_tokens", lambda token: ~_is_slot(token)))
+    placed = placed.withColumn("exact", (plain < least_words) | (plain * 2 < F.col("n")))
+    own = durable(placed.select(
+        "item", "item_at", "n", "exact", "item_tokens",
+        _opening(F.col("hashes"), F.col("item_at"), F.col("n")).alias("opening"), F.least("n", F.lit(2)).alias("opens"),
+        _window(F.col("tokens"), F.col("hashes"), F.col("item_at"), F.col("n"), F.col("exact")).alias("window"),
+    ))
+    # There are at most ``window`` lengths, matched in two ways.
+    kinds = sorted((row["n"], row["exact"]) for row in own.select("n", "exact").distinct().collect())
+
+    def known(column: str) -> DataFrame:
+        found = own.select(column).distinct()
+        return F.broadcast(found) if found.count() <= BROADCAST_WINDOWS else found
+
     prepared = docs.select(
         F.col(id_col).alias("doc"), _digest(F.col(text_col)).alias("text_sha256"),
         marked_tokens(F.col(text_col)).alias("tokens"),
     ).withColumn("hashes", _template_hashes(F.col("tokens")))
-    every = _windows(prepared, sizes, "doc", "text_sha256")
-    words = F.slice("tokens", F.col("at") + 1, F.col("n")).alias("doc_tokens")
-    if known.count() <= BROADCAST_WINDOWS:
-        found = every.join(F.broadcast(known), "window", "left_semi").select("doc", "text_sha256", "window", "at", words)
+    openings = [_opening(F.col("hashes"), F.col("at"), opens) for opens in sorted({min(n, 2) for n, _ in kinds})] or [F.lit(0).cast("long")]
+    places = prepared.where(F.size("tokens") > 0).select(
+        "*", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at")
+    )
+    if len(openings) == 1:
+        places = places.withColumn("opening", openings[0])
     else:
-        found = every.select("doc", "text_sha256", "window", "at", words).join(known, "window", "left_semi")
+        places = places.withColumn("opening", F.explode(F.array(*openings)))
+    places = places.join(known("opening"), "opening", "left_semi")
+    windows = [
+        F.when(F.size("tokens") >= F.col("at") + n, F.struct(
+            F.lit(n).alias("n"), _window(F.col("tokens"), F.col("hashes"), F.col("at"), F.lit(n), F.lit(exact)).alias("window")
+        )) for n, exact in kinds
+    ] or [F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("window"))]
+    every = places.select(
+        "doc", "text_sha256", "tokens", "at", F.explode(F.filter(F.array(*windows), lambda w: w.isNotNull())).alias("w")
+    ).select(
+        "doc", "text_sha256", "at", F.col("w.window").alias("window"), F.slice("tokens", F.col("at") + 1, F.col("w.n")).alias("doc_tokens")
+    )
+    # A place may pass by both of its openings.
+    found = every.join(known("window"), "window", "left_semi").distinct()
     slots = F.filter(
         F.arrays_zip("item_tokens", "doc_tokens"), lambda pair: _is_slot(pair["item_tokens"])
     )
     alignments = (
-        found.join(own, "window")
+        found.join(own.select("item", "item_at", "item_tokens", "window"), "window")
         .groupBy("doc", "text_sha256", "item", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(
             F.collect_set("item_at").alias("places"),
@@ -138,11 +162,11 @@ def leaks(
             F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda pair: pair["item_tokens"])))
         )
     )
-    windows = own.groupBy("item").agg(F.count("*").alias("windows"))
+    windows_of = own.groupBy("item").agg(F.count("*").alias("windows"))
     return (
         alignments.groupBy("doc", "text_sha256", "item")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"))
-        .join(windows, "item")
+        .join(windows_of, "item")
         .select("doc", "text_sha256", "item", (F.col("covered") / F.col("windows")).alias("coverage"))
         .where(F.col("coverage") >= coverage)
     )

@@ -1,10 +1,12 @@
+import random
+import re
 from collections import defaultdict
 
 import pytest
 from texts import SCHEMA, documents, prose
 
 from hearlog.llm.common import running_total
-from hearlog.llm.decontaminate import contaminated, leaks
+from hearlog.llm.decontaminate import UNITS, contaminated, leaks
 from hearlog.llm.mixing import pareto_mix
 
 
@@ -126,7 +128,7 @@ def test_leaks(spark):
     got = contaminated(frame, items).collect()
     assert len(got) == len(docs)
     flagged = {(r.doc_id, r.item_id, r.n_items) for r in got if r.contaminated}
-    assert flagged == {(0, 1, 1), (1, 1, 1), (2, 2, 1), (8, 5, 1), (10, 2, 2), (None, 2, 1)}
+    assert flagged == {(0, 1, 1), (1, 1, 1), (2, 2, 1), (6, 3, 1), (8, 5, 1), (10, 2, 2), (None, 2, 1)}
     assert sum(r.doc_id == 10 for r in got) == 2
     assert all(r.coverage >= 0.5 for r in got if r.contaminated)
 
@@ -168,3 +170,85 @@ def test_leaks_of_empty_tables(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(none, items).count() == 0
     assert [r.contaminated for r in contaminated(docs, empty).collect()] == [False]
+
+
+def brute_tokens(text):
+    """(type, value) of the tokens of an ASCII text; the type of a plain word is the word."""
+    found = []
+    for match in re.finditer(r"\d+(?:[.,]\d+)*|[A-Za-z]+", text or ""):
+        word, start = match[0], match.start()
+        if word[0].isdigit():
+            found.append(("#", word))
+        elif found and found[-1][0] == "#" and word in UNITS and text[:start].rstrip(" ")[-1:].isdigit():
+            found.append(("%", word))
+        elif re.fullmatch(r"[A-Z][a-z]+", word) and re.search(r"[a-z\d,;:] $", text[:start]):
+            found.append(("@", word))
+        else:
+            found.append((word.lower(), word))
+    return found
+
+
+def brute_leaks(docs, items, window=8, least=4):
+    """(doc, item, covered share) of everything held, by trying every window at every place."""
+    held = set()
+    for doc, text in docs:
+        tokens = brute_tokens(text)
+        for item, item_text in items:
+            own = brute_tokens(item_text)
+            n = min(window, len(own))
+            shifts = {}
+            for a in range(len(own) - n + 1 if own else 0):
+                cut = own[a:a + n]
+                plain = sum(t not in "#@%" for t, _ in cut)
+                exact = plain < least or 2 * plain < n
+                for b in range(len(tokens) - n + 1):
+                    other = tokens[b:b + n]
+                    if [t for t, _ in cut] == [t for t, _ in other] and (
+                        not exact or [v.lower() for _, v in cut] == [v.lower() for _, v in other]
+                    ):
+                        shifts.setdefault(b - a, []).append((a, list(zip(cut, other, strict=True))))
+            covered = set()
+            for matches in shifts.values():
+                stands_for = {}
+                for _, pairs in matches:
+                    for (kind, value), (_, other) in pairs:
+                        if kind in "#@%":
+                            stands_for.setdefault((kind, value), set()).add(other)
+                if all(len(values) == 1 for values in stands_for.values()):
+                    covered |= {a for a, _ in matches}
+            if own and len(covered) >= 0.5 * (len(own) - n + 1):
+                held.add((doc, item, round(len(covered) / (len(own) - n + 1), 9)))
+    return held
+
+
+def test_leaks_equal_trying_every_window(spark):
+    rng = random.Random(9)
+    words = "add the of and to Rome Ann km kg 3 4 7.5 1,250 12 3 sum is a what".split()
+
+    def text(n):
+        return " ".join(rng.choice(words) + rng.choice(["", "", "", ",", ".", "?"]) for _ in range(n))
+
+    items = [(i, text(rng.choice([1, 2, 3, 5, 8, 9, 14]))) for i in range(40)] + [(90, ""), (91, None), (92, "?!")]
+    docs = []
+    for d in range(120):
+        held = rng.choice(items)[1] or ""
+        changed = re.sub(r"\b3\b", rng.choice(["3", "9", "2.25"]), held)
+        docs.append((d, f"{text(rng.randrange(12))} {rng.choice([held, changed, changed.upper()])} {text(rng.randrange(12))}"))
+    want = brute_leaks(docs, items)
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc, r.item, round(r.coverage, 9)) for r in got} == want and len(got) == len(want)
+    assert len(want) > 150 and len({item for _, item, _ in want}) > 25
+
+
+@pytest.mark.parametrize("item, held, clean", [
+    ("What is 3 + 4 * 5?", "x What is 3 + 4 * 5? y", "x What is 3 + 4 * 6? y"),
+    ("Capital of France", "Capital of France", "Capital of Spain, France"),
+    ("She ran 5 km and then 3 km before lunch on Monday.", "She ran 7.5 km and then 2.5 km before lunch on Monday.",
+     "She ran 7.5 km or even 2.5 km after lunch on Monday."),
+    ("Pay 1,250 euros of 2,000 euros that you owe by the end.", "Pay 10.50 euros of 20 euros that you owe by the end.",
+     "Pay 10.50 euros of 20 kg that you owe by the end."),
+])
+def test_short_numeric_and_decimal_items(spark, item, held, clean):
+    docs = spark.createDataFrame([(1, held), (2, clean)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.doc_id for r in contaminated(docs, items).collect() if r.contaminated] == [1]
