@@ -25,6 +25,10 @@ _MARKS = NUMBER + NAME + UNIT
 BROADCAST_WINDOWS = 4_000_000
 
 
+#: Tokens by which a place is tested before its windows are hashed.
+OPENING = 4
+
+
 def marked_tokens(text: Column) -> Column:
     """The words of a text in order; numbers, names and units keep their value behind a mark.
 
@@ -61,14 +65,19 @@ def _template_hashes(tokens: Column) -> Column:
     )
 
 
-def _opening(hashes: Column, at: Column | int, n: Column | int) -> Column:
-    """What windows of one begin with: a hash of one or two template tokens."""
-    return F.xxhash64(F.slice(hashes, at + 1, F.least(F.lit(2), F.lit(n) if isinstance(n, int) else n)))
+def _bare(token: Column) -> Column:
+    """A token as it is compared by itself: in lower case, whatever its type."""
+    return F.lower(F.translate(token, _MARKS, ""))
+
+
+def _opening(hashes: str, at: Column, n: int) -> Column:
+    """A hash of the ``n`` tokens that a window begins with."""
+    return F.xxhash64(F.lit(n), *[F.get(hashes, at + k) for k in range(n)])
 
 
 def _window(tokens: Column, hashes: Column, at: Column, n: Column, exact: Column) -> Column:
     """A hash of the window of ``n`` tokens: of the tokens themselves if ``exact``, else of its template."""
-    words = F.transform(F.slice(tokens, at + 1, n), F.lower)
+    words = F.transform(F.slice(tokens, at + 1, n), _bare)
     return F.when(exact, F.xxhash64(F.lit("exact"), words)).otherwise(F.xxhash64(F.slice(hashes, at + 1, n)))
 
 
@@ -101,9 +110,10 @@ def leaks(
     A text is tokenised once. Its places are tested for how a window may begin, and only
     windows at places that pass are hashed.
     """
+    word_hashes = F.transform("tokens", lambda token: F.xxhash64(_bare(token)))
     items = (
         benchmark.select(F.col(item_col).alias("item"), marked_tokens(F.col(item_text_col)).alias("tokens"))
-        .where(F.size("tokens") > 0).distinct().withColumn("hashes", _template_hashes(F.col("tokens")))
+        .where(F.size("tokens") > 0).distinct().withColumns({"hashes": _template_hashes(F.col("tokens")), "words": word_hashes})
     )
     n = F.least(F.size("tokens"), F.lit(window))
     placed = items.select("*", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("tokens") - n)).alias("item_at"))
@@ -113,7 +123,10 @@ def leaks(
     placed = placed.withColumn("exact", (plain < least_words) | (plain * 2 < F.col("n")))
     own = durable(placed.select(
         "item", "item_at", "n", "exact", "item_tokens",
-        _opening(F.col("hashes"), F.col("item_at"), F.col("n")).alias("opening"), F.least("n", F.lit(2)).alias("opens"),
+        F.coalesce(*[
+            F.when((F.col("n") >= k) & (F.col("exact") == exact), _opening("words" if exact else "hashes", F.col("item_at"), k))
+            for k in range(OPENING, 0, -1) for exact in (True, False)
+        ]).alias("opening"),
         _window(F.col("tokens"), F.col("hashes"), F.col("item_at"), F.col("n"), F.col("exact")).alias("window"),
     ))
     # There are at most ``window`` lengths, matched in two ways.
@@ -127,7 +140,11 @@ def leaks(
         F.col(id_col).alias("doc"), _digest(F.col(text_col)).alias("text_sha256"),
         marked_tokens(F.col(text_col)).alias("tokens"),
     ).withColumn("hashes", _template_hashes(F.col("tokens")))
-    openings = [_opening(F.col("hashes"), F.col("at"), opens) for opens in sorted({min(n, 2) for n, _ in kinds})] or [F.lit(0).cast("long")]
+    if any(exact for _, exact in kinds):
+        prepared = prepared.withColumn("words", word_hashes)
+    openings = [
+        _opening("words" if exact else "hashes", F.col("at"), k) for k, exact in sorted({(min(n, OPENING), exact) for n, exact in kinds})
+    ] or [F.lit(0).cast("long")]
     places = prepared.where(F.size("tokens") > 0).select(
         "*", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at")
     )
@@ -146,11 +163,12 @@ def leaks(
     ).select(
         "doc", "text_sha256", "at", F.col("w.window").alias("window"), F.slice("tokens", F.col("at") + 1, F.col("w.n")).alias("doc_tokens")
     )
-    # A place may pass by both of its openings.
+    # A place may pass by several openings.
     found = every.join(known("window"), "window", "left_semi").distinct()
-    slots = F.filter(
-        F.arrays_zip("item_tokens", "doc_tokens"), lambda pair: _is_slot(pair["item_tokens"])
-    )
+    pairs = F.filter(F.arrays_zip("item_tokens", "doc_tokens"), lambda pair: _is_slot(pair["item_tokens"]))
+    slots = F.transform(pairs, lambda pair: F.struct(
+        F.lower(pair["item_tokens"]).alias("item_tokens"), _bare(pair["doc_tokens"]).alias("doc_tokens")
+    ))
     alignments = (
         found.join(own.select("item", "item_at", "item_tokens", "window"), "window")
         .groupBy("doc", "text_sha256", "item", (F.col("at") - F.col("item_at")).alias("shift"))

@@ -203,9 +203,8 @@ def brute_leaks(docs, items, window=8, least=4):
                 exact = plain < least or 2 * plain < n
                 for b in range(len(tokens) - n + 1):
                     other = tokens[b:b + n]
-                    if [t for t, _ in cut] == [t for t, _ in other] and (
-                        not exact or [v.lower() for _, v in cut] == [v.lower() for _, v in other]
-                    ):
+                    column = 1 if exact else 0
+                    if [t[column].lower() for t in cut] == [t[column].lower() for t in other]:
                         shifts.setdefault(b - a, []).append((a, list(zip(cut, other, strict=True))))
             covered = set()
             for matches in shifts.values():
@@ -213,7 +212,7 @@ def brute_leaks(docs, items, window=8, least=4):
                 for _, pairs in matches:
                     for (kind, value), (_, other) in pairs:
                         if kind in "#@%":
-                            stands_for.setdefault((kind, value), set()).add(other)
+                            stands_for.setdefault((kind, value.lower()), set()).add(other.lower())
                 if all(len(values) == 1 for values in stands_for.values()):
                     covered |= {a for a, _ in matches}
             if own and len(covered) >= 0.5 * (len(own) - n + 1):
