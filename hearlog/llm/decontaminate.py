@@ -20,6 +20,9 @@ UNITS = (
 NUMBER, NAME, UNIT = "#", "@", "%"
 _MARKS = NUMBER + NAME + UNIT
 
+#: What a point or comma between two digits becomes, so that a number is one token.
+_POINT = "\x1f"
+
 #: Benchmark windows up to which their hashes are sent to every executor (16 bytes each, 64
 #: MB at most); beyond it, windows of documents and benchmark are joined by shuffling both.
 BROADCAST_WINDOWS = 4_000_000
@@ -32,22 +35,21 @@ OPENING = 4
 def marked_tokens(text: Column) -> Column:
     """The words of a text in order; numbers, names and units keep their value behind a mark.
 
-    Numbers are runs of digits, with points and commas between digits. Names are capitalised words that follow a lower-case
+    Numbers are runs of digits, with points or commas (alike) between digits. Names are capitalised words that follow a lower-case
     letter, a digit or a comma, semicolon or colon, so words that begin a sentence are
     none. Units are known words behind a number.
     """
-    bare = F.translate(F.coalesce(text, F.lit("")), _MARKS, "   ")
+    bare = F.translate(F.coalesce(text, F.lit("")), _MARKS + _POINT, "    ")
     # The capital comes first in the pattern, so that few places look back.
     named = F.regexp_replace(
         bare, r"(\p{Lu})(?<=[\p{Ll}\p{Nd},;:] \p{Lu})(\p{Ll}+)(?![\p{L}\p{N}])", f"{NAME}$1$2"
     )
-    counted = F.regexp_replace(named, r"(\p{Nd}+(?:[.,]\p{Nd}+)*)", f" {NUMBER}$1 ")
+    joined = F.regexp_replace(named, r"[.,](?<=\p{Nd}[.,])(?=\p{Nd})", _POINT)
+    counted = F.regexp_replace(joined, rf"(\p{{Nd}}[\p{{Nd}}{_POINT}]*)", f" {NUMBER}$1 ")
     measured = F.regexp_replace(
-        counted, rf"({NUMBER}[\p{{Nd}}.,]+) +({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2"
+        counted, rf"({NUMBER}[\p{{Nd}}{_POINT}]+) +({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2"
     )
-    # Points and commas are parts of a token only within numbers.
-    apart = rf"(?:[^\p{{L}}\p{{N}}\p{{M}}{_MARKS}.,]|(?<!\p{{Nd}})[.,]|[.,](?!\p{{Nd}}))+"
-    return F.filter(F.split(measured, apart), lambda token: token != "")
+    return F.filter(F.split(measured, rf"[^\p{{L}}\p{{N}}\p{{M}}{_MARKS}{_POINT}]+"), lambda token: token != "")
 
 
 def _digest(text: Column) -> Column:
