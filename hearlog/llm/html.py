@@ -53,6 +53,8 @@ LAYOUT_WORDS = frozenset(
     "nav navbar navigation menu menubar sidebar sidenav aside rail header masthead topbar toolbar footer bottombar "
     "banner form search overlay widget widgets notice alert share sharing social tags related hidden".split()
 )
+#: Words of the readers' part, which may well be longer than the article.
+READER_WORDS = frozenset("comment comments commentlist disqus replies respond reply".split())
 CONTAINERS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -64,15 +66,15 @@ _CLOSES = {
 _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",)}
 
 
-NO, LAYOUT, YES = range(3)
+NO, LAYOUT, WORDS, READERS, YES = range(5)
 
 
 @dataclass(slots=True)
 class Element:
     tag: str
     parent: int
-    path: str
-    aside: int  # whether it is left out: NO, by LAYOUT words only, or YES
+    path: int  # number of the tag path from the root
+    aside: int  # whether it is left out: NO, YES, or by words only: LAYOUT, other WORDS, or READERS
     inside: bool  # in an article or main element, or one itself
 
 
@@ -102,30 +104,67 @@ def _is_aside(tag: str, attributes: dict[str, str]) -> int:
         or "hidden" in attributes
         or attributes.get("aria-hidden", "").lower() == "true"
         or re.search(r"display\s*:\s*none", attributes.get("style", "")) is not None
-        or words - LAYOUT_WORDS
     ):
         return YES
+    if words & READER_WORDS:
+        return READERS
+    if words - LAYOUT_WORDS:
+        return WORDS
     return LAYOUT if words and tag != "article" else NO
 
 
+def _last(elements: list[Element]) -> list[int]:
+    """The last element inside each; elements are in page order, so what lies between is inside too."""
+    last = list(range(len(elements)))
+    for number in range(len(elements) - 1, 0, -1):
+        last[elements[number].parent] = max(last[elements[number].parent], last[number])
+    return last
+
+
+def _totals(elements: list[Element], sizes: list[int]) -> list[int]:
+    """Per element, the sum of ``sizes`` over it and all inside it."""
+    total = list(sizes)
+    for number in range(len(elements) - 1, 0, -1):  # children follow their parents
+        total[elements[number].parent] += total[number]
+    return total
+
+
+def _sizes(elements: list[Element], leaves: list[Leaf], out: set[int]) -> list[int]:
+    """Characters inside each element, but for parts whose kind is in ``out``."""
+    gone = [element.aside in out for element in elements]
+    for number in range(1, len(elements)):
+        gone[number] |= gone[elements[number].parent]
+    sizes = [0] * len(elements)
+    for leaf in leaves:
+        if not gone[leaf.element]:
+            sizes[leaf.element] += len(leaf.text)
+    return _totals(elements, sizes)
+
+
 def settle(elements: list[Element], leaves: list[Leaf], share: float = 0.8) -> None:
-    """Decides on elements with layout words, then hands each decision on to what is inside.
+    """Decides on elements with words of other parts, then hands each decision on to what is inside.
 
-    They stay in if they hold a main element, or ``share`` of the text that is not left
-    out for other reasons.
+    Words weigh less than what an element holds. It stays in if it holds a main or article
+    element that is none of these itself. Where no such element lies elsewhere, it also
+    stays if it holds ``share`` of the text of the page, or of the container around it, or
+    is the page's only article; the readers' part does not, long as it may be. Layout words
+    alone ask for a main element or ``share`` of the text that is left then.
     """
-    out = [element.aside == YES for element in elements]
-    holds_main = [element.tag == "main" for element in elements]
-    for number in range(1, len(elements)):  # children follow their parents
-        out[number] |= out[elements[number].parent]
-    size = [0] * len(elements)
-    for leaf in leaves:
-        if not out[leaf.element]:
-            size[leaf.element] += len(leaf.text)
-    for number in range(len(elements) - 1, 0, -1):
-        above = elements[number].parent
-        size[above] += size[number]
-        holds_main[above] |= holds_main[number]
+    holds_main = _totals(elements, [int(element.tag == "main") for element in elements])
+    plain = _totals(elements, [int(e.tag in CONTAINERS and e.aside in (NO, LAYOUT)) for e in elements])
+    articles = sum(element.tag == "article" for element in elements)
+    size = _sizes(elements, leaves, {YES})
+    around = [0] * len(elements)  # the next container above, or the page
+    for number, element in enumerate(elements[1:], 1):
+        above = element.parent
+        around[number] = above if elements[above].tag in CONTAINERS and elements[above].aside in (NO, LAYOUT) else around[above]
+        if element.aside not in (WORDS, READERS):
+            continue
+        own = around[number]
+        others = plain[own] - (own > 0) - plain[number]
+        fits = size[number] > 0 and size[number] >= share * size[own] or element.tag == "article" and articles == 1
+        element.aside = NO if plain[number] or element.aside == WORDS and not others and fits else YES
+    size = _sizes(elements, leaves, {YES})
     for number, element in enumerate(elements):
         if element.aside == LAYOUT and (holds_main[number] or size[number] >= share * size[0]):
             element.aside = NO
@@ -135,14 +174,28 @@ def settle(elements: list[Element], leaves: list[Leaf], share: float = 0.8) -> N
 
 def parse(page: str) -> tuple[list[Element], list[Leaf]]:
     """The block elements of a page and its text leaves, in page order."""
-    elements = [Element("", -1, "", NO, False)]
+    elements = [Element("", -1, 0, NO, False)]
     leaves: list[Leaf] = []
+    paths: dict[tuple[int, str], int] = {}
     stack = [0]
+    opened: defaultdict[str, int] = defaultdict(int)  # open elements by tag
     links = 0  # open links
     inline_aside: list[str] = []  # open inline tags of an inline part that is not the article
     pending: list[str] = []
     linked = at = 0
 
+    def close_to(place: int) -> None:
+        for number in stack[place:]:
+            opened[elements[number].tag] -= 1
+        del stack[place:]
+
+    def close(tag: str) -> None:
+        """Closes the last open element of this tag, and what is open inside it."""
+        place = len(stack) - 1
+        while elements[stack[place]].tag != tag:
+            place -= 1
+        close_to(place)
+
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(pending)).split())
@@ -181,12 +234,11 @@ def parse(page: str) -> tuple[list[Element], list[Leaf]]:
                 if inline_aside and inline_aside[-1] == tag:
                     inline_aside.pop()
                 continue
-            if tag == "p" or any(elements[e].tag == tag for e in stack):
+            if tag == "p" or opened[tag]:
                 flush()
                 links, inline_aside = 0, []
-                if any(elements[e].tag == tag for e in stack):
-                    while elements[stack.pop()].tag != tag:
-                        pass
+                if opened[tag]:
+                    close(tag)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>|\Z", re.IGNORECASE).search(page, at)
@@ -199,23 +251,22 @@ def parse(page: str) -> tuple[list[Element], list[Leaf]]:
                 add(" ")
             elif tag == "a":
                 links += 1
-            elif tag not in VOID and (inline_aside or _is_aside(tag, _attributes(attributes_text))):
+            elif tag not in VOID and (inline_aside or _is_aside(tag, _attributes(attributes_text)) != NO):
                 inline_aside.append(tag)
             continue
         flush()
         links, inline_aside = 0, []
         if tag in VOID:
             continue
-        if any(elements[e].tag == "p" for e in stack):  # a paragraph holds no blocks
-            while elements[stack.pop()].tag != "p":
-                pass
-        if tag in _CLOSES:
+        if opened["p"]:  # a paragraph holds no blocks
+            close("p")
+        if any(opened[other] for other in _CLOSES.get(tag, ())):
             scope = _SCOPES.get(tag, ())
             for place in range(len(stack) - 1, 0, -1):
                 if elements[stack[place]].tag in scope:
                     break
                 if elements[stack[place]].tag in _CLOSES[tag]:
-                    del stack[place:]
+                    close_to(place)
                     break
         attributes = _attributes(attributes_text)
         above = elements[stack[-1]]
@@ -224,9 +275,10 @@ def parse(page: str) -> tuple[list[Element], list[Leaf]]:
             own = NO  # an article's own header: only its headings count, see below
         name = ".".join([tag, *sorted(_words(attributes))])
         elements.append(Element(
-            tag, stack[-1], f"{above.path}/{name}", own, above.inside or tag in CONTAINERS
+            tag, stack[-1], paths.setdefault((above.path, name), len(paths) + 1), own, above.inside or tag in CONTAINERS
         ))
         stack.append(len(elements) - 1)
+        opened[tag] += 1
     add(tail)
     flush()
     settle(elements, leaves)
@@ -269,28 +321,25 @@ def main_text(page: str | None, threshold: float = 0.5, share: float = 0.7) -> s
     if not page:
         return ""
     elements, leaves = parse(page)
-
-    def wanted(leaf: Leaf) -> bool:
-        element = elements[leaf.element]
-        if element.aside:
-            return False
-        at, header = leaf.element, False
-        while at > 0:
-            header = header or elements[at].tag == "header"
-            at = elements[at].parent
-        return not header or element.tag in HEADINGS
-
-    leaves = [leaf for leaf in leaves if wanted(leaf)]
+    header = [False] * len(elements)
+    for number, element in enumerate(elements[1:], 1):
+        header[number] = element.tag == "header" or header[element.parent]
+    leaves = [
+        leaf for leaf in leaves
+        if not elements[leaf.element].aside and (not header[leaf.element] or elements[leaf.element].tag in HEADINGS)
+    ]
     if not leaves:
         return ""
     scores = path_scores(elements, leaves)
     least = threshold * sum(scores) / len(scores)
     weight = [len(leaf.text) if score >= least else 0 for leaf, score in zip(leaves, scores, strict=True)]
-    held = [0] * len(elements)
+    held, all_leaves, no_headings = [0] * len(elements), [0] * len(elements), [0] * len(elements)
     for leaf, size in zip(leaves, weight, strict=True):
         held[leaf.element] += size
-    for number in range(len(elements) - 1, 0, -1):  # children follow their parents
-        held[elements[number].parent] += held[number]
+        all_leaves[leaf.element] += 1
+        no_headings[leaf.element] += elements[leaf.element].tag not in HEADINGS
+    held, all_leaves, no_headings = (_totals(elements, x) for x in (held, all_leaves, no_headings))
+    last = _last(elements)
     children = defaultdict(list)
     for number, element in enumerate(elements[1:], 1):
         children[element.parent].append(number)
@@ -301,22 +350,16 @@ def main_text(page: str | None, threshold: float = 0.5, share: float = 0.7) -> s
             break
         top = best
 
-    def within(leaf: Leaf, root: int) -> bool:
-        at = leaf.element
-        while at > root:
-            at = elements[at].parent
-        return at == root
-
     while top and elements[top].tag not in CONTAINERS and elements[elements[top].parent].tag not in ("body", "html", ""):
         parent = elements[top].parent
-        extra = [leaf for leaf in leaves if within(leaf, parent) and not within(leaf, top)]
-        if not extra or any(elements[leaf.element].tag not in HEADINGS for leaf in extra):
+        # What the parent holds besides are headings, and some.
+        if all_leaves[parent] == all_leaves[top] or no_headings[parent] > no_headings[top]:
             break
         top = parent
     in_container = elements[top].inside
     return "\n".join(
         leaf.text for leaf, size in zip(leaves, weight, strict=True)
-        if within(leaf, top) and (in_container or size or leaf.linked * 2 < len(leaf.text))
+        if top <= leaf.element <= last[top] and (in_container or size or leaf.linked * 2 < len(leaf.text))
     )
 
 
@@ -325,26 +368,19 @@ def _only_container(elements: list[Element], leaves: list[Leaf]) -> int:
 
     A main element is left for an article that is alone in it.
     """
-    size = [0] * len(elements)
-    for leaf in leaves:
-        size[leaf.element] += len(leaf.text)
-    for number in range(len(elements) - 1, 0, -1):
-        size[elements[number].parent] += size[number]
+    size = _sizes(elements, leaves, set())
+    last = _last(elements)
     for tag in ("article", "main"):
-        found = [number for number, element in enumerate(elements) if element.tag == tag and size[number]]
-        outer = [number for number in found if not any(_holds(elements, other, number) for other in found)]
+        outer, end = [], -1
+        for number, element in enumerate(elements):
+            if number > end and element.tag == tag and size[number]:
+                outer.append(number)
+                end = last[number]
         if len(outer) == 1 and size[outer[0]] * 10 >= size[0]:
             return outer[0]
     return 0
 
 
-def _holds(elements: list[Element], outer: int, inner: int) -> bool:
-    at = elements[inner].parent
-    while at > outer:
-        at = elements[at].parent
-    return at == outer
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: the page's id and url, ``text`` and ``n_chars`` (its code points).
 

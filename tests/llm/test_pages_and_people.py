@@ -209,6 +209,8 @@ def test_main_text_in_layouts_and_comments():
 
 @pytest.mark.parametrize("page", [
     '<a ' + '"' * 5_000, "<a" * 100_000, "<p " * 50_000 + ">", "<!-- " * 50_000, '<p x="' * 3_000 + ">end", "<div>" * 2_000 + "deep",
+    "<div>" * 100_000 + "text, here.", "<article><p>a b c.</p></article>" * 20_000, "<div>" * 20_000 + "<li>x</li>" * 20_000,
+    "<div><h2>x</h2>" * 20_000 + "<p>body text, long.</p>",
 ])
 def test_hostile_pages_take_linear_time(page):
     import time
@@ -216,3 +218,50 @@ def test_hostile_pages_take_linear_time(page):
     started = time.perf_counter()
     html.main_text(page)
     assert time.perf_counter() - started < 5
+
+
+BODY = "".join(f"<p>This is paragraph {n} of the article itself, with text, commas, and more words.</p>" for n in range(5))
+READERS = "".join(f"<article class='comment'><p>I, too, am a reader, number {n}, and I have words to add.</p></article>" for n in range(30))
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post category-popular'>{}</article>", "<div class='site comments-open'><nav>a b</nav><article>{}</article></div>",
+    "<div id='page' class='has-ads'>{}</div>", "<main><div class='popular-post'>{}</div></main>",
+    "<div class='trending'><main>{}</main></div>",
+])
+def test_words_of_other_parts_weigh_less_than_the_text(page):
+    assert html.main_text(f"<body>{page.format(BODY)}</body>").count("article itself") == 5
+
+
+@pytest.mark.parametrize("page", [
+    "<article>{}</article><div class='comments'>{}</div>", "<article>{}<div id='comments'>{}</div></article>",
+    "<div>{}</div><div id='comments'>{}</div>", "<main>{}</main><div class='related'>{}</div>",
+    "<main><article>{}</article><section class='replies'>{}</section></main>",
+])
+def test_readers_stay_out_however_much_they_write(page):
+    text = html.main_text(f"<body>{page.format(BODY, READERS)}</body>")
+    assert text.count("article itself") == 5 and "reader" not in text
+
+
+def test_path_scores_by_definition():
+    """Text and marks per leaf of each path, smoothed over neighbours and fused."""
+    page = "<body><div class='a'><p>One, two. <a href='x'>three</a></p><p>Four</p></div><ul><li><a href='y'>Five, six</a><li>Seven.</ul><p>Eight; nine!</p></body>"
+    elements, leaves = html.parse(page)
+
+    def path(number):
+        element = elements[number]
+        return () if element.parent < 0 else (*path(element.parent), element.path)
+
+    own = [path(leaf.element) for leaf in leaves]
+    ratios = []
+    for mine in own:
+        same = [leaf for leaf, other in zip(leaves, own, strict=True) if other == mine]
+        text = sum(len(leaf.text) - leaf.linked for leaf in same) / len(same)
+        marks = sum(sum(c in ".,;:!?" for c in leaf.text) for leaf in same if 2 * leaf.linked < len(leaf.text)) / len(same)
+        ratios.append((text, marks))
+    smoothed = []
+    for n in range(len(own)):
+        around = [ratios[max(0, n - 1)], ratios[n], ratios[n], ratios[min(len(own) - 1, n + 1)]]
+        smoothed.append([sum(r[k] for r in around) / 4 for k in range(2)])
+    assert html.path_scores(elements, leaves) == pytest.approx([text * (1 + marks) for text, marks in smoothed])
+    assert len(leaves) == 5 and len(set(own)) == 3
