@@ -7,7 +7,7 @@ writes; operators return DataFrames.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearlog.operators import fatigue, marts, origin, refine, weekly
+from hearlog.operators import fatigue, marts, origin, refine, session_store, weekly
 from hearlog.params import Params
 from hearlog.plans.published import publish, published_name
 from hearlog.session import durable, prepare_session, temporary_tables
@@ -152,6 +152,26 @@ def write_marts(
     return names
 
 
+def update_sessions(fact: DataFrame, new_plays: DataFrame, root: str, params: Params = Params()) -> DataFrame:
+    """Stored sessions with ``new_plays`` merged in; ``fact`` are the plays they stand for so far.
+
+    The first call, without stored sessions, computes those of all plays. Returns the mart of
+    sessions.
+    """
+    spark = fact.sparkSession
+    path = f"{root}/session_store"
+    stored = tables.read_table_if_present(spark, path)
+    with temporary_tables(spark):
+        columns = [*params.listener_keys, "play_id", "start_ms", "ms_played"]
+        if stored is None:
+            found = session_store.sessions_of(fact.select(*columns).unionByName(new_plays.select(*columns)), params)
+        else:
+            found = session_store.merged(stored, fact, new_plays, params)
+        # Written apart first, as the table read is the one that is replaced.
+        tables.write_table(durable(found), path)
+    return session_store.session_detail(tables.read_table(spark, path), params)
+
+
 def run_models(fact: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
     """All model tables; a model with too little data leaves its tables out."""
     plays = tables.model_input(fact)
