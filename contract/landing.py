@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contract.refine import FACT_CTE, fact
@@ -19,8 +20,9 @@ from contract.tables import (
     select_from,
 )
 from hearlog.operators import marts
-from hearlog.session import delete_at_exit, shared_folder
+from hearlog.session import delete_at_exit, durable, shared_folder
 from hearlog.sources import landing, tables
+from hearlog.sources.split import split_records
 
 # One export record as JSON text. Some values are of the wrong kind on purpose.
 RECORDS = f"""
@@ -143,6 +145,28 @@ def _read_history(spark, sf):
     return plays.select("listener_id", *TYPED)
 
 
+def _chunk() -> Column:
+    return F.regexp_extract("path", r"chunk=(\d+)", 1).cast("bigint").alias("chunk")
+
+
+def _ranged_records(spark, sf):
+    """Records of real files, read in byte ranges."""
+    records, _ = split_records(spark, stored_files(spark, sf), STORED_GLOB)
+    return records.select(_chunk(), "position", F.try_variant_get("record", "$.ts", "string").alias("ts"))
+
+
+def _ranged_counts(spark, sf):
+    _, counts = split_records(spark, stored_files(spark, sf), STORED_GLOB)
+    return counts.select(_chunk(), "record_count")
+
+
+def _history_of_large_files(spark, sf):
+    """Typed plays of real files, all taken as too large for one row."""
+    exported = landing.landing(spark, stored_files(spark, sf), STORED_GLOB, large=1)
+    records, _ = landing.records_and_counts(exported, durable)
+    return landing.history_from_records(records).select(_chunk(), *TYPED)
+
+
 def _fact_stored(spark, sf):
     folder = scratch(spark)
     tables.write_table(fact(spark, sf), folder, ("year", "content_type"))
@@ -206,6 +230,9 @@ QUERIES = {
         "path", F.col("position").cast("bigint").alias("position"),
         F.try_variant_get("record", "$.ts", "string").alias("ts"),
     ),
+    "s3_records_of_byte_ranges": _ranged_records,
+    "s4_counts_of_byte_ranges": _ranged_counts,
+    "s8_history_of_large_files": _history_of_large_files,
     "s3_rejects": lambda s, sf: landing.rejects(files(s, sf)),
     "s4_landing_copy": _landed_copy,
     "s5_manifest": _manifest,
@@ -268,6 +295,11 @@ ORACLES = {
         "AND regexp_replace(g.path, '[^/]*$', '') = regexp_replace(f.path, '[^/]*$', ''))"
     ),
     "s3_records": _on_files("SELECT path, position, ts FROM good"),
+    "s3_records_of_byte_ranges": _on_files("SELECT chunk, CAST(position AS INTEGER) AS position, ts FROM good"),
+    "s4_counts_of_byte_ranges": _on_files(
+        f"SELECT f.chunk, CASE WHEN {GOOD.replace('chunk', 'f.chunk')} THEN n END AS record_count FROM files f JOIN items USING (chunk)"
+    ),
+    "s8_history_of_large_files": _on_files(f"SELECT chunk, {', '.join(TYPED)} FROM good"),
     "s3_rejects": _on_files(f"SELECT path, strlen(text) AS size_bytes FROM files WHERE NOT {GOOD}"),
     "s4_landing_copy": _on_files("SELECT path, strlen(text) AS length, sha256(text) AS sha256 FROM files"),
     "s5_manifest": _on_files(MANIFEST_SQL),

@@ -13,9 +13,10 @@ from contract.tables import (
     on_history,
     percent,
 )
-from hearlog.operators import marts, sequence
+from hearlog.operators import marts, sequence, session_store
 from hearlog.params import Params
 from hearlog.plans.layers import build_marts, marts_from_cubes
+from hearlog.session import durable
 
 P = Params()
 PER_LISTENER = Params(listener_keys=("listener_id",))
@@ -230,7 +231,23 @@ NUMBERS = dict(zip(OF_LISTENER, (
 ), strict=True))
 
 
+def _sessions_in_batches(params):
+    """Sessions of a third of the plays, with the other thirds merged in one after the other."""
+
+    def query(spark, sf):
+        plays = history_with_gaps(spark, sf)
+        stored = session_store.sessions_of(plays.where("play_id % 3 = 1"), params)
+        for turn in (2, 0):
+            so_far = plays.where("play_id % 3 = 1" if turn == 2 else "play_id % 3 > 0")
+            stored = durable(session_store.merged(durable(stored), so_far, plays.where(f"play_id % 3 = {turn}"), params))
+        return session_store.session_detail(stored, params)
+
+    return query
+
+
 QUERIES = {
+    "g09a_sessions_in_batches": _sessions_in_batches(P),
+    "g09a_sessions_in_batches_per_listener": _sessions_in_batches(PER_LISTENER),
     "g01_time_per_year": _of(marts.time_per_year),
     "g02_content_mix": _of(marts.content_mix),
     "g03a_skip_rate": _of(marts.skip_rate),
@@ -301,6 +318,8 @@ ORACLES = {
         f"SELECT weekday, {ACTIVITY}, {WEEKDAY_CASE} AS weekday_name FROM history GROUP BY weekday"
     ),
     "g08_top_artists": on_history(G08),
+    "g09a_sessions_in_batches": on_history("SELECT * FROM detail", detail_cte(gaps=True)),
+    "g09a_sessions_in_batches_per_listener": on_history("SELECT * FROM detail", detail_cte("listener_id", gaps=True)),
     "g09a_session_detail": on_history("SELECT * FROM detail", detail_cte(gaps=True)),
     "g09a_session_detail_per_listener": on_history("SELECT * FROM detail", detail_cte("listener_id", gaps=True)),
     "g09b_session_stats": on_history(STATS, detail_cte(gaps=True)),
