@@ -444,12 +444,11 @@ def judge(
     the mean is multiplied by (bytes + ``shrink_bytes``) ** ``length_power`` to make it
     comparable. A language's threshold for it is what all but ``clean_loss`` of its
     held-out documents stay within; what is beyond is unlike the trusted text and goes.
-    From fewer than 1 / ``clean_loss`` held-out documents that quantile cannot be told:
-    there it is their third quartile plus ``fence`` times twice the way from the median to
-    it (and at least 5 % of the mean above it, at the shortest length). Quantiles below the
-    median are left out of that, as a text that many trusted documents copy is hardly a
-    surprise and would stretch them. ``high`` is the threshold
-    as a perplexity, for the document's length.
+    How far a quantile of few documents can be trusted grows with their number: it is
+    drawn, as if 1 / ``clean_loss`` documents said so, to their third quartile plus
+    ``fence`` times twice the way from the median to it (at least 5 % of the mean above it,
+    at the shortest length), where that is higher. ``high`` is the threshold as a
+    perplexity, for the document's length.
 
     Documents without bytes, and those of a language without trusted text (null is a
     language of its own), are kept; their perplexity is null where there is no model.
@@ -486,9 +485,10 @@ def judge(
             F.percentile_approx(distance, [0.5, 0.75, 1 - clean_loss], 10_000).alias("q"), F.count("*").alias("held")
         )
         .withColumn("reach", F.greatest(fence * 2 * (F.col("q")[1] - F.col("q")[0]), least))
+        .withColumn("told", F.col("held") / (F.col("held") + 1 / clean_loss))
         .select(
             "lang", "mean",
-            F.when(F.col("held") * clean_loss >= 1, F.col("q")[2]).otherwise(F.col("q")[1] + F.col("reach")).alias("most"),
+            (F.col("told") * F.col("q")[2] + (1 - F.col("told")) * F.greatest(F.col("q")[2], F.col("q")[1] + F.col("reach"))).alias("most"),
         )
     )
     return with_table(scored, bounds).select(
