@@ -17,6 +17,7 @@ from hearlog.llm.quality import judge
 from hearlog.llm.quotes import link_quotes
 from hearlog.llm.simhash import near_duplicates
 from hearlog.llm.substrings import without_repeats
+from hearlog.session import delete_at_exit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_shared_folder(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where a local session, as in tests, names none."""
+    """Sets a checkpoint folder, gone with the JVM, where a local session, as in tests, names none."""
     context = spark.sparkContext
     if (
         context.master.startswith("local[")
         and not context.getCheckpointDir()
         and not spark.conf.get("spark.checkpoint.dir", None)
     ):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="hearlog-text-"))
+        folder = tempfile.mkdtemp(prefix="hearlog-text-")
+        context.setCheckpointDir(folder)
+        delete_at_exit(spark, folder)
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
