@@ -2,11 +2,14 @@
 
 Information-theoretic sanitisation: an entity (a mail address, a number) is protected. A
 term near it discloses the entity as far as its pointwise mutual information with it,
-estimated from co-occurrence in the corpus, comes near the entity's own information.
+estimated from co-occurrence in the corpus, comes near the entity's own information. An
+entity that is seen once counts too: then the term's frequency in the corpus decides.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -91,12 +94,20 @@ def term_digest(term: str) -> int:
 
 
 def occurrences(text: str, spans: list[Span], reach: int) -> Iterator[dict]:
-    """Per protected entity in the text, the words up to ``reach`` places before and behind it."""
+    """Per protected entity in the text: its mentions, and the words near any of them.
+
+    Near are the words up to ``reach`` places before and behind a mention; words that are
+    part of a base span are none. A word near two mentions of an entity is listed once.
+    """
     covered = sorted((a, b) for a, b, _ in spans)
+    opens = [a for a, _ in covered]
+    reached = list(accumulate((b for _, b in covered), max))
 
     def free(start: int, end: int) -> bool:
-        return all(end <= a or start >= b for a, b in covered if a < end and b > start)
+        ahead = bisect_left(opens, end)
+        return not ahead or reached[ahead - 1] <= start
 
+    entities: dict[int, tuple[list, set]] = {}
     for start, end, kind in spans:
         value = text[start:end].lower() if kind == "email" else re.sub(r"[^0-9.]", "", text[start:end])
         # A word is at least one character and rarely over 40; more text is taken where that fails.
@@ -108,26 +119,24 @@ def occurrences(text: str, spans: list[Span], reach: int) -> Iterator[dict]:
             if whole or (len(before) > reach and len(behind) > reach):
                 break
             width *= 4
-        near = [m for m in before[-reach:] + behind[:reach] if len(m[0]) > 2 and free(m.start(), m.end())]
-        if near:
-            terms = [{"term": term_digest(m[0]), "start": m.start(), "end": m.end()} for m in near]
-            yield {
-                "entity": _digest(kind, value),
-                "context": _digest(*sorted({m[0].lower() for m in near})),
-                "terms": terms,
-            }
+        mentions, near = entities.setdefault(_digest(kind, value), ([], set()))
+        mentions.append(start)
+        near.update((m.start(), m.end()) for m in before[-reach:] + behind[:reach] if free(m.start(), m.end()))
+    for entity, (mentions, near) in entities.items():
+        terms = [{"term": term_digest(text[a:b]), "start": a, "end": b} for a, b in sorted(near)]
+        yield {"entity": entity, "mentions": len(mentions), "terms": terms}
 
 
 _TERMS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 _FOUND = pa.schema([
     ("row", pa.int64()), ("doc", pa.int64()),
     ("base", pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))),
-    ("near", pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", _TERMS)]))),
+    ("near", pa.list_(pa.struct([("entity", pa.int64()), ("mentions", pa.int64()), ("terms", _TERMS)]))),
     ("text", pa.string()),
 ])
 _FOUND_DDL = (
     "row long, doc long, base array<struct<start:int,rank:int,end:int>>, "
-    "near array<struct<entity:long,context:long,terms:array<struct<term:long,start:int,end:int>>>>, text string"
+    "near array<struct<entity:long,mentions:long,terms:array<struct<term:long,start:int,end:int>>>>, text string"
 )
 
 
@@ -145,52 +154,52 @@ def _find(reach: int, keep_text: bool):
     return lambda batches: record_batches(rows(batches), _FOUND, 1024)
 
 
-def disclosing_terms(
-    near: DataFrame, texts: DataFrame, reach: int, disclosure: float, support: int
-) -> DataFrame | None:
-    """Pairs ``(entity, term)`` where the term discloses the entity; None if nothing can.
+def disclosing_terms(near: DataFrame, texts: DataFrame, reach: int, disclosure: float) -> DataFrame | None:
+    """``(entity, term, share)``, share >= ``disclosure``: terms that disclose an entity; None if nothing can.
 
-    Contexts with the same words count once, so copies of a document are no evidence. With
-    n contexts of an entity and W windows in the corpus, its information is log2(W / n).
-    A term's is compared with it: log2(p(term | entity) / p(term)), p(term) being the
-    share of windows of the corpus that its occurrences fill. Only terms in at least
-    ``support`` contexts of an entity are considered.
+    The corpus has W = words / (2 ``reach``) windows. An entity with m mentions has the
+    information log2(W / m), as p(entity) = m / W. Of a term that occurs f times, k of them
+    near the entity, p(entity | term) is estimated as k / (f + 1/2), at most 1, and its
+    mutual information with the entity is log2(p(entity | term) / p(entity)). ``share`` is
+    the ratio of the two. Copies of a document raise k, f and m alike, so they neither
+    hide a term nor make it evidence. An entity in every window has no information and is
+    not disclosed.
     """
-    contexts = near.select("entity", "context", F.transform("terms", lambda t: t["term"]).alias("terms")).dropDuplicates(
-        ["entity", "context"]
-    )
     pairs = durable(
-        contexts.select("entity", "context", F.explode(F.array_distinct("terms")).alias("term"))
-        .groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
+        near.select("entity", F.explode("terms.term").alias("term"))
+        .groupBy("entity", "term").agg(F.count("*").alias("together"))
     )
-    terms = pairs.select("term").distinct()
+    terms = durable(pairs.groupBy("term").agg(F.max("together").alias("least")))
     known = terms.count()
     if not known:
         return None
-    entities = contexts.groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("contexts"))
+    entities = near.groupBy(F.col("entity").alias("e")).agg(F.sum("mentions").alias("m"))
     words = texts.select(
         F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")
     ).where("word <> ''").select(F.xxhash64("word").alias("word"))
     if known <= BROADCAST_TERMS:
         # words that are no candidates meet in one null, whose count completes the total
         counted = (
-            words.join(F.broadcast(terms), F.col("word") == F.col("term"), "left")
+            words.join(F.broadcast(terms.select("term")), F.col("word") == F.col("term"), "left")
             .groupBy("term").agg(F.count("*").alias("frequency"))
         )
     else:
         counted = words.groupBy("word").agg(F.count("*").alias("frequency")).withColumnRenamed("word", "term")
     counted = durable(counted)
     windows = counted.agg((F.sum("frequency") / (2.0 * reach)).alias("windows"))
-    known_counts = counted.where("term IS NOT NULL").withColumnRenamed("term", "t")
-    chance = F.least(F.lit(1.0), F.col("frequency") / F.col("windows"))
-    gained = F.log2(F.col("together") / F.col("contexts") / chance)
-    own = F.log2(F.col("windows") / F.col("contexts"))
+    # A term that lower-cases otherwise in the two languages is counted by its mentions.
+    frequent = terms.join(counted.withColumnRenamed("term", "t"), F.col("term") == F.col("t"), "left").select(
+        F.col("term").alias("t"), F.greatest("frequency", "least").alias("f")
+    )
+    given = F.least(F.lit(1.0), F.col("together") / (F.col("f") + 0.5))
+    own = F.log2(F.col("windows") / F.col("m"))
     return (
-        pairs.join(known_counts, F.col("term") == F.col("t"))
+        pairs.join(frequent, F.col("term") == F.col("t"))
         .join(entities, F.col("entity") == F.col("e"))
         .crossJoin(F.broadcast(windows))  # one row
-        .where(gained >= disclosure * own)
-        .select("entity", "term")
+        .where(F.col("windows") > F.col("m"))
+        .select("entity", "term", (1 + F.log2(given) / own).alias("share"))
+        .where(F.col("share") >= disclosure)
     )
 
 
@@ -200,7 +209,6 @@ def find(
     text_col: str = "text",
     reach: int = 10,
     disclosure: float = 0.9,
-    support: int = 3,
     keep_text: bool = False,
 ) -> DataFrame:
     """One row per document: counts of the base kinds, ``base_sha256``, ``spans``, ``n_term``.
@@ -212,8 +220,8 @@ def find(
     the text stays beside them, for ``sanitise``.
 
     A null text is empty. Rows with equal ids are rows of their own, a null id stays null.
-    Extra columns are not read. Entities of any frequency are spread over tasks: contexts
-    are reduced before they are counted, and joins are on (entity, term).
+    Extra columns are not read. Entities of any frequency are spread over tasks: pairs are
+    counted with partial sums, and joins are on (entity, term).
     """
     found = durable(
         docs.select(F.col(id_col).cast("long"), F.col(text_col))
@@ -221,12 +229,12 @@ def find(
     )
     near = found.select("row", F.explode("near").alias("n")).select("row", "n.*")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = disclosing_terms(near, texts, reach, disclosure, support)
+    pairs = disclosing_terms(near, texts, reach, disclosure)
     rank = KINDS.index("term")
     if pairs is None:
         whole = found.withColumn("all", F.col("base"))
     else:
-        pairs = durable(pairs)
+        pairs = durable(pairs.select("entity", "term"))
         added = (
             near.select("row", "entity", F.explode("terms").alias("t"))
             .select("row", "entity", "t.term", "t.start", "t.end")

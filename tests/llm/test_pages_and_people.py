@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -72,8 +75,8 @@ def disclosed(spark):
     """ann@x.org always stands near "zephyrine", which hardly occurs elsewhere, and near "the"."""
     rows = [(n, f"{prose(n, 30)} the zephyrine Quark77 wrote to ann@x.org {prose(900 + n, 30)}") for n in range(8)]
     rows += [(100 + n, prose(100 + n, 200)) for n in range(40)]
-    rows += [(200 + n, "exactly the same context of bob@y.org whatever it says") for n in range(9)]  # copies: one context
-    rows += [(300, "zephyrine without the address"), (301, None)]
+    rows += [(200 + n, "exactly the same context of bob@y.org before work begins") for n in range(9)]  # copies
+    rows += [(300, "zephyrine without the address"), (301, None), (302, f"{prose(7, 50)} Li and the Ottoline +1 555 123 4567 walk")]
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
@@ -86,10 +89,54 @@ def test_terms_that_disclose(spark, disclosed):
         assert got[i].n_term == len(words)
         starts = [int(s.split(":")[1]) for s in got[i].spans.split(",")]
         assert starts == sorted(starts)
-    assert all(got[200 + n].n_term == 0 and got[200 + n].n_email == 1 for n in range(9))
+    def terms(i):
+        return {text[i][int(a):int(b)] for kind, a, b in (s.split(":") for s in got[i].spans.split(",")) if kind == "term"}
+
+    assert all(terms(200 + n) == {"exactly", "same", "context", "of"} and got[200 + n].n_email == 1 for n in range(9))
+    assert terms(302) == {"Li", "Ottoline"}  # beside a number that is seen once; "and", "the" and "walk" are common
     assert got[300].spans == got[301].spans == ""
 
 
+def test_disclosure_equals_brute_force_count(spark):
+    """Random words around few entities, entities beside each other and repeated in a text."""
+    rng = random.Random(5)
+    entities = ["ann@x.org", "Ann@X.org", "10.0.0.1", "+49 30 1234 5678", "bo@y.de"]
+    vocabulary = ["the"] * 40 + ["and"] * 20 + [f"w{n}" for n in range(300)] + ["x", "É"]
+    texts = [None, ""]
+    for _ in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            words.insert(rng.randint(0, len(words)), rng.choice(entities))
+        texts.append(" ".join(words))
+    texts += texts[-10:]
+    reach, least = 4, 0.5
+    together, mentions, frequency = Counter(), Counter(), Counter()
+    for text in (t or "" for t in texts):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+        frequency.update(text[a:b].lower() for a, b in words)
+        spans = brute_spans(text)
+        near = set()
+        for a, b, kind in spans:
+            entity = (kind, re.sub("[^0-9.]", "", text[a:b]) if kind != "email" else text[a:b].lower())
+            mentions[entity] += 1
+            around = [w for w in words if w[1] <= a][-reach:] + [w for w in words if w[0] >= b][:reach]
+            near |= {(entity, w) for w in around if all(w[1] <= c or w[0] >= d for c, d, _ in spans)}
+        together.update((entity, text[a:b].lower()) for entity, (a, b) in near)
+    windows = sum(frequency.values()) / (2 * reach)
+    want = {}
+    for (entity, word), k in together.items():
+        information = math.log2(min(1, k / (frequency[word] + 0.5)) / (mentions[entity] / windows))
+        share = information / math.log2(windows / mentions[entity])
+        if share >= least:
+            want[pii._digest(*entity), pii.term_digest(word)] = share
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    near = [(n["entity"], n["mentions"], n["terms"]) for (t,) in docs.collect()
+            for n in pii.occurrences(t or "", pii.base_spans(t or ""), reach)]
+    near = spark.createDataFrame(near, "entity long, mentions long, terms array<struct<term:long,start:int,end:int>>")
+    got = {(r.entity, r.term): r.share for r in pii.disclosing_terms(near, docs, reach, least).collect()}
+    assert got == pytest.approx(want) and len(got) > 20 and len(got) < len(together)
+
+
 def test_terms_without_broadcast(disclosed, monkeypatch):
     want = sorted(map(tuple, pii.find(disclosed).collect()))
     monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
