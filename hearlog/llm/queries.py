@@ -169,6 +169,7 @@ FROM summed
 """
 
 _MARKS = r"^\s{0,3}((?:>\s{0,3})+)"
+_END = r"[.!?…]+[\"'')\]]*(\s|$)"
 OP3_SQL = rf"""
 WITH RECURSIVE messages AS (
   SELECT row_number() OVER () AS id, conv_id, turn, role, text,
@@ -187,17 +188,42 @@ bodies AS (
   SELECT id, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (
       depth = 0 AND NOT (next > 0 AND regexp_matches(line, '(?i)^.{{0,200}}\b(wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$'))
     ), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body,
-    CAST(max(depth) AS INTEGER) AS quote_depth, CAST(count(*) FILTER (depth > 0) AS INTEGER) AS n_quoted
+    CAST(max(depth) AS INTEGER) AS quote_depth
   FROM seen GROUP BY id
 ),
-passages AS (SELECT DISTINCT conv_id, turn, depth, words FROM lines WHERE turn IS NOT NULL AND len(string_split(words, ' ')) >= 3),
-originals AS (SELECT conv_id, words, min(turn) AS source FROM passages WHERE depth = 0 GROUP BY ALL),
+said AS (
+  SELECT *, regexp_replace(line, '{_MARKS}', '') AS said,
+    sum(CASE WHEN depth = above AND words <> '' AND words_above <> '' THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY n) AS passage
+  FROM (SELECT *, lag(depth) OVER (PARTITION BY id ORDER BY n) AS above,
+    lag(words) OVER (PARTITION BY id ORDER BY n) AS words_above FROM lines)
+),
+passages AS (
+  SELECT id, conv_id, turn, depth, false AS single, string_agg(said, ' ' ORDER BY n) AS said FROM said GROUP BY id, conv_id, turn, depth, passage
+  UNION ALL SELECT id, conv_id, turn, depth, true, said FROM said WHERE depth = 0
+),
+sentences AS (
+  SELECT id, conv_id, turn, depth, single, string_split(words, ' ') AS words FROM (
+    SELECT *, trim(regexp_replace(lower(unnest(string_split_regex(said, '{_END}'))), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words FROM passages
+  ) WHERE words <> ''
+),
+units AS (
+  SELECT DISTINCT conv_id, turn, depth, array_to_string(words, ' ') AS sentence,
+    array_to_string(words[i:i + 4], ' ') AS unit
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM sentences WHERE turn IS NOT NULL AND (NOT single OR len(words) <= 5))
+),
+quoting AS (SELECT id, count(DISTINCT (depth, words)) AS n_quoted FROM sentences WHERE depth > 0 GROUP BY id),
+originals AS (SELECT conv_id, unit, min(turn) AS source FROM units WHERE depth = 0 GROUP BY ALL),
 found AS (
-  SELECT p.conv_id, p.turn, p.depth, source FROM passages p JOIN originals o
-    ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.words = o.words AND source < p.turn WHERE p.depth > 0
+  SELECT u.conv_id, u.turn, u.depth, u.sentence, u.unit, source FROM units u JOIN originals o
+    ON u.conv_id IS NOT DISTINCT FROM o.conv_id AND u.unit = o.unit AND source < u.turn WHERE u.depth > 0
+),
+weighed AS (
+  SELECT conv_id, turn, arg_max(source, {{'d': -depth, 'n': n, 's': source}}) AS reply_to
+  FROM (SELECT conv_id, turn, depth, source, count(DISTINCT unit) AS n FROM found GROUP BY ALL) GROUP BY ALL
 ),
 links AS (
-  SELECT conv_id, turn, count(*) AS n_linked, arg_max(source, {{'d': -depth, 's': source}}) AS reply_to FROM found GROUP BY ALL
+  SELECT f.conv_id, f.turn, count(DISTINCT (depth, sentence)) AS n_linked, any_value(reply_to) AS reply_to
+  FROM found f JOIN weighed w ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.turn = w.turn GROUP BY ALL
 ),
 chains AS (
   SELECT conv_id, turn, reply_to AS root FROM links
@@ -206,9 +232,9 @@ chains AS (
 ),
 roots AS (SELECT conv_id, turn, min(root) AS root FROM chains GROUP BY ALL),
 joined AS (
-  SELECT m.conv_id, m.turn, m.role, body, quote_depth, n_quoted, coalesce(n_linked, 0) AS n_linked, reply_to,
+  SELECT m.conv_id, m.turn, m.role, body, quote_depth, CAST(coalesce(n_quoted, 0) AS INTEGER) AS n_quoted, coalesce(n_linked, 0) AS n_linked, reply_to,
     coalesce(root, m.turn) AS thread
-  FROM messages m JOIN bodies b ON m.id = b.id
+  FROM messages m JOIN bodies b ON m.id = b.id LEFT JOIN quoting q ON m.id = q.id
   LEFT JOIN links l ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.turn = l.turn
   LEFT JOIN roots r ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND m.turn = r.turn
 )

@@ -109,7 +109,7 @@ def test_disclosure_equals_brute_force_count(spark):
             words.insert(rng.randint(0, len(words)), rng.choice(entities))
         texts.append(" ".join(words))
     texts += texts[-10:]
-    reach, least = 4, 0.5
+    reach, least = 4, 0.4
     together, mentions, frequency = Counter(), Counter(), Counter()
     for text in (t or "" for t in texts):
         words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
@@ -236,6 +236,28 @@ def test_quotes(spark):
     assert link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+LONG = "The old harbour lies behind the mill, and nobody has sailed from it in years. Shall we go and see it?"
+
+
+@pytest.mark.parametrize("quotation, answered, found", [
+    ("> The old harbour lies behind\n> the mill, and nobody has sailed\n> from it in years. Shall we go\n> and see it?", 0, 2),  # wrapped anew
+    ("> shall we go and see it", 0, 1),  # one sentence of a longer line
+    ("> behind the mill, and\n> nobody has sailed", 0, 1),  # a part of a sentence
+    ("> Ok.", 1, 1), ("> Fine\n> by me", 1, 1),  # short ones
+    ("> Ok. The old harbour lies behind the mill", 0, 2),  # the original with most of it
+    ("> Ok.\n>\n> by me", 1, 2),  # lines that a mark without words parts
+    (">> The old harbour lies behind\n> Ok.", 1, 2),  # deeper levels are the original's own
+    ("> the mill behind lies harbour old\n> in years sailed nobody it", None, 0),
+])
+def test_quotes_wrapped_anew_and_in_part(spark, quotation, answered, found):
+    rows = [(1, 0, "a", LONG), (1, 1, "b", "Ok.\n\nFine\nby me"), (1, 2, "c", quotation + "\nmy own words")]
+    rows += [(2, 0, "a", "elsewhere"), (2, 1, "b", quotation)]
+    got = {(r.conv_id, r.turn): r for r in link_quotes(
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2].reply_to == answered and got[1, 2].n_linked == found and got[1, 2].body == "my own words"
+    assert got[2, 1].reply_to is None and got[2, 1].n_linked == 0 and got[2, 1].n_quoted >= found
+
+
 def test_quotes_in_a_long_hot_conversation(spark):
     """Each message quotes the one before: a chain as long as the conversation."""
     rows = [(1, n, "a", (f"> message number {n - 1} of this talk\n" if n else "") + f"Message number {n} of this talk") for n in range(70)]

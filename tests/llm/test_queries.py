@@ -108,10 +108,13 @@ def test_quotes_equal_sql(spark, tmp_path):
     said, rows = [], []
     for conv in [1, 2, 3, None]:
         for turn in range(25):
-            own = [prose(rng.randrange(10_000), rng.randint(1, 6)) for _ in range(rng.randint(1, 3))]
-            quoted = [
-                "> " * rng.randint(1, 3) + line for line in rng.sample(said, min(len(said), rng.randint(0, 3)))
-            ]
+            own = [prose(rng.randrange(10_000), rng.randint(1, 14)) for _ in range(rng.randint(1, 3))]
+            quoted = []
+            for line in rng.sample(said, min(len(said), rng.randint(0, 3))):
+                marks, words = "> " * rng.randint(1, 3), line.split(" ")
+                first, cut = rng.choice([0, 0, 0, 1, 2]), rng.choice([2, 4, 9, 99])  # parts of lines, wrapped anew
+                quoted += [marks + " ".join(words[at:at + cut]) for at in range(first, len(words), cut)]
+                quoted += [marks] * (rng.random() < 0.2)
             if quoted and rng.random() < 0.5:
                 quoted.insert(0, "On Monday, Ann wrote:")
             said += own
