@@ -193,10 +193,13 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, reach: int, disclosure:
     )
     given = F.least(F.lit(1.0), F.col("together") / (F.col("f") + 0.5))
     own = F.log2(F.col("windows") / F.col("m"))
+    # What would not disclose even an entity of one mention does not meet the entities.
+    possible = F.log2(given) >= (disclosure - 1) * F.log2("windows") - 1e-9
     return (
         pairs.join(frequent, F.col("term") == F.col("t"))
-        .join(entities, F.col("entity") == F.col("e"))
         .crossJoin(F.broadcast(windows))  # one row
+        .where(possible)
+        .join(entities, F.col("entity") == F.col("e"))
         .where(F.col("windows") > F.col("m"))
         .select("entity", "term", (1 + F.log2(given) / own).alias("share"))
         .where(F.col("share") >= disclosure)
