@@ -277,6 +277,7 @@ QUERIES = {
     "w4_position_in_session": _music_context("session_id", "position"),
     "w5_played_before": _music_context("ms_before"),
     "w6_skips_before": _music_context("skips_before"),
+    "w6_skip_streak": _music_context("skip_streak"),
 }
 
 MUSIC_CONTEXT = """
@@ -286,12 +287,18 @@ music AS (
   FROM history WHERE content_type = 'music' AND ms_played IS NOT NULL AND hour IS NOT NULL AND weekday IS NOT NULL
 ),
 """ + session_ctes(end="start_ms", keys="listener_id", source="music") + """,
+unbroken AS (
+  SELECT *, sum(1 - skip) OVER (PARTITION BY listener_id, session_id ORDER BY start_ms, play_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS breaks FROM sessions
+),
 context AS (
   SELECT *,
     CAST(row_number() OVER w - 1 AS BIGINT) AS position,
+    CAST(row_number() OVER (PARTITION BY listener_id, session_id, coalesce(breaks, 0) ORDER BY start_ms, play_id) - 1
+      AS BIGINT) AS skip_streak,
     CAST(coalesce(sum(ms_played) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ms_before,
     CAST(coalesce(sum(skip) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS skips_before
-  FROM sessions
+  FROM unbroken
   WINDOW w AS (PARTITION BY listener_id, session_id ORDER BY start_ms, play_id)
 ),
 skip_context AS (
@@ -352,4 +359,5 @@ ORACLES = {
     "w4_position_in_session": on_history("SELECT play_id, session_id, position FROM skip_context", MUSIC_CONTEXT),
     "w5_played_before": on_history("SELECT play_id, ms_before FROM skip_context", MUSIC_CONTEXT),
     "w6_skips_before": on_history("SELECT play_id, skips_before FROM skip_context", MUSIC_CONTEXT),
+    "w6_skip_streak": on_history("SELECT play_id, skip_streak FROM skip_context", MUSIC_CONTEXT),
 }

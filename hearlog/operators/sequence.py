@@ -33,6 +33,7 @@ def session_scan(
     running: dict[str, Column] | None = None,
     blocks: int | None = None,
     block_rows: int = 2_000_000,
+    streaks: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``session_id``, from 1 per listener in time order, to every play.
 
@@ -40,15 +41,17 @@ def session_scan(
     the play just before exceeds ``gap_ms`` or is null. Plays without a start come first,
     each as a session of its own. ``running`` asks for more: ``position``
     (from 0 in the session) and, per entry, the sum of an expression over the earlier
-    plays of the session.
+    plays of the session. ``streaks`` asks, per entry, for how many plays just before this
+    one, in the session, a condition held without a break (null breaks it).
 
     The plays are cut into ``blocks``; without that, into as many as keep a block at about
     ``block_rows``, and no fewer than the session has shuffle partitions.
     """
-    running = running or {}
+    running, streaks = running or {}, streaks or {}
     keys = list(listener_keys)
     sums = {f"_sum_{name}": name for name in running}
     values = {f"_value_{name}": F.coalesce(value, F.lit(0)) for name, value in running.items()}
+    holds = {f"_holds_{name}": F.coalesce(condition, F.lit(False)) for name, condition in streaks.items()}
     order = [F.col("_start").asc_nulls_first(), F.col(tie_break).asc_nulls_first()]
 
     sort_key = [F.col(k).asc_nulls_first() for k in keys] + order
@@ -56,7 +59,7 @@ def session_scan(
         partitions = int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         blocks = max(partitions, -(-plays.count() // block_rows))
     rows = (
-        plays.withColumns({"_start": start, "_end": end} | values)
+        plays.withColumns({"_start": start, "_end": end} | values | holds)
         .repartitionByRange(blocks, *sort_key)
         .withColumn("_block", F.spark_partition_id())
     )
@@ -70,7 +73,7 @@ def session_scan(
         ),
     )
     rows = rows.withColumn("_inner", F.sum("_opens").over(so_far))
-    if running:
+    if running or streaks:
         in_piece = Window.partitionBy("_block", *keys, "_inner").orderBy(*order)
         earlier = in_piece.rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumns(
@@ -78,11 +81,14 @@ def session_scan(
             | {s: F.coalesce(F.sum(f"_value_{name}").over(earlier), F.lit(0).cast("bigint"))
                for s, name in sums.items()}
         )
+        rows = rows.withColumns({
+            f"_break_{name}": F.max(F.when(~F.col(f"_holds_{name}"), F.col("_position"))).over(earlier) for name in streaks
+        })
     # Block numbers are fixed here, so both uses below see the same blocks even when
     # an executor is lost in between.
     rows = durable(rows)
 
-    carry = _carry(rows, keys, gap_ms, sums)
+    carry = _carry(rows, keys, gap_ms, sums, list(streaks))
     same_listener = reduce(
         lambda a, b: a & b,
         [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys],
@@ -96,25 +102,35 @@ def session_scan(
         continues = (F.col("r._inner") == 0) & F.col(f"c.{column}").isNotNull()
         return F.when(continues, F.col(f"c.{column}")).otherwise(0)
 
-    if running:
+    if running or streaks:
         output.append((F.col("r._position") + carried("_position")).alias("position"))
         output += [(F.col(f"r.{s}") + carried(s)).alias(name) for s, name in sums.items()]
+        for name in streaks:
+            # Only a streak that reaches back to the border goes on from the blocks before.
+            since = F.col("r._position") - 1 - F.col(f"r._break_{name}")
+            output.append(F.coalesce(since, F.col("r._position") + carried(f"_streak_{name}")).alias(name))
     return joined.select(*output)
 
 
-def _carry(rows: DataFrame, keys: list[str], gap_ms: int, sums: dict[str, str]) -> DataFrame:
+def _carry(rows: DataFrame, keys: list[str], gap_ms: int, sums: dict[str, str], streaks: list[str]) -> DataFrame:
     """What a block's first listener brings from earlier blocks.
 
     Blocks are ranges of the sort key, so at most one listener crosses a block border:
     this has fewer rows than there are blocks, however many plays or listeners exist.
     """
-    tails = {"_position": F.max_by(F.col("_position") + 1, "_row")} if sums else {}
+    tails = {"_position": F.max_by(F.col("_position") + 1, "_row")} if sums or streaks else {}
     tails |= {s: F.max_by(F.col(s) + F.col(f"_value_{name}"), "_row") for s, name in sums.items()}
+    ends = {}
+    for name in streaks:
+        since = F.coalesce("_break_" + name, F.lit(-1))
+        unbroken = F.col(f"_holds_{name}")
+        ends[f"_streak_{name}"] = F.max_by(F.when(unbroken, F.col("_position") - since).otherwise(0), "_row")
+        ends[f"_open_{name}"] = F.max_by(unbroken & F.col(f"_break_{name}").isNull(), "_row")
     pieces = rows.groupBy("_block", *keys).agg(
         F.max(F.when(F.col("_row") == 1, F.col("_start"))).alias("_head_start"),
         F.max_by("_end", "_row").alias("_last_end"),
         F.max("_inner").alias("_inner_breaks"),
-        *[tail.alias(name) for name, tail in tails.items()],
+        *[tail.alias(name) for name, tail in (tails | ends).items()],
     )
     along = Window.partitionBy(*keys).orderBy("_block")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -137,7 +153,15 @@ def _carry(rows: DataFrame, keys: list[str], gap_ms: int, sums: dict[str, str])
         in_run = in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         pieces = pieces.withColumns({f"{t}_total": F.sum(t).over(in_run) for t in tails})
         pieces = pieces.withColumns({f"{t}_in": F.lag(f"{t}_total").over(along) for t in tails})
-        carried = [F.when(F.col("_head") == 0, F.col(f"{t}_in")).alias(t) for t in tails]
+        # A block in which a streak breaks starts the count anew for the blocks behind it.
+        for name in streaks:
+            broken = F.sum((~F.col(f"_open_{name}")).cast("int")).over(in_run)
+            pieces = pieces.withColumn(f"_part_{name}", broken)
+            in_part = Window.partitionBy(*keys, "_run", f"_part_{name}").orderBy("_block")
+            in_part = in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            pieces = pieces.withColumn(f"_streak_{name}_total", F.sum(f"_streak_{name}").over(in_part))
+            pieces = pieces.withColumn(f"_streak_{name}_in", F.lag(f"_streak_{name}_total").over(along))
+        carried = [F.when(F.col("_head") == 0, F.col(f"{t}_in")).alias(t) for t in [*tails, *[f"_streak_{n}" for n in streaks]]]
     return pieces.filter(F.col("_nth") > 1).select("_block", *keys, "_offset", *carried)
 
 
@@ -158,7 +182,7 @@ def skip_context(fact: DataFrame, params: Params = Params(), blocks: int | None
     """Music plays with what came before them in their session.
 
     Sessions here are by the gap between starts. ``skips_before`` counts all earlier
-    skips of the session, not only an unbroken run.
+    skips of the session, ``skip_streak`` the unbroken run of skips just before the play.
     """
     music = fact.filter(
         (F.col("content_type") == "music")
@@ -187,6 +211,7 @@ def skip_context(fact: DataFrame, params: Params = Params(), blocks: int | None
             "ms_before": F.col("ms_played"),
             "skips_before": F.col("skip").cast("bigint"),
         },
+        streaks={"skip_streak": F.col("skip") == 1},
         blocks=blocks,
         block_rows=params.session_block_rows,
     )

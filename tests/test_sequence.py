@@ -18,15 +18,15 @@ def brute_force(rows, gap, keyed, from_start=False):
         listeners.setdefault(row[1] if keyed else 0, []).append(row)
     for plays in listeners.values():
         plays.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
-        session, previous, seen = 0, None, (0, 0, 0)
+        session, previous, seen = 0, None, (0, 0, 0, 0)
         for play_id, _, start, ms, skip in plays:
             first = previous is None
             end = None if first else previous[2] if from_start else (
                 None if previous[2] is None or previous[3] is None else previous[2] + previous[3])
             if start is None or end is None or start - end > gap:
-                session, seen = session + 1, (0, 0, 0)
+                session, seen = session + 1, (0, 0, 0, 0)
             result[play_id] = (session, *seen)
-            seen = (seen[0] + 1, seen[1] + (ms or 0), seen[2] + skip)
+            seen = (seen[0] + 1, seen[1] + (ms or 0), seen[2] + skip, skip * (seen[3] + 1))
             previous = (play_id, None, start, ms)
     return result
 
@@ -36,8 +36,9 @@ def scanned(df, keyed, blocks, from_start=False):
         df, F.col("start_ms"), F.col("start_ms") if from_start else F.col("start_ms") + F.col("ms_played"), GAP,
         listener_keys=("listener",) if keyed else (),
         running={"ms_before": F.col("ms_played"), "skips_before": F.col("skip")}, blocks=blocks,
+        streaks={"skip_streak": F.col("skip") == 1},
     )
-    return {r["play_id"]: (r["session_id"], r["position"], r["ms_before"], r["skips_before"]) for r in found.collect()}
+    return {r["play_id"]: (r["session_id"], r["position"], r["ms_before"], r["skips_before"], r["skip_streak"]) for r in found.collect()}
 
 
 def random_plays(seed, n=400):
@@ -71,7 +72,16 @@ def test_one_session_over_all_blocks(spark):
     rows = [(i, 1, i * 1000, 500, 1) for i in range(300)]
     found = scanned(spark.createDataFrame(rows, SCHEMA), False, 30)
     assert {v[0] for v in found.values()} == {1}
-    assert found[299] == (1, 299, 299 * 500, 299)
+    assert found[299] == (1, 299, 299 * 500, 299, 299)
+
+
+def test_streaks_over_borders(spark):
+    """One session with few breaks: most streaks begin blocks before the one they end in."""
+    rows = [(i, 1, i * 1000, 500, int(i % 67 != 40)) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert scanned(df, True, 50) == brute_force(rows, GAP, True)
+    alone = session_scan(df, F.col("start_ms"), F.col("start_ms"), GAP, blocks=9, streaks={"n": F.when(F.col("play_id") != 7, True)})
+    assert {r["play_id"]: r["n"] for r in alone.collect()} == {i: i if i < 8 else i - 8 for i in range(400)}
 
 
 def test_empty_input(spark):
@@ -107,8 +117,8 @@ def test_skip_context(spark):
         {"start_ms": 0, "hour": None},
     )
     rows = sorted(skip_context(fact, Params(), blocks=2).collect(), key=lambda r: r["play_id"])
-    assert [(r["play_id"], r["session_id"], r["position"], r["ms_before"], r["skips_before"]) for r in rows] == [
-        (0, 1, 0, 0, 0), (1, 1, 1, 40_000, 1), (3, 1, 2, 740_000, 1), (4, 2, 0, 0, 0)]
+    assert [(r["play_id"], r["session_id"], r["position"], r["ms_before"], r["skips_before"], r["skip_streak"]) for r in rows] == [
+        (0, 1, 0, 0, 0, 0), (1, 1, 1, 40_000, 1, 1), (3, 1, 2, 740_000, 1, 0), (4, 2, 0, 0, 0, 0)]
     assert [r["minute_bucket"] for r in rows] == [0, 0, 10, 0]
     assert [r["active"] for r in rows] == [1, 0, 0, 0]
     assert [r["skip"] for r in rows] == [1, 0, 1, 0]
