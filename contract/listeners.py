@@ -66,7 +66,7 @@ def _one_round(points: np.ndarray) -> dict:
 
 def _after_one_round(spark, sf):
     groups = weekly.listener_groups(weeks(spark, sf), EACH)
-    return clusters.fitted(groups, _one_round, {"clusters": "int", "centres": "double"})
+    return clusters.fitted(groups, clusters.each(_one_round), {"clusters": "int", "centres": "double"})
 
 
 def assigned_once(spark, sf):
@@ -111,7 +111,7 @@ def _rule_silhouette(points: np.ndarray) -> dict:
 def silhouette_of_rules(spark, sf):
     rows = weekly.scaled_weeks(ruled(spark, sf), KEYS)
     groups = clusters.in_groups(rows, list(KEYS), ["year", "week"], [*Z, "cluster"])
-    scores = clusters.fitted(groups, _rule_silhouette, {"score": "double"})
+    scores = clusters.fitted(groups, clusters.each(_rule_silhouette), {"score": "double"})
     return scores.select("listener_id", F.round(F.get("score", F.lit(0)), 6).alias("silhouette"))
 
 
