@@ -4,7 +4,8 @@ Spark's text source cuts a file at every closing brace, in byte ranges that task
 their own. Where in the JSON a piece starts, inside a string or how deep, follows from all
 pieces before it. So each piece is reduced to what it does to that state, for both ways it
 may start; the sums of ranges are composed along the file, and every range's pieces get
-their state from its start. Pieces that end an array item are parsed where they are.
+their state from its start. The pieces of an array item are joined and parsed in the
+range they are in; only items that a range border cuts go on to another task.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from hearlog.session import durable
 #: Byte ranges (one per 128 MB) up to which what they carry is sent to every executor.
 BROADCAST_RANGES = 1_000_000
 
+_NO_MARKS = r'(?s)\\.|[^"\[\]{}\\]+'
 _STRING = r'"[^"]*("|$)'
 _OBJECT_OPENS = r'(?s)^\s*\{\s*"[^"\\]*"\s*:\s*\['
 _ARRAY_OPENS = r"^\s*\["
@@ -31,7 +33,7 @@ def pieces(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
     return (
         spark.read.option("lineSep", "}").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
         .select(
-            file_name(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"), F.col("_metadata.file_size").alias("size"), "value",
         )
     )
@@ -39,7 +41,10 @@ def pieces(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
 
 def _depths(structure: Column) -> Column:
     """(depth after, least depth on the way) of brackets and braces, from 0."""
-    marks = F.split(F.regexp_replace(structure, r"[^\[\]{}]", ""), "")
+    # What opens and closes at once changes neither; little is left to go over.
+    for pair in ("[]", "{}", "[]", "{}"):
+        structure = F.replace(structure, F.lit(pair), F.lit(""))
+    marks = F.split(structure, "")
     step = F.struct(F.lit(0).alias("end"), F.lit(0).alias("least"))
 
     def after(state: Column, mark: Column) -> Column:
@@ -51,19 +56,21 @@ def _depths(structure: Column) -> Column:
 
 def _effects(rows: DataFrame) -> DataFrame:
     """What each piece does: strings it leaves open, and depths when it starts outside or in one."""
-    plain = F.regexp_replace("text", r"(?s)\\.", "")
-    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
-    inside = F.regexp_replace(plain, r'^[^"]*("|$)', "")
-    return rows.withColumns({
+    # A string without brackets, or what is between two, leaves a pair of quotes that goes
+    # whether the piece starts in a string or not.
+    marks = F.replace(F.regexp_replace("text", _NO_MARKS, ""), F.lit('""'), F.lit(""))
+    quotes = F.length("marks") - F.length(F.replace("marks", F.lit('"'), F.lit("")))
+    inside = F.regexp_replace("marks", r'^[^"]*("|$)', "")
+    return rows.withColumn("marks", marks).withColumns({
         "flips": (quotes % 2).cast("int"),
-        "out": _depths(F.regexp_replace(plain, _STRING, "")),
+        "out": _depths(F.regexp_replace("marks", _STRING, "")),
         "in": _depths(F.regexp_replace(inside, _STRING, "")),
-    })
+    }).drop("marks")
 
 
 def _offsets(ranges: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Per byte range, the sums of ``values`` over the ranges before it in its file."""
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return ranges.withColumns({name: F.coalesce(F.sum(value).over(before), F.lit(0)) for name, value in values.items()})
 
 
@@ -73,7 +80,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _scanned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pieces with the state they start in, relative to the array's items; facts of each file)."""
-    in_range = Window.partitionBy("path", "block").orderBy("row")
+    in_range = Window.partitionBy("url", "block").orderBy("row")
     before = in_range.rowsBetween(Window.unboundedPreceding, -1)
     opens = (F.col("block") == 0) & (F.row_number().over(in_range) == 1)
     start = F.regexp_replace("value", "^\ufeff", "")
@@ -85,7 +92,8 @@ def _scanned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(F.col("opens") & (level > 0), F.regexp_replace(F.regexp_replace(start, _OBJECT_OPENS, ""), _ARRAY_OPENS, ""))
             .otherwise(F.col("value")), F.lit("}")
         ),
-    })
+        "bytes": F.octet_length("value") + 1,
+    }).drop("value")
     rows = _effects(rows)
     # Depth sums for a range that starts outside (0) and inside (1) of a string.
     rows = rows.withColumn("odd", F.coalesce(F.sum("flips").over(before), F.lit(0)) % 2)
@@ -95,12 +103,12 @@ def _scanned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             f"depth_{start_in}", F.coalesce(F.sum(effect["end"]).over(before), F.lit(0))
         )
     rows = durable(rows.drop("out", "in"))
-    ranges = rows.groupBy("path", "block").agg(
+    ranges = rows.groupBy("url", "block").agg(
         F.sum("flips").alias("flips"), F.sum("effect_0.end").alias("sum_0"), F.sum("effect_1.end").alias("sum_1")
     )
     ranges = _offsets(ranges, {"quotes": F.col("flips")}).withColumn("starts_in", (F.col("quotes") % 2).cast("int"))
     ranges = _offsets(ranges, {"depth": F.when(F.col("starts_in") == 1, F.col("sum_1")).otherwise(F.col("sum_0"))})
-    rows = rows.join(_small(durable(ranges.select("path", "block", "starts_in", "depth"))), ["path", "block"])
+    rows = rows.join(_small(durable(ranges.select("url", "block", "starts_in", "depth"))), ["url", "block"])
     entered = F.col("starts_in") == 1
     effect = F.when(entered, F.col("effect_1")).otherwise(F.col("effect_0"))
     rows = rows.withColumns({
@@ -109,15 +117,15 @@ def _scanned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     }).withColumns({
         "to": F.col("from") + effect["end"], "least": F.col("from") + effect["least"],
         "ends_in_string": (F.col("in_string").cast("int") + F.col("flips")) % 2 == 1,
-    }).select("path", *_ALONG, "size", "value", "text", "level", "in_string", "from", "to", "least", "ends_in_string")
+    }).select("url", *_ALONG, "size", "bytes", "text", "opens", "level", "in_string", "from", "to", "least", "ends_in_string")
     place = F.struct(*_ALONG)
-    files = rows.groupBy("path").agg(
+    files = rows.groupBy("url").agg(
         F.max("level").alias("level"),
         F.min(F.when(F.col("least") < 0, place)).alias("closed"),
         F.min(F.when(F.col("least") <= -2, place)).alias("left"),
         F.max(place).alias("last"),
         F.max_by(F.struct("to", "least"), place).alias("end"),
-        (F.sum(F.octet_length("value") + 1) - F.max("size")).isin(1, -2).alias("cut"),
+        (F.sum("bytes") - F.max("size")).isin(1, -2).alias("cut"),
     )
     # A last piece that no brace follows was given one too many; the text source leaves out
     # the three bytes of a byte order mark. What is behind the object does not count.
@@ -126,6 +134,50 @@ def _scanned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, files.withColumn("whole", F.coalesce(whole, F.lit(False)) & F.col("closed").isNotNull())
 
 
+def _parsed(chunks: DataFrame, ready: Column) -> DataFrame:
+    """Add the items of those chunks that are ``ready``, their number, and whether they are right."""
+    items = F.when(F.col("opens"), F.col("text")).otherwise(F.regexp_replace("text", r"^\s*,", ""))
+    array = F.concat(F.lit("["), items, F.when(F.col("closes"), F.lit("")).otherwise(F.lit("]")))
+    chunks = chunks.withColumn("items", F.from_json(F.when(ready, array), "array<variant>"))
+    count = F.size("items")
+    separated = F.col("opens") | (F.col("text").rlike(r"^\s*,") & (count > 0)) | (F.col("closes") & F.col("text").rlike(r"^\s*\]"))
+    return chunks.withColumns({"fine": F.col("items").isNotNull() & separated, "n": F.coalesce(count, F.lit(0))})
+
+
+def _chunks(inner: DataFrame) -> DataFrame:
+    """Pieces joined to whole array items, parsed, with the items before them in their byte range."""
+    in_range = Window.partitionBy("url", "block").orderBy("row")
+    so_far = in_range.rowsBetween(Window.unboundedPreceding, 0)
+    # A run goes from a piece that begins between two items to the next one; run 0 goes on
+    # with an item of an earlier range, and the last may go on in a later one. Runs, items
+    # and sums are made where the range's pieces are.
+    runs = (
+        inner.withColumn("run", F.sum(F.col("begins").cast("int")).over(so_far))
+        .groupBy("url", "block", "run").agg(
+            F.sort_array(F.collect_list(F.struct("row", "text"))).alias("parts"), F.min("row").alias("row"),
+            F.bool_or("opens").alias("opens"), F.bool_or("closes").alias("closes"), F.max_by("ends", "row").alias("ended"),
+        )
+        .withColumns({"text": F.array_join("parts.text", ""), "cut": (F.col("run") == 0) | ~F.col("ended")})
+    )
+    before = in_range.rowsBetween(Window.unboundedPreceding, -1)
+    runs = durable(_parsed(runs, ~F.col("cut")).select(
+        "url", "block", "run", "row", "opens", "closes", "cut", F.when(F.col("cut"), F.col("text")).alias("text"),
+        "items", "fine", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("within"),
+    ))
+    # At most two runs of a range are cut; they go to the last one that begins before them.
+    begun = F.when(F.col("run") > 0, F.struct("block", "row", "within", "opens"))
+    along = Window.partitionBy("url").orderBy("block", "run").rowsBetween(Window.unboundedPreceding, 0)
+    joined = (
+        runs.where("cut").withColumn("head", F.last(begun, ignorenulls=True).over(along))
+        .groupBy("url", "head").agg(
+            F.sort_array(F.collect_list(F.struct("block", "run", "text"))).alias("parts"), F.bool_or("closes").alias("closes")
+        )
+        .select("url", "head.*", F.array_join("parts.text", "").alias("text"), "closes")
+    )
+    columns = ["url", "block", "items", "fine", "n", "within"]
+    return runs.where("NOT cut").select(columns).union(durable(_parsed(joined, F.lit(True)).select(columns)))
+
+
 def split_records(spark: SparkSession, path: str | list[str], glob: str) -> tuple[DataFrame, DataFrame]:
     """(``path, position, record`` of all files; ``path, record_count`` of every file).
 
@@ -139,49 +191,23 @@ def split_records(spark: SparkSession, path: str | list[str], glob: str) -> tupl
     files = durable(files)
     place = F.struct(*_ALONG)
     inner = rows.drop("level").join(
-        _small(files.where("whole").select("path", "closed", "last", "cut")), "path"
+        _small(files.where("whole").select("url", "closed", "last", "cut")), "url"
     ).where(place <= F.col("closed"))
     text = F.when((place == F.col("last")) & F.col("cut"), F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
-    inner = inner.select(
-        "path", *_ALONG, text.alias("text"), (place == F.col("closed")).alias("closes"),
+    chunks = _chunks(inner.select(
+        "url", *_ALONG, text.alias("text"), "opens", (place == F.col("closed")).alias("closes"),
         ((F.col("from") == 0) & ~F.col("in_string")).alias("begins"),
         ((F.col("to") == 0) & ~F.col("ends_in_string") | (place == F.col("closed"))).alias("ends"),
-    )
-    alone = inner.where("begins AND ends").select("path", *_ALONG, "text", "closes")
-    # Other pieces go to the last one before them that begins between two items.
-    longer = durable(inner.where("NOT (begins AND ends)"))
-    in_range = Window.partitionBy("path", "block").orderBy("row")
-    latest = F.last(F.when(F.col("begins"), place), ignorenulls=True)
-    carried = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = longer.groupBy("path", "block").agg(F.max(F.when(F.col("begins"), place)).alias("begun"))
-    ranges = durable(ranges.select("path", "block", F.last("begun", ignorenulls=True).over(carried).alias("before")))
-    joined = (
-        longer.join(_small(ranges), ["path", "block"])
-        .withColumn("head", F.coalesce(latest.over(in_range), F.col("before")))
-        .groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct(*_ALONG, "text", "closes"))).alias("parts"))
-        .select("path", "head.block", "head.row", F.array_join(F.col("parts.text"), "").alias("text"), F.array_contains("parts.closes", True).alias("closes"))
-    )
-    first = F.row_number().over(Window.partitionBy("path", "block").orderBy("row")) == 1
-    chunks = alone.union(joined).withColumn("first", (F.col("block") == 0) & first)
-    items = F.when(F.col("first"), F.col("text")).otherwise(F.regexp_replace("text", r"^\s*,", ""))
-    array = F.concat(F.lit("["), items, F.when(F.col("closes"), F.lit("")).otherwise(F.lit("]")))
-    chunks = chunks.withColumn("items", F.from_json(array, "array<variant>"))
-    count = F.size("items")
-    separated = F.col("first") | (F.col("text").rlike(r"^\s*,") & (count > 0)) | (F.col("closes") & F.col("text").rlike(r"^\s*\]"))
-    chunks = durable(chunks.select(
-        "path", *_ALONG, "items", (F.col("items").isNotNull() & separated).alias("fine"), F.coalesce(count, F.lit(0)).alias("n")
     ))
-    counts = files.select("path", "whole").join(
-        chunks.groupBy("path").agg(F.sum("n").alias("n"), F.bool_and("fine").alias("fine")), "path", "left"
-    ).select("path", F.when(F.col("whole") & F.col("fine"), F.col("n")).alias("record_count"))
+    counts = files.select("url", "whole").join(
+        chunks.groupBy("url").agg(F.sum("n").alias("n"), F.bool_and("fine").alias("fine")), "url", "left"
+    ).select("url", file_name(F.col("url")).alias("path"), F.when(F.col("whole") & F.col("fine"), F.col("n")).alias("record_count"))
     counts = durable(counts)
     ranges = durable(_offsets(
-        chunks.groupBy("path", "block").agg(F.sum("n").alias("n")), {"earlier": F.col("n")}
-    ).join(counts.where("record_count IS NOT NULL").select("path"), "path").select("path", "block", "earlier"))
-    before = Window.partitionBy("path", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = (
-        chunks.join(_small(ranges), ["path", "block"])
-        .withColumn("earlier", F.col("earlier") + F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select("path", "earlier", F.posexplode("items").alias("at", "record"))
+        chunks.groupBy("url", "block").agg(F.sum("n").alias("n")), {"earlier": F.col("n")}
+    ).join(counts.where("record_count IS NOT NULL"), "url").select("url", "block", "path", "earlier"))
+    numbered = chunks.join(_small(ranges), ["url", "block"]).select(
+        "path", (F.col("earlier") + F.col("within")).alias("earlier"), F.posexplode("items").alias("at", "record")
     )
-    return numbered.select("path", (F.col("earlier") + F.col("at")).cast("int").alias("position"), "record"), counts
+    records = numbered.select("path", (F.col("earlier") + F.col("at")).cast("int").alias("position"), "record")
+    return records, counts.select("path", "record_count")

@@ -111,3 +111,22 @@ def test_large_file_is_read_by_many_tasks(spark, tmp_path, cut):
     want = {("a.json", i): r for i, r in enumerate(rows)} | {("b.json", i): r for i, r in enumerate(rows[:5_000])}
     plain = {key: {k: v for k, v in r.items() if v is not None} for key, r in want.items()}
     assert {key: {k: v for k, v in r.items() if v is not None} for key, r in got.items()} == plain
+
+
+def test_parsed_items_are_not_shuffled_again(spark, tmp_path):
+    """Items are numbered in the range they were parsed in: only small tables are sent to them."""
+    (tmp_path / "a.json").write_text(ODD["plain"])
+    records, _ = split_records(prepare_session(spark), str(tmp_path), GLOB)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
+    assert records.count() == 3
+
+
+def test_an_item_over_many_ranges_keeps_its_place(spark, tmp_path, cut):
+    long = {"a": "}" * 50, "b": [{"c": n} for n in range(30)], "d": "]"}
+    (tmp_path / "a.json").write_text(json.dumps([{"n": 0}, long, {"n": 2}, 3, long, {"n": 5}]))
+    for size in (40, 100, 1 << 20):
+        cut(size)
+        rows, counts = split(spark, str(tmp_path))
+        assert [json.loads(r) for _, _, r in rows] == [{"n": 0}, long, {"n": 2}, 3, long, {"n": 5}]
+        assert [(at, counts[0][1]) for _, at, _ in rows] == [(n, 6) for n in range(6)]
