@@ -130,3 +130,20 @@ def test_an_item_over_many_ranges_keeps_its_place(spark, tmp_path, cut):
         rows, counts = split(spark, str(tmp_path))
         assert [json.loads(r) for _, _, r in rows] == [{"n": 0}, long, {"n": 2}, 3, long, {"n": 5}]
         assert [(at, counts[0][1]) for _, at, _ in rows] == [(n, 6) for n in range(6)]
+
+
+def test_many_folders_are_listed_by_some_hundred_tasks(spark, tmp_path):
+    for n in range(300):
+        (tmp_path / f"{n}").mkdir()
+        (tmp_path / f"{n}" / "a.json").write_text("[]")
+    context = prepare_session(spark).sparkContext
+    context.setJobGroup("folders", "listing")
+    try:
+        files = landing.landing(spark, str(tmp_path), GLOB)
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(name, None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(stage) for job in tracker.getJobIdsForGroup("folders") for stage in tracker.getJobInfo(job).stageIds]
+    assert max(stage.numTasks for stage in stages if stage) <= 256
+    assert files.count() == 300
