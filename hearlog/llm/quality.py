@@ -27,12 +27,12 @@ from hearlog.llm.blocks import (
     unpack_sorted,
     unpack_texts,
 )
-from hearlog.llm.common import record_batches
+from hearlog.llm.common import record_batches, trimmed
 from hearlog.session import durable
 
 ORDER = 5
 PAD = 0xFF  # never a byte of UTF-8; stands for what precedes a document
-PIECE = 1 << 21
+PIECE = 1 << 20
 SYMBOLS = 257
 
 #: Trusted ids up to which they are sent to every executor (64 MB at most); beyond it,
@@ -223,6 +223,10 @@ def _count(shards: int):
 
 
 def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield trimmed(_shard(key, batches))
+
+
+def _shard(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
     """One shard's counts from all blocks', a few at a time."""
     codes, counts, waiting = [], [], 0
     for batch in batches:
@@ -238,7 +242,7 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     three = orders[-1][1]
     pairs, places = np.unique(three & np.uint64(0xFFFF), return_counts=True)
     n = [counts_of_counts(c) for _, _, c in orders[::-1]] + [counts_of_counts(total)]
-    yield pa.record_batch(
+    return pa.record_batch(
         [
             pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()),
             pa.array([pack_sorted(own)], pa.binary()), pa.array([pack(total)], pa.binary()),
@@ -267,6 +271,10 @@ def _ask(shards: int, parts: int):
 
 
 def _answer(key, model: pa.Table, questions: pa.Table) -> pa.Table:
+    return trimmed(_answers(key, model, questions))
+
+
+def _answers(key, model: pa.Table, questions: pa.Table) -> pa.Table:
     """The shard's log probabilities for each block's codes; none where there is no model."""
     names, shards, answers = [], [], []
     if model.num_rows:
@@ -324,6 +332,9 @@ def block_scores(block: Block, codes: np.ndarray, logs: np.ndarray) -> np.ndarra
 
 def _score(shards: int):
     def run(key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        return trimmed(scored(key, blocks, answers))
+
+    def scored(key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         ids, langs, sizes, sums = [], [], [], []
         if answers.num_rows and not blocks.num_rows:
             raise RuntimeError(f"block {key[0].as_py()} has changed between two scans; run the job again")

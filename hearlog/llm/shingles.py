@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearlog.llm.blocks import by_shard, mix, pack, unpack
-from hearlog.llm.common import record_batches
+from hearlog.llm.common import record_batches, trimmed
 from hearlog.llm.components import components
 from hearlog.llm.simhash import BITS, fingerprint_bits, near_links
 from hearlog.session import durable, temporary_tables
@@ -171,6 +171,10 @@ def _dealt(shards: int, hot: np.ndarray):
 
 
 def _met(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    return trimmed(_meetings(table))
+
+
+def _meetings(table: pa.Table) -> pa.Table:
     """``(met, node)`` of the sets that share a code; once for codes shared by the same sets."""
     codes = np.concatenate([unpack(x.as_py(), np.uint64) for x in table.column("codes")])
     nodes = np.concatenate([unpack(x.as_py(), np.int64) for x in table.column("nodes")])
@@ -244,6 +248,9 @@ def _proposed(similarity: float, most: int):
     """For every row the ``most`` closest that its cells hold, may be similar and are not connected."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return trimmed(closest(table))
+
+    def closest(table: pa.Table) -> pa.Table:
         cells = [table.column(c).to_numpy() for c in ("j", "i", "met")]
         order = np.lexsort(cells)
         table = table.take(pa.array(order)).combine_chunks()

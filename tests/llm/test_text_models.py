@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -190,3 +194,50 @@ def test_identify_with_nothing_or_one_language_to_learn(spark):
     one = spark.createDataFrame([(n, "abc def", "en") for n in range(9)] + [(9, "!", "en")], schema)
     assert Counter(r.lang_pred for r in language.identify(one).collect()) == {"en": 9, "und": 1}
     assert language.identify(spark.createDataFrame([], schema)).count() == 0
+
+
+def _block_of_words(size):
+    words = [f"w{i * 7919 % 50021}" for i in range(size // 6)]
+    return [" ".join(words[i:i + 300]).encode() for i in range(0, len(words), 300)]
+
+
+def test_grams_of_a_block_take_bounded_memory():
+    texts = _block_of_words(4 << 20)
+    tracemalloc.start()
+    codes, counts = quality.distinct_grams(texts, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == sum(map(len, texts)) and (np.diff(codes.view(np.int64)) > 0).all()
+    assert peak < 70 << 20
+
+
+_HELD = """
+import re, sys
+import pyarrow as pa
+sys.path.insert(0, {root!r})
+from hearlog.llm import common
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+def rows():
+    kept = [b"%d" % i * 40 for i in range(400_000)]
+    last = kept[::1000]
+    pa.array(kept, pa.binary())
+    del kept
+    yield from ((x,) for x in last)
+
+schema = pa.schema([("x", pa.binary())])
+list(common.record_batches(iter([(b"x",)]), schema))
+before = held()
+n = sum(batch.num_rows for batch in common.record_batches(rows(), schema))
+print(n, held() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_a_task_gives_its_memory_back():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", _HELD.format(root=root)], capture_output=True, text=True, check=True).stdout
+    rows, held = map(int, out.split())
+    assert rows == 400 and held < 20
