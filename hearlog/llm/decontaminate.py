@@ -31,6 +31,10 @@ BROADCAST_WINDOWS = 4_000_000
 #: Tokens by which a place is tested before its windows are hashed.
 OPENING = 4
 
+#: Places that a text is cut into pieces of. A row per place carries its piece, and Spark holds
+#: the rows that it makes of one row at once: with pieces, that is no more for longer texts.
+PIECE = 128
+
 
 def marked_tokens(text: Column) -> Column:
     """The words of a text in order; numbers, names and units keep their value behind a mark.
@@ -83,6 +87,23 @@ def _window(tokens: Column, hashes: Column, at: Column, n: Column, exact: Column
     return F.when(exact, F.xxhash64(F.lit("exact"), words)).otherwise(F.xxhash64(F.slice(hashes, at + 1, n)))
 
 
+def _pieces(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """``(doc, text_sha256, start, tokens)``: the tokens of ``PIECE`` places of a text, and ``window - 1`` more.
+
+    A window of up to ``window`` tokens lies whole in the piece that holds its first one.
+    Texts without tokens have no piece.
+    """
+    tokens = docs.select(
+        F.col(id_col).alias("doc"), _digest(F.col(text_col)).alias("text_sha256"),
+        marked_tokens(F.col(text_col)).alias("tokens"),
+    )
+    # A filter on the tokens would be moved ahead of them, and every text be tokenised twice.
+    starts = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(PIECE)))
+    return tokens.select("doc", "text_sha256", F.explode(F.transform(starts, lambda start: F.struct(
+        start.alias("start"), F.slice("tokens", start + 1, F.lit(PIECE + window - 1)).alias("tokens")
+    ))).alias("piece")).select("doc", "text_sha256", "piece.start", "piece.tokens")
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -109,8 +130,9 @@ def leaks(
     Null texts are empty; empty texts hold nothing. Rows are told apart by id and text, so
     rows with equal or null ids hold what their own text does.
 
-    A text is tokenised once. Its places are tested for how a window may begin, and only
-    windows at places that pass are hashed.
+    A text is tokenised once and cut into pieces of ``PIECE`` places, which overlap by what a
+    window needs. Places are tested for how a window may begin, and only windows at places
+    that pass are hashed. So a task's memory does not depend on how many of them pass.
     """
     word_hashes = F.transform("tokens", lambda token: F.xxhash64(_bare(token)))
     items = (
@@ -138,17 +160,14 @@ def leaks(
         found = own.select(column).distinct()
         return F.broadcast(found) if found.count() <= BROADCAST_WINDOWS else found
 
-    prepared = docs.select(
-        F.col(id_col).alias("doc"), _digest(F.col(text_col)).alias("text_sha256"),
-        marked_tokens(F.col(text_col)).alias("tokens"),
-    ).withColumn("hashes", _template_hashes(F.col("tokens")))
+    prepared = _pieces(docs, id_col, text_col, window).withColumn("hashes", _template_hashes(F.col("tokens")))
     if any(exact for _, exact in kinds):
         prepared = prepared.withColumn("words", word_hashes)
     openings = [
         _opening("words" if exact else "hashes", F.col("at"), k) for k, exact in sorted({(min(n, OPENING), exact) for n, exact in kinds})
     ] or [F.lit(0).cast("long")]
-    places = prepared.where(F.size("tokens") > 0).select(
-        "*", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at")
+    places = prepared.select(
+        "*", F.explode(F.sequence(F.lit(0), F.least(F.size("tokens"), F.lit(PIECE)) - 1)).alias("at")
     )
     if len(openings) == 1:
         places = places.withColumn("opening", openings[0])
@@ -161,9 +180,10 @@ def leaks(
         )) for n, exact in kinds
     ] or [F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("window"))]
     every = places.select(
-        "doc", "text_sha256", "tokens", "at", F.explode(F.filter(F.array(*windows), lambda w: w.isNotNull())).alias("w")
+        "doc", "text_sha256", "start", "tokens", "at", F.explode(F.filter(F.array(*windows), lambda w: w.isNotNull())).alias("w")
     ).select(
-        "doc", "text_sha256", "at", F.col("w.window").alias("window"), F.slice("tokens", F.col("at") + 1, F.col("w.n")).alias("doc_tokens")
+        "doc", "text_sha256", (F.col("start") + F.col("at")).alias("at"), F.col("w.window").alias("window"),
+        F.slice("tokens", F.col("at") + 1, F.col("w.n")).alias("doc_tokens"),
     )
     # A place may pass by several openings.
     found = every.join(known("window"), "window", "left_semi").distinct()

@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 import pytest
@@ -239,6 +242,49 @@ def test_leaks_equal_trying_every_window(spark):
     assert len(want) > 150 and len({item for _, item, _ in want}) > 25
 
 
+def test_leaks_over_the_borders_of_pieces(spark, monkeypatch):
+    from hearlog.llm import decontaminate
+
+    item = ITEMS[0][1]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(n, f"{prose(n, n)} {item} {prose(n, 9)}") for n in range(decontaminate.PIECE - 25, decontaminate.PIECE + 5)]
+    docs.append((0, f"{prose(1, 300)} {item}"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc, r.coverage) for r in leaks(frame, items).collect()} == {(n, 1.0) for n, _ in docs}
+    rng = random.Random(4)
+    held = [(i, " ".join(rng.choice("a sum of 3 kg and Rome".split()) for _ in range(n))) for i, n in enumerate((1, 3, 8, 13))]
+    docs = [(d, f"{prose(d, d % 11)} {rng.choice(held)[1]} {prose(d, 3)} {rng.choice(held)[1]}") for d in range(40)] + [(90, ""), (91, None)]
+    want = brute_leaks(docs, held)
+    assert len(want) > 40
+    for places in (1, 5):
+        monkeypatch.setattr(decontaminate, "PIECE", places)
+        got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(held, "item_id long, text string"))
+        assert {(r.doc, r.item, round(r.coverage, 9)) for r in got.collect()} == want
+
+
+_LONG = """
+from pyspark.sql import SparkSession
+from hearlog.llm.decontaminate import contaminated
+spark = (
+    SparkSession.builder.master("local[1]").config("spark.driver.memory", "600m").config("spark.ui.enabled", "false")
+    .config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC")
+    .config("spark.checkpoint.dir", "shared").config("spark.sql.warehouse.dir", "tables").getOrCreate()
+)
+item = "A train leaves the old station at 9 and travels 120 km to Paris before it stops for 15 minutes there."
+docs = spark.createDataFrame([(0, " ".join([item] * 600)), (1, "clean")], "doc_id long, text string")
+items = spark.createDataFrame([(1, item)], "item_id long, text string")
+print([(r.doc_id, r.n_items) for r in contaminated(docs, items).collect()])
+"""
+
+
+def test_a_long_document_of_matching_places_needs_little_memory(tmp_path):
+    """12,000 tokens, each a place where a window of the item begins; with the whole text beside each it took GBs."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}
+    ran = subprocess.run([sys.executable, "-c", _LONG], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert ran.stdout.strip() == "[(0, 1), (1, 0)]", ran.stderr[-2000:]
+
+
 @pytest.mark.parametrize("item, held, clean", [
     ("What is 3 + 4 * 5?", "x What is 3 + 4 * 5? y", "x What is 3 + 4 * 6? y"),
     ("Capital of France", "Capital of France", "Capital of Spain, France"),
